@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -21,35 +23,73 @@ def ends_sentence(text: Column, marks: tuple[str, ...] = SENTENCE_MARKS) -> Colu
     return F.substring(F.regexp_replace(text, r"(?U)\s+$", ""), -1, 1).isin(*marks)
 
 
-def gap_islands(words: DataFrame, max_gap_s: float) -> DataFrame:
-    """Adds ``seq`` (position in time order) and ``span_no``: a silence strictly over the gap opens a span.
+def linked_words(
+    words: DataFrame, gaps: Sequence[float], order: Sequence[str] = ORDER, block: Column | None = None
+) -> DataFrame:
+    """Adds ``seq``, the previous row's times and one island number per gap.
 
-    The previous word is the previous row, not the one that ends last.
+    A silence strictly over the gap opens an island. "Previous" is the previous row, not the word that
+    ends last. Rows are windowed inside (stream, block); only block summaries are linked per stream.
     """
-    window = Window.partitionBy("stream_id", "_block").orderBy(*ORDER)
-    local = (
-        words.withColumn("_block", time_block(F.col("start_s")))
-        .withColumn("_brk", (F.col("start_s") - F.lag("end_s").over(window) > F.lit(max_gap_s)).cast("long"))
-        .withColumn("_pos", (F.row_number().over(window) - 1).cast("long"))
-        .withColumn("_no", F.sum(F.coalesce("_brk", F.lit(0))).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    window = Window.partitionBy("stream_id", "_block").orderBy(*order)
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
+    numbers = range(len(gaps))
+    lagged = words.withColumn("_block", time_block(F.col("start_s")) if block is None else block).select(
+        "*",
+        (F.row_number().over(window) - 1).cast("long").alias("_pos"),
+        F.lag("start_s").over(window).alias("_ps"),
+        F.lag("end_s").over(window).alias("_pe"),
+    )
+    local = lagged.select(
+        "*", *[(F.col("start_s") - F.col("_pe") > F.lit(float(g))).cast("long").alias(f"_brk{i}") for i, g in enumerate(gaps)]
     )
     blocks = summary(
         local.groupBy("stream_id", "_block").agg(
-            F.min("start_s").alias("_head"),
-            F.max_by("end_s", "_pos").alias("_tail"),
-            F.coalesce(F.sum("_brk"), F.lit(0)).alias("_breaks"),
+            F.min_by("start_s", "_pos").alias("_head"),
+            F.max_by(F.struct("start_s", "end_s"), "_pos").alias("_tail"),
             F.count(F.lit(1)).alias("_rows"),
+            *[F.coalesce(F.sum(f"_brk{i}"), F.lit(0)).alias(f"_breaks{i}") for i in numbers],
         )
     )
-    linked = block_prefix(blocks, ["stream_id"], "_block", lasts=["_tail"], sums=["_rows"]).withColumn(
-        "_open", F.coalesce((F.col("_head") - F.col("_tail") > F.lit(max_gap_s)).cast("long"), F.lit(0))
+    linked = block_prefix(blocks, ["stream_id"], "_block", lasts=["_tail"], sums=["_rows"]).select(
+        "*",
+        *[
+            F.coalesce((F.col("_head") - F.col("_tail.end_s") > F.lit(float(g))).cast("long"), F.lit(0)).alias(f"_open{i}")
+            for i, g in enumerate(gaps)
+        ],
     )
-    based = block_prefix(
-        linked.withColumn("_base", F.col("_open") + F.col("_breaks")), ["stream_id"], "_block", sums=["_base"]
-    ).select("stream_id", "_block", (F.col("_base") + F.col("_open")).alias("_base"), F.col("_rows").alias("_seq0"))
-    return local.join(based, ["stream_id", "_block"]).select(
-        *words.columns, (F.col("_seq0") + F.col("_pos")).alias("seq"), (F.col("_base") + F.col("_no")).alias("span_no")
+    if gaps:
+        linked = block_prefix(
+            summary(linked.select("*", *[(F.col(f"_open{i}") + F.col(f"_breaks{i}")).alias(f"_base{i}") for i in numbers])),
+            ["stream_id"],
+            "_block",
+            sums=[f"_base{i}" for i in numbers],
+        )
+    based = linked.select(
+        "stream_id",
+        "_block",
+        "_tail",
+        F.col("_rows").alias("_seq0"),
+        *[(F.col(f"_base{i}") + F.col(f"_open{i}")).alias(f"_base{i}") for i in numbers],
     )
+    return (
+        local.join(based, ["stream_id", "_block"])
+        .select(
+            *words.columns,
+            (F.col("_seq0") + F.col("_pos")).alias("seq"),
+            F.coalesce(F.col("_ps"), F.col("_tail.start_s")).alias("prev_start_s"),
+            F.coalesce(F.col("_pe"), F.col("_tail.end_s")).alias("prev_end_s"),
+            *[
+                (F.col(f"_base{i}") + F.sum(F.coalesce(f"_brk{i}", F.lit(0))).over(upto)).alias(f"island_{i}")
+                for i in numbers
+            ],
+        )
+    )
+
+
+def gap_islands(words: DataFrame, max_gap_s: float) -> DataFrame:
+    """Adds ``seq`` (position in time order) and ``span_no`` for one silence threshold."""
+    return linked_words(words, [max_gap_s]).drop("prev_start_s", "prev_end_s").withColumnRenamed("island_0", "span_no")
 
 
 def span_rows(islands: DataFrame) -> DataFrame:

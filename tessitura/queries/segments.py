@@ -95,7 +95,6 @@ QUERIES = {
     "word_stream": word_stream,
     "gap_spans": gap_spans,
     "speech_pieces": speech_pieces,
-    "speech_pieces_blocked": pieces_blocked,
     "speech_pieces_absolute": pieces_absolute,
     "spans_top": spans_top,
     "selection_counts": selection_counts,
@@ -124,7 +123,6 @@ ORACLES = {
     + f"SELECT stream_id, token_id, {_MS}, text, CAST(round_even(confidence * 100, 0) AS BIGINT) AS confidence_pct FROM words",
     "gap_spans": with_words(ISLANDS) + f"SELECT stream_id, span_no, {_MS}, n_words FROM spans",
     "speech_pieces": _PIECES_SQL,
-    "speech_pieces_blocked": _PIECES_SQL,
     "speech_pieces_absolute": with_words(ISLANDS, _ABSOLUTE.strip() + PIECES[PIECES.index("_pb AS") :])
     + f"SELECT stream_id, span_no, piece_no, {_MS}, n_words FROM pieces",
     "spans_top": with_words(ISLANDS, PIECES, TOP)
