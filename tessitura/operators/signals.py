@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.params import SignalParams
-from tessitura.plans.scan import dense_bins, prefix_scan, row_block, time_block
+from tessitura.plans.scan import dense_bins, prefix_scan, row_block, summary, time_block
 
 
 def linear_level(raw: Column) -> Column:
@@ -53,11 +53,11 @@ def normalised(values: DataFrame, value: str, name: str = "score") -> DataFrame:
 
 def hot_runs(bins: DataFrame, durations: DataFrame, min_score: float, source: str, params: SignalParams) -> DataFrame:
     """Runs of consecutive windows that reach the score, as moments. Scores are positive, so empty windows need no rows."""
-    scored = normalised(bins, "level").filter((F.col("score") > 0) & (F.col("score") >= min_score))
+    scored = summary(normalised(bins, "level").filter((F.col("score") > 0) & (F.col("score") >= min_score)))
     order, block = ["bin"], row_block(F.col("bin"))
     linked = prefix_scan(scored, ["stream_id"], order, block, lasts={"_prev": F.col("bin")})
     opened = F.coalesce(F.col("bin") - F.col("_prev") > 1, F.lit(True)).cast("long")
-    flagged = linked.withColumn("_open", opened)
+    flagged = summary(linked.withColumn("_open", opened))
     islands = prefix_scan(flagged, ["stream_id"], order, block, sums={"_before": F.col("_open")})
     runs = islands.groupBy("stream_id", (F.col("_before") + F.col("_open")).alias("_run")).agg(
         F.min("bin").alias("_a"), F.max("bin").alias("_b"), F.max("score").alias("score")
@@ -81,7 +81,7 @@ def scene_intervals(events: DataFrame, durations: DataFrame) -> DataFrame:
 
     Scores are normalised before cuts outside the recording are dropped. ``events``: ``stream_id, time_s, value``.
     """
-    cuts = (
+    cuts = summary(
         normalised(events, "value")
         .join(durations.filter(F.col("duration_s") > 0), "stream_id")
         .filter((F.col("time_s") > 0) & (F.col("time_s") < F.col("duration_s")))
@@ -113,8 +113,8 @@ def union_signals(*signals: DataFrame) -> DataFrame:
 def overlap_groups(moments: DataFrame) -> DataFrame:
     """Adds ``group_no``: a moment joins while it starts strictly before the furthest end so far."""
     order, block = ["start_s", "end_s", "source", "score"], time_block(F.col("start_s"))
-    linked = prefix_scan(moments, ["stream_id"], order, block, maxs={"_reach": F.col("end_s")})
-    flagged = linked.withColumn("_open", (~F.coalesce(F.col("start_s") < F.col("_reach"), F.lit(False))).cast("long"))
+    linked = prefix_scan(summary(moments), ["stream_id"], order, block, maxs={"_reach": F.col("end_s")})
+    flagged = summary(linked.withColumn("_open", (~F.coalesce(F.col("start_s") < F.col("_reach"), F.lit(False))).cast("long")))
     counted = prefix_scan(flagged, ["stream_id"], order, block, sums={"_before": F.col("_open")})
     return counted.withColumn("group_no", F.col("_before") + F.col("_open") - 1).drop("_reach", "_open", "_before")
 

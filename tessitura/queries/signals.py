@@ -150,9 +150,9 @@ ORACLES = {
         f AS (SELECT stream_id, min(a) AS start_s, max(e) AS end_s, least(1, greatest(0, sum(w * s) / sum(w))) AS score, 'fused' AS source FROM b GROUP BY stream_id, grp)
         SELECT stream_id, {_OUT} FROM f""",
     "log_levels": f"""WITH {_EV},
-        l AS (SELECT stream_id, event_id * 3 AS no, t_ms AS at, NULL::BIGINT AS lev FROM ev WHERE event_id % 5 <> 0
+        l AS (SELECT stream_id, event_id * 3 AS no, t_ms AS moment, NULL::BIGINT AS lev FROM ev WHERE event_id % 5 <> 0
               UNION ALL SELECT stream_id, event_id * 3 + 2, NULL, CASE WHEN event_id % 11 = 0 THEN -999 ELSE -event_id % 60 END FROM ev WHERE event_id % 7 <> 0),
-        p AS (SELECT *, lag(at) OVER (PARTITION BY stream_id ORDER BY no) AS prev FROM l)
+        p AS (SELECT *, lag(moment) OVER (PARTITION BY stream_id ORDER BY no) AS prev FROM l)
         SELECT stream_id AS file_id, prev AS time_ms, round(CASE WHEN lev = -999 THEN 0 ELSE pow(10.0::DOUBLE, lev / 20.0::DOUBLE) END, 6) AS value
         FROM p WHERE lev IS NOT NULL AND prev IS NOT NULL""",
     "chat_scan": f"""WITH {_EV} SELECT stream_id, count(*) AS n, event_id % 17 <> 0 AND event_id % 19 <> 0 AS accepted FROM ev GROUP BY 1, 3""",

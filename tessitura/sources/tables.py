@@ -21,7 +21,7 @@ def words(spark: SparkSession, folder: str) -> DataFrame:
 def event_clock(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` with milliseconds since the first event; four streams."""
     events = table(spark, folder, "events")
-    micros = F.unix_micros("ts")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     start = events.agg(F.min(micros).alias("_t0"))
     return events.join(F.broadcast(start)).select(
         (F.col("user_id") % 4).alias("stream_id"),
