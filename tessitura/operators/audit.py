@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.operators.segments import linked_words
 from tessitura.params import CLOSING_MARKS, SENTENCE_MARKS
 from tessitura.plans.chain import FOLD_ROWS, reached
-from tessitura.plans.scan import exact_median, prefix_scan, row_block, time_block
+from tessitura.plans.scan import exact_median, prefix_scan, row_block, summary, time_block
 
 # Fixed values.
 STOCK_PHRASES = (
@@ -348,7 +347,7 @@ def cut_spans(
         F.count_if("is_close").alias("n_closes"),
     )
     last = inner.groupBy("stream_id", "max_gap").agg(F.max("island").alias("_last"))
-    sized = (
+    sized = summary(
         inner.join(last, ["stream_id", "max_gap"])
         .join(bounds.withColumnsRenamed({"from_s": "_from", "to_s": "_to"}), "stream_id")
         .select(
@@ -357,7 +356,6 @@ def cut_spans(
             F.when(F.col("island") == F.col("_last"), F.col("_to")).otherwise(F.col("to_s")).alias("to_s"),
             "n_closes",
         )
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     options = F.explode(
         F.array(*[F.struct(F.lit(i).alias("window_no"), F.lit(w).cast("double").alias("window_s")) for i, w in enumerate(windows)])

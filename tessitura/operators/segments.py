@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,7 +208,7 @@ def speech_pieces(
         spans = spans.withColumn("cap_s", F.lit(params.max_clip_s)).withColumn("floor_s", F.lit(params.min_clip_s))
     else:
         spans = spans.join(bounds.select("stream_id", "floor_s", "cap_s"), "stream_id")
-    spans = spans.persist(StorageLevel.MEMORY_AND_DISK)
+    spans = summary(spans)
     fits = F.col("end_s") - F.col("start_s") <= F.col("cap_s")
     whole = spans.filter(fits).withColumn("piece_no", F.lit(0).cast("long")).select(*PIECE_COLUMNS)
     long_spans = spans.filter(~fits).select(
@@ -246,11 +245,10 @@ def _pieces_from_heads(heads: DataFrame, long_spans: DataFrame, over: DataFrame)
     """A piece runs from its head to the word before the next head; times are joined back by position."""
     keys = ["stream_id", "span_no"]
     ordered = Window.partitionBy(*keys, "_b").orderBy("node")
-    numbered = (
+    numbered = summary(
         heads.withColumn("_b", F.floor(F.col("node") / 65536).cast("long"))
         .withColumn("_rn", F.row_number().over(ordered).cast("long"))
         .withColumn("_nx", F.lead("node").over(ordered))
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     per_block = summary(numbered.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("_first")))
     ranks = block_prefix(per_block.select(*keys, "_b", "_n"), keys, "_b", sums=["_n"])

@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from tessitura.plans.scan import summary
+
 FOLD_ROWS = 50_000
 
 
@@ -70,7 +71,7 @@ def reached(edges: DataFrame, keys: Sequence[str], block: str = "block", fan: in
     ``edges``: keys, ``node``, ``nxt`` (null at the end, otherwise a larger node), ``block``, ``head``.
     """
     keys = list(keys)
-    low = _exits(edges, keys, block).persist(StorageLevel.MEMORY_AND_DISK)
+    low = summary(_exits(edges, keys, block))
     targets = (
         low.filter(F.col("exit").isNotNull()).select(*keys, F.col("exit").alias("node"))
         .unionByName(low.filter("head").select(*keys, "node"))
@@ -79,7 +80,7 @@ def reached(edges: DataFrame, keys: Sequence[str], block: str = "block", fan: in
     contracted = low.join(targets, [*keys, "node"]).select(
         *keys, "node", F.col("exit").alias("nxt"), F.floor(F.col(block) / fan).cast("long").alias("super"), "head"
     )
-    high = _exits(contracted, keys, "super").persist(StorageLevel.MEMORY_AND_DISK)
+    high = summary(_exits(contracted, keys, "super"))
     high_targets = (
         high.filter(F.col("exit").isNotNull()).select(*keys, F.col("exit").alias("node"))
         .unionByName(high.filter("head").select(*keys, "node"))

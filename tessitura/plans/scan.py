@@ -8,9 +8,9 @@ A key holding a third of all rows is spread over as many tasks as it has blocks.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +30,17 @@ def row_block(ordinal: Column, rows: int = BLOCK_ROWS) -> Column:
 
 
 def summary(frame: DataFrame) -> DataFrame:
-    """Keeps a per-block summary so that its several readers share one pass over the rows.
+    """Materialises a per-block or per-group summary and cuts its lineage.
 
-    A summary is thousands of times smaller than its rows; lost cache blocks are recomputed.
+    Several later steps read it, and plans that nest one scan in another would otherwise repeat the
+    pass over the rows for each. The checkpoint goes to the cluster's shared folder, so a lost
+    executor costs nothing.
     """
-    return frame.persist(StorageLevel.MEMORY_AND_DISK)
+    context = frame.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessitura-"))
+    return frame.checkpoint()
 
 
 def block_prefix(
