@@ -61,13 +61,12 @@ def lenient_caption_clock(token: Column) -> Column:
 
 
 def spoken_clock(token: Column) -> Column:
-    """Seconds of a number with an optional trailing ``s``, ``M:S`` or ``H:M:S``; null when not finite or negative."""
-    text = F.regexp_replace(F.lower(F.trim(token)), r"\s*s$", "")
-    number = r"[0-9]+(?:\.[0-9]+)?"
+    """Seconds of a number with optional trailing ``s``, ``M:SS`` or ``H:MM:SS``; null when it is none of them."""
+    text = F.regexp_replace(F.regexp_replace(token, r"^\s+|\s+$", ""), r"[sS]+$", "")
+    text = F.regexp_replace(text, r"^\s+|\s+$", "")
     parts = F.split(text, ":")
     value = [F.get(parts, F.lit(i)).try_cast("double") for i in range(3)]
-    return (
-        F.when(F.regexp_like(text, F.lit(f"^{number}$")), text.try_cast("double"))
-        .when(F.regexp_like(text, F.lit(f"^[0-9]+:{number}$")), value[0] * 60 + value[1])
-        .when(F.regexp_like(text, F.lit(f"^[0-9]+:[0-9]+:{number}$")), value[0] * 3600 + value[1] * 60 + value[2])
+    return F.when(text.rlike(r"^[0-9]+(\.[0-9]+)?$"), text.try_cast("double")).when(
+        text.rlike(r"^[0-9]+(:[0-5][0-9]){1,2}(\.[0-9]+)?$"),
+        F.when(F.size(parts) == 2, value[0] * 60 + value[1]).otherwise(value[0] * 3600 + value[1] * 60 + value[2]),
     )

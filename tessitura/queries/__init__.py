@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = ("segments", "audit", "spans", "signals", "gate", "lineage")
+FAMILIES = ("segments", "audit", "spans", "signals", "gate", "lineage", "resolve")
 
 
 def all_queries() -> dict[str, Query]:
