@@ -43,7 +43,7 @@ def _fold_each(lists: pd.Series) -> pd.Series:
 
 def arrow_udf(function: Callable[[pd.Series], pd.Series], result: DataType, *columns: Column) -> Column:
     """Applies a batch function; built per call so that importing this module needs no session."""
-    return F.pandas_udf(function, result, F.PandasUDFType.SCALAR)(*columns)
+    return F.pandas_udf(function, result)(*columns)
 
 
 def is_ascii(text: Column) -> Column:

@@ -293,7 +293,7 @@ def _walked_cuts(events: DataFrame, keys: list[str]) -> DataFrame:
         reverse=True,
     )
     targets = after.select(
-        *keys, F.col("end_s").alias("t"), F.lit(1).alias("kind"), "seq", "end_s", "next_close", F.lit(False).alias("head")
+        *keys, F.col("end_s").alias("t"), F.lit(1).alias("kind"), "seq", "end_s", "window_s", "next_close", F.lit(False).alias("head")
     )
     probes = events.select(
         *keys,
@@ -301,6 +301,7 @@ def _walked_cuts(events: DataFrame, keys: list[str]) -> DataFrame:
         F.lit(0).alias("kind"),
         "seq",
         "end_s",
+        "window_s",
         F.lit(None).cast(after.schema["next_close"].dataType).alias("next_close"),
         "head",
     )
