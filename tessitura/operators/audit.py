@@ -332,20 +332,40 @@ def cut_spans(
     close. Without a window the closes cut nothing, or everything when ``null_cuts_every_close``.
     """
     keys = ["stream_id", "max_gap", "island"]
-    per_gap = linked.select(
-        "stream_id",
-        "seq",
-        "start_s",
-        "end_s",
-        closes(F.col("text")).alias("is_close"),
-        (F.col("start_s") - F.col("prev_end_s")).alias("gap"),
-        F.explode(F.array(*[F.struct(F.lit(g).alias("max_gap"), F.col(c).alias("island")) for g, c in islands])).alias("g"),
-    ).select("stream_id", "seq", "start_s", "end_s", "is_close", "gap", "g.max_gap", "g.island")
-    per_gap = per_gap.withColumn("is_close", F.col("is_close") & ~F.coalesce(F.col("gap") > F.col("max_gap"), F.lit(False)))
-    inner = per_gap.groupBy(*keys).agg(
-        F.min_by("start_s", "seq").alias("from_s"),
-        F.max_by("end_s", "seq").alias("to_s"),
-        F.count_if("is_close").alias("n_closes"),
+    # Only closes and words after a silence matter, so the rest never multiplies by the number of gaps.
+    gap = F.col("start_s") - F.col("prev_end_s")
+    is_close = closes(F.col("text"))
+    per_gap = (
+        linked.filter(is_close | F.col("prev_end_s").isNull() | (gap > min(g for g, _ in islands)))
+        .select(
+            "stream_id",
+            "seq",
+            "start_s",
+            "end_s",
+            "prev_end_s",
+            gap.alias("gap"),
+            is_close.alias("is_close"),
+            F.explode(F.array(*[F.struct(F.lit(g).alias("max_gap"), F.col(c).alias("island")) for g, c in islands])).alias("g"),
+        )
+        .select("stream_id", "seq", "start_s", "end_s", "prev_end_s", "gap", "is_close", "g.max_gap", "g.island")
+        .withColumn("opens", F.coalesce(F.col("gap") > F.col("max_gap"), F.lit(False)))
+        .withColumn("is_close", F.col("is_close") & ~F.col("opens"))
+    )
+    # A word after a long silence starts its own island and ends the one before.
+    nothing = F.lit(None).cast("double")
+    mine = F.struct(
+        "island",
+        F.when(F.col("opens") | F.col("prev_end_s").isNull(), F.col("start_s")).alias("from_s"),
+        nothing.alias("to_s"),
+        F.col("is_close").cast("long").alias("n"),
+    )
+    before = F.struct(
+        (F.col("island") - 1).alias("island"), nothing.alias("from_s"), F.col("prev_end_s").alias("to_s"), F.lit(0).cast("long").alias("n")
+    )
+    inner = (
+        per_gap.select("stream_id", "max_gap", F.explode(F.array_compact(F.array(mine, F.when(F.col("opens"), before)))).alias("e"))
+        .groupBy("stream_id", "max_gap", F.col("e.island").alias("island"))
+        .agg(F.max("e.from_s").alias("from_s"), F.max("e.to_s").alias("to_s"), F.sum("e.n").alias("n_closes"))
     )
     last = inner.groupBy("stream_id", "max_gap").agg(F.max("island").alias("_last"))
     sized = summary(
