@@ -254,6 +254,13 @@ b AS (SELECT *, greatest(2, least(round_even(0.33::DOUBLE * w / 2, 0)::BIGINT *
 ORACLES = {
     "desired_centres": f"""WITH {_BOX} SELECT video_id, frame_no, round(least(1616.0, greatest(304.0, CASE WHEN seen THEN (x + w / 2) * 1920 ELSE 960 END)), 4) AS dx,
         round(least(540.0, greatest(540.0, CASE WHEN seen THEN (y + h / 2) * 1080 ELSE 540 END)), 4) AS dy FROM bx""",
+    "crop_track": f"""WITH {_BOX}, d AS (SELECT video_id, frame_no, row_number() OVER (PARTITION BY video_id ORDER BY frame_no) AS rn,
+            least(1616.0::DOUBLE, greatest(304.0::DOUBLE, CASE WHEN seen THEN (x + w / 2) * 1920 ELSE 960 END)) AS dx FROM bx),
+        t AS (WITH RECURSIVE r AS (SELECT video_id, rn, frame_no, dx AS cx FROM d WHERE rn = 1
+            UNION ALL SELECT d.video_id, d.rn, d.frame_no, least(1616.0::DOUBLE, greatest(304.0::DOUBLE, least(r.cx + 38.4::DOUBLE, greatest(r.cx - 38.4::DOUBLE, 0.35::DOUBLE * d.dx + 0.65::DOUBLE * r.cx))))
+            FROM r JOIN d ON d.video_id = r.video_id AND d.rn = r.rn + 1) SELECT * FROM r)
+        SELECT video_id, frame_no, greatest(0, least(floor(greatest(round_even(cx - 304, 0), 0) / 2)::BIGINT * 2, 1312)) AS x, 0 AS y, 608 AS width, 1080 AS height,
+            round(cx, 4) AS cx, 540.0::DOUBLE AS cy FROM t""",
     "track_position": f"""WITH {_BOX}, k AS (SELECT video_id, frame_no::DOUBLE AS t, round_even(x * 1000, 0) AS v FROM bx WHERE frame_no % 3 = 0),
         q AS (SELECT video_id, frame_no + 0.5::DOUBLE AS t FROM bx),
         a AS (SELECT q.video_id, q.t, k.t AS t0, k.v AS v0 FROM q ASOF LEFT JOIN k ON q.video_id = k.video_id AND q.t >= k.t),

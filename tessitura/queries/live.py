@@ -13,7 +13,9 @@ def live_chat_density(spark: SparkSession, folder: str) -> DataFrame:
     """Closed five-minute windows; the watermark trails the newest message by half an hour."""
     schema = table(spark, folder, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    messages = events.select((F.col("user_id") % 4).alias("stream_id"), F.col("ts").cast("timestamp").alias("ts"))
+    # The table's clock has no zone; reading it as UTC keeps windows the same in every session.
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    messages = events.select((F.col("user_id") % 4).alias("stream_id"), F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone).alias("ts"))
     rows = live.run_to_table(live.chat_density(messages, 300.0, "30 minutes"), spark)
     return rows.select("stream_id", F.unix_seconds("window_start").alias("window_start"), F.round("level", 6).alias("level"))
 

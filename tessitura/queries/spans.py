@@ -405,6 +405,9 @@ ORACLES = {
         SELECT track_id AS file_id, count(*) AS n, sum(a)::BIGINT AS start_cs, sum(b)::BIGINT AS end_cs,
         sum(length(trim(regexp_replace(replace(replace(replace(text, '\\', '\\\\'), '{', '\\{'), '}', '\\}'), '\\{[^}]*\\}', '', 'g'))))::BIGINT AS n_chars
         FROM c GROUP BY track_id""",
+    "caption_text": with_words(_LINES)
+    + """, c AS (SELECT track_id, line_no, trim(regexp_replace(replace(replace(replace(text, '\\', '\\\\'), '{', '\\{'), '}', '\\}'), '\\{[^}]*\\}', '', 'g')) AS x FROM lines)
+        SELECT track_id AS file_id, sha256(coalesce(string_agg(x, ' ' ORDER BY line_no) FILTER (x <> ''), '')) AS digest FROM c GROUP BY track_id""",
     "caption_scan_strict": with_words(_LINES)
     + """SELECT track_id AS file_id, CASE WHEN bad THEN 0 ELSE n END AS n, CASE WHEN bad THEN 'bad_time' ELSE 'ok' END AS reason
         FROM (SELECT track_id, count(*) AS n, track_id % 8 = 0 AND count(*) FILTER (line_no = 1) > 0 AS bad FROM lines GROUP BY track_id)""",
