@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("exact", "tokens")
+MODULES = ("exact", "tokens", "near")
 
 
 def all_queries() -> dict[str, Query]:
