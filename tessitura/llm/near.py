@@ -8,7 +8,8 @@ with a probability of about 0.82, so eight trees miss one pair in a million.
 
 Leaves propose links in two rounds, so that a group of copies never lists all its pairs: first every class proposes
 its closest earlier neighbour; proposals are confirmed on full sets and linked classes merge. Then leaves propose
-every remaining pair whose members are not yet merged, those are confirmed too, and components are final.
+every remaining pair whose members are not yet merged, judged by a finer sketch of the classes that had any
+neighbour; those are confirmed too, and components are final.
 
 A node that is still large after ``LEVELS`` levels is dealt to blocks of ``LEAF`` that all hold the node's first
 class too. No row count decides between methods; every comparison's memory is bounded by ``LEAF``.
@@ -37,12 +38,15 @@ TREES = 8
 COORDINATES = 128
 #: Agreeing coordinates below which a pair's similarity is at least 3.9 standard deviations under the threshold.
 AGREE = 93
+#: The same for the finer sketch of the second round.
+FINE = 512
+FINE_AGREE = 404
 LEAF = 256
 LEVELS = 5
 SETS = "doc_id long, n long, class binary, roots binary, sketch binary"
 ROWS = "node long, class binary, n long, sketch binary"
-_SEEDS = np.random.default_rng(85).integers(0, 1 << 63, TREES + COORDINATES, dtype=np.uint64)
-_FACTORS = np.random.default_rng(86).integers(0, 1 << 63, TREES + COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SEEDS = np.random.default_rng(85).integers(0, 1 << 63, TREES + COORDINATES + FINE, dtype=np.uint64)
+_FACTORS = np.random.default_rng(86).integers(0, 1 << 63, TREES + COORDINATES + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _unique(text: np.ndarray, value: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +76,11 @@ def _class_keys(value: np.ndarray, at: np.ndarray, some: np.ndarray) -> np.ndarr
     return keys
 
 
+def _least(value: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """Minwise token of every set under hash k."""
+    return hashing.mix(np.minimum.reduceat((value ^ _SEEDS[k]) * _FACTORS[k], starts))
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
     """Size, class, tree roots and sketch of every document."""
 
@@ -84,12 +93,10 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 keys = _class_keys(value, at, some)
                 roots = np.zeros((len(count), TREES), "<u8")
                 low = np.zeros((len(count), COORDINATES), np.uint8)
-                for k in range(TREES + COORDINATES if len(some) else 0):
-                    least = np.minimum.reduceat((value ^ _SEEDS[k]) * _FACTORS[k], at[:-1][some])
-                    if k < TREES:
-                        roots[some, k] = hashing.mix(least)
-                    else:
-                        low[some, k - TREES] = hashing.mix(least).astype(np.uint8)
+                for k in range(TREES if len(some) else 0):
+                    roots[some, k] = _least(value, at[:-1][some], k)
+                for k in range(COORDINATES if len(some) else 0):
+                    low[some, k] = _least(value, at[:-1][some], TREES + k).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), pa.array(count, pa.int64()), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (keys.astype("<u8"), roots, low))],
                     names=["doc_id", "n", "class", "roots", "sketch"],
@@ -164,17 +171,13 @@ def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.concat_tables(held)
 
 
-def _agreement(sketch: np.ndarray, i: int) -> np.ndarray:
-    """Agreeing coordinates of member i with all members before it."""
-    return (sketch[:i] == sketch[i]).sum(1)
-
-
 def proposals(leaves: DataFrame, labelled: bool) -> DataFrame:
     """Pairs of classes to confirm.
 
-    Without labels every class of a leaf proposes its closest earlier neighbour. With a ``root`` column every
-    pair of different roots is proposed.
+    Without labels every class of a leaf proposes its closest earlier neighbour, or itself where it is only a
+    neighbour of later ones. With ``root`` and ``fine`` columns every pair of different roots is proposed.
     """
+    name, width, least = ("fine", FINE, FINE_AGREE) if labelled else ("sketch", COORDINATES, AGREE)
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = [], []
@@ -183,20 +186,23 @@ def proposals(leaves: DataFrame, labelled: bool) -> DataFrame:
                 continue
             table = table.combine_chunks()
             keys, n = table.column("class").to_pylist(), np.asarray(table.column("n"))
-            root = table.column("root").to_pylist() if labelled else keys
-            if labelled and len(set(root)) == 1:
-                continue
-            sketch = _matrix(table.column("sketch").chunk(0), COORDINATES)
-            number = {r: i for i, r in enumerate(root)}
-            group = np.array([number[r] for r in root])
+            number = {r: i for i, r in enumerate(table.column("root").to_pylist() if labelled else keys)}
+            group = np.array([number[r] for r in (table.column("root").to_pylist() if labelled else keys)])
+            sketch = _matrix(table.column(name).chunk(0), width)
+            near = np.zeros(len(keys), bool)
             for i in range(1, len(keys)):
-                agree = _agreement(sketch, i)
-                fits = (agree >= AGREE) & (100 * np.minimum(n[:i], n[i]) >= PERCENT * np.maximum(n[:i], n[i])) & (group[:i] != group[i])
+                agree = (sketch[:i] == sketch[i]).sum(1)
+                fits = (agree >= least) & (100 * np.minimum(n[:i], n[i]) >= PERCENT * np.maximum(n[:i], n[i])) & (group[:i] != group[i])
                 if not fits.any():
                     continue
-                chosen = np.flatnonzero(fits) if labelled else [int(np.argmax(np.where(fits, agree, -1)))]
+                chosen = np.flatnonzero(fits) if labelled else np.array([np.argmax(np.where(fits, agree, -1))])
+                near[:i] |= fits
+                near[[*chosen, i]] &= labelled
                 left.extend(min(keys[j], keys[i]) for j in chosen)
                 right.extend(max(keys[j], keys[i]) for j in chosen)
+            if not labelled:
+                left.extend(keys[j] for j in np.flatnonzero(near))
+                right.extend(keys[j] for j in np.flatnonzero(near))
             if len(left) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
                 left, right = [], []
@@ -223,11 +229,11 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     one = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
+    return pairs.filter("a <> b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(compare, "a binary, b binary")
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, text`` of one document of every class in ``wanted(class, doc_id)``."""
+    """``class, text`` and finer sketch of one document of every class in ``wanted(class, doc_id)``."""
 
     def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,11 +241,16 @@ def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 value, at = shingle_sets(rows.column("text"))
                 keys = _class_keys(value, at, np.flatnonzero(np.diff(at))).astype("<u8")
                 good = [k.tobytes() == c for k, c in zip(keys, rows.column("class").to_pylist(), strict=True)]
-                yield rows.select(["class", "text"]).filter(pa.array(good, pa.bool_()))
+                fine = np.zeros((len(good), FINE), np.uint8)
+                some = np.flatnonzero(np.diff(at))
+                for k in range(FINE if len(some) else 0):
+                    fine[some, k] = _least(value, at[:-1][some], TREES + COORDINATES + k).astype(np.uint8)
+                out = rows.select(["class", "text"]).append_column("fine", pa.array([f.tobytes() for f in fine], pa.binary()))
+                yield out.filter(pa.array(good, pa.bool_()))
 
     ids = wanted.select(F.col("doc_id").alias("_id"), "class")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text").mapInArrow(matching, "class binary, text string")
+    return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text").mapInArrow(matching, "class binary, text string, fine binary")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -256,12 +267,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = keep(class_texts(docs, classes.select("class", "doc_id").join(named, "class")), "texts")
     links = keep(confirmed(first, texts), "links")
     merged = keep(components(links), "merged").select(F.col("node").alias("class"), "root")
-    open_leaves = leaves.join(merged, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    tried = proposals(open_leaves, labelled=True).join(first, ["a", "b"], "left_anti")
-    more = keep(tried, "more-proposals")
-    fresh = more.select(F.col("a").alias("class")).unionByName(more.select(F.col("b").alias("class"))).distinct().join(named, "class", "left_anti")
-    all_texts = texts.unionByName(class_texts(docs, classes.select("class", "doc_id").join(fresh, "class")))
-    late = keep(confirmed(more, all_texts), "late-links")
+    rooted = leaves.drop("sketch").join(texts.select("class").distinct(), "class").join(merged, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    mixed = rooted.groupBy("node").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("node")
+    open_leaves = rooted.join(mixed, "node").join(texts.select("class", "fine").dropDuplicates(["class"]), "class")
+    more = keep(proposals(open_leaves, labelled=True).join(first, ["a", "b"], "left_anti"), "more-proposals")
+    late = keep(confirmed(more, texts), "late-links")
     final = merged.select(F.col("class").alias("a"), F.col("root").alias("b")).unionByName(late)
     whole = keep(components(final), "components")
     labelled = classes.select("class", "doc_id", "copies").join(whole.withColumnRenamed("node", "class"), "class", "left")
