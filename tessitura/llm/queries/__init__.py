@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("exact", "tokens", "near", "contamination", "sharding")
+MODULES = ("scores", "exact", "tokens", "near", "contamination", "sharding")
 
 
 def all_queries() -> dict[str, Query]:
