@@ -53,6 +53,11 @@ class Words(NamedTuple):
         raw = (self.sums[end] - self.sums[self.start]) * _power(BASE_INVERSE, len(self.sums))[self.start]
         return mix(raw + (end - self.start).astype(np.uint64))
 
+    def longer(self, length: int) -> Words:
+        """Only the words of more than ``length`` bytes."""
+        some = self.end - self.start > length
+        return Words(self.text[some], self.start[some], self.end[some], self.sums)
+
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = NOT_SPACE) -> Words:
     """Maximal runs of bytes for which ``inside`` holds, never across two texts."""

@@ -5,8 +5,9 @@ the labelled training rows. With it the risk of a classifier over toxic and clea
 where the estimated risk over clean text turns negative, which only overfitting can do, the step goes back instead.
 Several logistic classifiers, each fitted on its own resample, are averaged.
 
-Features are hashed words and word beginnings of 4 to 7 bytes, present or not; those whose share differs most between
-the two samples are kept. Fitting reads at most ``POSITIVE`` + ``UNLABELLED`` documents, chosen by their id's hash.
+Features are hashed words and the first 3 to 9 bytes of longer words, valued by their occurrences per hundred words
+(the text counts as a hundred words at least, and values end at ``MOST``), so one chance occurrence in a long text means
+little; those whose share differs most between the two samples are kept. Fitting reads at most ``POSITIVE`` + ``UNLABELLED`` documents, chosen by their id's hash.
 
 Defined results: null, empty and wordless texts score the bias alone; a training set without toxic rows gives the
 prior to every document; null ids are scored like others; an empty table gives no rows. Only text makes a score.
@@ -31,9 +32,15 @@ UNLABELLED = 5_000
 FEATURES = 2_048
 CLASSIFIERS = 3
 STEPS = 250
-BEGINNINGS = (4, 5, 6, 7)
+DECAY = 1e-3
+BEGINNINGS = (3, 4, 5, 6, 7, 8, 9)
 BUCKETS = 1 << 20
+#: Occurrences per hundred words below which a feature is left out, at which it counts as present, and the largest value.
+LEAST, PRESENT, MOST = 0.2, 0.5, 3.0
 LEAST_SCORE = 0.3
+#: Standard deviations by which a feature's shares must differ.
+STRENGTH = 3.0
+FEATURE = np.dtype([("bucket", "<i4"), ("value", "<f4")])
 
 
 class Model(NamedTuple):
@@ -44,53 +51,76 @@ class Model(NamedTuple):
     biases: np.ndarray
 
 
-def buckets_of(texts: pa.Array, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, bucket) of every distinct feature; only ``kept`` buckets, as positions among them, where given."""
+def buckets_of(texts: pa.Array, kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, value) of every feature; only ``kept`` buckets, as positions among them, where given."""
     data, offsets = text_bytes(texts)
     found = hashing.words(data, offsets, hashing.WORDLIKE)
-    at, values = [], []
+    keys = []
     for k, length in enumerate((None, *BEGINNINGS)):
-        value = hashing.mix(found.prefix_hash(length) + np.uint64(k)) % np.uint64(BUCKETS)
-        text = found.text
+        own = found if length is None else found.longer(length)
+        value = hashing.mix(own.prefix_hash(length) + np.uint64(k)) % np.uint64(BUCKETS)
+        text = own.text
         if kept is not None:
             place = np.minimum(np.searchsorted(kept, value), max(len(kept) - 1, 0))
             hit = kept[place] == value if len(kept) else np.zeros(len(value), bool)
             value, text = place[hit], text[hit]
-        at.append(text)
-        values.append(value.astype(np.int64))
-    both = np.unique(np.concatenate(at) * BUCKETS + np.concatenate(values))
-    return both // BUCKETS, both % BUCKETS
+        keys.append(text * BUCKETS + value.astype(np.int64))
+    both, times = np.unique(np.concatenate(keys), return_counts=True)
+    text = both // BUCKETS
+    rate = times / np.maximum(np.bincount(found.text, minlength=len(texts)) / 100, 1)[text]
+    some = rate >= LEAST
+    return text[some], both[some] % BUCKETS, np.minimum(rate[some], MOST).astype(np.float32)
 
 
 def _sample(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
-    """Feature buckets of each document of the sample, in the order of ids."""
+    """Buckets and values of each document of the sample, in the order of ids."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, "text"):
-                text, bucket = buckets_of(rows.column("text"))
+                text, bucket, value = buckets_of(rows.column("text"))
                 ends = np.searchsorted(text, np.arange(rows.num_rows + 1))
-                lists = [bucket[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(lists, pa.binary())], names=["doc_id", "buckets"])
+                both = np.empty(len(bucket), FEATURE)
+                both["bucket"], both["value"] = bucket, value
+                lists = [both[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(lists, pa.binary())], names=["doc_id", "features"])
 
-    rows = texts_of(docs, ids.select("doc_id")).select("doc_id", "text").mapInArrow(features, "doc_id long, buckets binary").toArrow()
-    return [np.frombuffer(b, "<i4") for _, b in sorted(zip(rows["doc_id"].to_pylist(), rows["buckets"].to_pylist(), strict=True))]
+    rows = texts_of(docs, ids.select("doc_id")).select("doc_id", "text").mapInArrow(features, "doc_id long, features binary").toArrow()
+    return [np.frombuffer(b, FEATURE) for _, b in sorted(zip(rows["doc_id"].to_pylist(), rows["features"].to_pylist(), strict=True))]
 
 
 def _matrix(lists: list[np.ndarray], kept: np.ndarray) -> np.ndarray:
     out = np.zeros((len(lists), len(kept)), np.float32)
+    if not len(kept):
+        return out
     for row, own in zip(out, lists, strict=True):
-        place = np.searchsorted(kept, own)
+        place = np.searchsorted(kept, own["bucket"])
         place[place == len(kept)] = 0
-        row[place[kept[place] == own]] = 1
+        hit = kept[place] == own["bucket"]
+        row[place[hit]] = own["value"][hit]
     return out
 
 
+def _shares(lists: list[np.ndarray]) -> np.ndarray:
+    """Share of the documents in which each bucket is present."""
+    every = np.concatenate(lists)
+    return np.bincount(every["bucket"][every["value"] >= PRESENT], minlength=BUCKETS) / len(lists)
+
+
+def kept_buckets(yes: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """The buckets whose shares differ most, in ascending order."""
+    share_yes, share_other = _shares(yes), _shares(other)
+    spread = np.sqrt(share_other * (1 - share_other) / len(yes) + 1 / len(yes) ** 2)
+    strength = np.abs(share_yes - share_other) / spread
+    kept = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
+    return kept[strength[kept] > STRENGTH]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit_one(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, decay: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_one(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, decay: float = DECAY) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk under logistic loss, by Adam over all rows."""
     width = positive.shape[1]
     theta, first, second = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
@@ -128,11 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE, unlabelle
     other = _sample(docs, sampled_ids(any_ids, unlabelled))
     if not yes or not other:
         return empty
-    share_yes, share_other = (np.bincount(np.concatenate(x), minlength=BUCKETS) / len(x) for x in (yes, other))
-    spread = np.sqrt(share_other * (1 - share_other) / len(yes) + 1 / len(yes) ** 2)
-    strength = np.abs(share_yes - share_other) / spread
-    kept = np.sort(np.argsort(-strength, kind="stable")[:FEATURES])
-    kept = kept[strength[kept] > 0]
+    kept = kept_buckets(yes, other)
     p, u, random = _matrix(yes, kept), _matrix(other, kept), np.random.default_rng(7)
     fitted = [fit_one(p[random.integers(0, len(p), len(p))], u[random.integers(0, len(u), len(u))], prior) for _ in range(CLASSIFIERS)]
     return Model(kept.astype(np.uint64), np.array([w for w, _ in fitted]), np.array([b for _, b in fitted]))
@@ -140,8 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVE, unlabelle
 
 def scores(texts: pa.Array, model: Model) -> np.ndarray:
     """Probability of being toxic of each text: the mean over the classifiers."""
-    text, place = buckets_of(texts, model.buckets)
-    sums = np.stack([b + np.bincount(text, w[place] if len(w) else None, minlength=len(texts)) for w, b in zip(model.weights, model.biases, strict=True)])
+    text, place, value = buckets_of(texts, model.buckets)
+    sums = np.stack([b + np.bincount(text, w[place] * value, minlength=len(texts)) for w, b in zip(model.weights, model.biases, strict=True)])
     return _sigmoid(sums).mean(0)
 
 
