@@ -11,8 +11,9 @@ its closest earlier neighbour; proposals are confirmed on full sets and linked c
 every remaining pair whose members are not yet merged, judged by a finer sketch of the classes that had any
 neighbour; those are confirmed too, and components are final.
 
-A node that is still large after ``LEVELS`` levels is dealt to blocks of ``LEAF`` that all hold the node's first
-class too. No row count decides between methods; every comparison's memory is bounded by ``LEAF``.
+A node that is still large after ``LEVELS`` levels is dealt at random to blocks of ``LEAF`` that all hold the node's
+first class too, anew for each of the 32 paths of a class, so members meet in some block, by way of the first class or
+by way of each other. No row count decides between methods; every comparison's memory is bounded by ``LEAF``.
 
 Defined results: null, empty and white-space texts have no shingles and are alone; fewer than five words are one
 shingle; rows that repeat a text are one class; rows of null id are linked like others, and a component of null ids
@@ -41,8 +42,8 @@ AGREE = 93
 #: The same for the finer sketch of the second round.
 FINE = 512
 FINE_AGREE = 404
-LEAF = 256
-LEVELS = 5
+LEAF = 512
+LEVELS = 3
 SETS = "doc_id long, n long, class binary, roots binary, sketch binary"
 ROWS = "node long, class binary, n long, sketch binary"
 _SEEDS = np.random.default_rng(85).integers(0, 1 << 63, TREES + COORDINATES + FINE, dtype=np.uint64)
@@ -147,7 +148,7 @@ def leaf_rows(classes: DataFrame) -> DataFrame:
         rows = large.drop("m").mapInArrow(_children, ROWS)
     blocks = F.ceil(F.col("m") / LEAF).cast("long")
     first = large.groupBy("node", "m").agg(F.min(F.struct("class", "n", "sketch")).alias("one"))
-    dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("class"), blocks)).alias("node"), "class", "n", "sketch")
+    dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("class", "node"), blocks)).alias("node"), "class", "n", "sketch")
     pivots = first.select("node", "one", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block")).select(
         F.xxhash64("node", "block").alias("node"), "one.*"
     )
