@@ -40,8 +40,8 @@ COORDINATES = 128
 #: Agreeing coordinates below which a pair's similarity is at least 3.9 standard deviations under the threshold.
 AGREE = 93
 #: The same for the finer sketch of the second round.
-FINE = 512
-FINE_AGREE = 404
+FINE = 1024
+FINE_AGREE = 826
 LEAF = 512
 LEVELS = 3
 SETS = "doc_id long, n long, class binary, roots binary, sketch binary"
