@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from tessitura.llm.common import keep
 
 KINDS = ("email", "ip", "card", "phone")
-#: The strict patterns. Lookbehinds and possessive repeats only keep long runs from being tried again.
+#: The strict patterns. Lookbehinds and possessive repeats only keep long runs from being tried again, and
+#: card numbers of fewer than 13 digits, which no check passes, are not listed.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
-CARD = r"[0-9](?:[\x20-]?[0-9])++"
+CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Looser generators.
 SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++"
@@ -74,18 +75,18 @@ def _bin(value: Column, *limits: int) -> Column:
 def _matches(text: str, pattern: str, hint: Column, kind: int, strict: bool) -> Column:
     """Spans of a pattern with their features; ``hint`` is a cheap test without which nothing can match."""
     pieces, found = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"))
+    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"), F.slice(pieces, 2, F.size(found)).alias("q"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("spans"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["p"], F.lit(24)).alias("p"), F.left(x["q"], F.lit(1)).alias("q")))).alias("spans"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("spans"))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string,p:string,q:string>>").alias("spans"))
     spans = F.aggregate(pairs, empty, step, lambda acc: acc["spans"])
 
     def described(s: Column) -> Column:
-        m, before = s["m"], F.substring(F.col(text), F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
+        m = s["m"]
         return F.struct(
             F.lit(kind).alias("kind"),
             s["start"].cast("long").alias("start"),
@@ -96,9 +97,9 @@ def _matches(text: str, pattern: str, hint: Column, kind: int, strict: bool) ->
             _bin(F.length(F.regexp_replace(m, r"[^\x20.()\[\]:@-]", "")), 1, 2, 3, 5).alias("separators"),
             F.when(F.startswith(m, F.lit("+")), 1).otherwise(0).alias("plus"),
             F.when(F.regexp_like(m, F.lit(r"[()\[\]]")), 1).otherwise(0).alias("brackets"),
-            _kind_of_char(F.substring(F.col(text), F.greatest(s["start"], F.lit(1)), F.when(s["start"] > 0, 1).otherwise(0))).alias("before"),
-            _kind_of_char(F.substring(F.col(text), s["end"] + 1, F.lit(1))).alias("after"),
-            F.when(F.regexp_like(before, F.lit(CUES[kind])), 1).otherwise(0).alias("cue"),
+            _kind_of_char(F.right(s["p"], F.lit(1))).alias("before"),
+            _kind_of_char(s["q"]).alias("after"),
+            F.when(F.regexp_like(s["p"], F.lit(CUES[kind])), 1).otherwise(0).alias("cue"),
         )
 
     return F.when(hint, F.transform(spans, described)).otherwise(F.array().cast(f"array<{SPAN}>"))
