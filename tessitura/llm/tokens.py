@@ -2,7 +2,8 @@
 
 The split before the merges never joins what stands on two sides of a single space, so the ids of a text are
 the ids of its pieces one after another: the byte vocabulary's pieces start with their space, the word
-vocabulary drops spaces. Texts in which that could fail (runs of white space, strings of special tokens) are
+vocabulary drops spaces. A piece not seen before is put together from its lines and from words apart from the marks
+after them, for the split parts those too. ASCII texts are lowered first where the vocabulary lowers. Texts in which that could fail (runs of white space, strings of special tokens) are
 encoded whole.
 """
 
@@ -14,8 +15,10 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 _RUN = re.compile(r"\s\s")
+_SPACE = re.compile(r"\s")
+MARKS = ".,;:!?"
 
 
 def public_file(name: str) -> str:
@@ -36,28 +39,51 @@ class PieceEncoder:
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.spaces_kept, self.remembered = spaces_kept, remembered
+        self.atoms: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {} if spaces_kept else self.first
 
     def _ids(self, texts: Iterable[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.model.encode_batch_fast(list(texts), add_special_tokens=False)]
 
+    def _atoms(self, piece: str, lead: str) -> list[str]:
+        """Strings whose ids, one after another, are those of ``lead`` + ``piece``."""
+        lines = piece.split("\n")
+        if len(lines) > 1 and any(not x or _SPACE.search(x) for x in lines):
+            return [lead + piece]
+        out = []
+        for i, line in enumerate(lines):
+            if i:
+                out.append("\n")
+            core = line.rstrip(MARKS)
+            if core and core[-1].isascii() and core[-1].isalnum():
+                out += [("" if i else lead) + core, *([line[len(core) :]] if core != line else [])]
+            else:
+                out.append(("" if i else lead) + line)
+        return out
+
     def _learn(self, memo: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = sorted(pieces - memo.keys())
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            memo.update(zip(part, self._ids([lead + p for p in part]), strict=True))
+        new = {p: self._atoms(p, lead) for p in pieces if p not in memo}
+        atoms = sorted({a for found in new.values() for a in found if a not in self.atoms})
+        for i in range(0, len(atoms), 5000):
+            part = atoms[i : i + 5000]
+            self.atoms.update(zip(part, self._ids(part), strict=True))
+        known = self.atoms
+        memo.update((p, known[a[0]] if len(a) == 1 else b"".join([known[x] for x in a])) for p, a in new.items())
+
+    def _lowered(self, text: str) -> str:
+        return (text.lower() if text.isascii() else text).replace("\n", " ")
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text."""
-        if len(self.first) + len(self.later) > self.remembered:
-            self.first.clear()
-            self.later.clear()
+        if len(self.first) + len(self.later) + len(self.atoms) > self.remembered:
+            for memo in (self.first, self.later, self.atoms):
+                memo.clear()
         out: list[bytes | None] = [None] * len(texts)
         whole = [i for i, t in enumerate(texts) if "<|" in t or self.spaces_kept and _RUN.search(t)]
         for i, ids in zip(whole, self._ids(texts[i] for i in whole), strict=True):
             out[i] = ids
-        cut = [(i, t.split(" ")) for i, t in enumerate(texts) if out[i] is None]
+        cut = [(i, (t if self.spaces_kept else self._lowered(t)).split(" ")) for i, t in enumerate(texts) if out[i] is None]
         self._learn(self.first, {p[0] for _, p in cut}, "")
         self._learn(self.later, {x for _, p in cut for x in p[1:]}, " " if self.spaces_kept else "")
         later = self.later
