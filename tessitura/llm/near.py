@@ -145,7 +145,7 @@ def leaf_rows(classes: DataFrame) -> DataFrame:
         large = here.filter(F.col("m") > LEAF)
         if large.isEmpty():
             return found
-        rows = large.drop("m").mapInArrow(_children, ROWS)
+        rows = keep(large.drop("m").mapInArrow(_children, ROWS), f"children-{level}")
     blocks = F.ceil(F.col("m") / LEAF).cast("long")
     first = large.groupBy("node", "m").agg(F.min(F.struct("class", "n", "sketch")).alias("one"))
     dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("class", "node"), blocks)).alias("node"), "class", "n", "sketch")
