@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType
 
 ENYE = "ñ"
-ENYE_KEPT = "\x00enye\x00"
 SPACES = r"[\s\x0b\x1c-\x1f]+"
 EDGE_SPACES = r"^[\s\x0b\x1c-\x1f]+|[\s\x0b\x1c-\x1f]+$"
 
 
+def _bare(char: str) -> str:
+    """A character without its marks; ñ stays whole."""
+    return char if char == ENYE else "".join(part for part in unicodedata.normalize("NFKD", char) if not unicodedata.combining(part))
+
+
 def fold(text: str) -> str:
     """Case-folded text without accents, ñ kept apart from n, white space collapsed."""
-    kept = unicodedata.normalize("NFC", text).casefold().replace(ENYE, ENYE_KEPT)
-    bare = "".join(c for c in unicodedata.normalize("NFKD", kept) if not unicodedata.combining(c))
-    return " ".join(bare.replace(ENYE_KEPT, ENYE).split())
+    return " ".join("".join(map(_bare, unicodedata.normalize("NFC", text).casefold())).split())
 
 
 def fold_mentions(text: str) -> str:

@@ -13,7 +13,7 @@ from tessitura.plans.scan import prefix_scan, row_block
 SOURCE_STAGES = ("transcribe", "moments", "select", "reframe", "subtitles", "completed")
 AUDIO_STAGES = ("subtitles", "completed")
 MAX_NAME = 64
-INTERRUPTED = "Worker ended without a terminal result; explicit retry is required."
+INTERRUPTED = "no_final_result"
 PRESETS = {"clean": (54, "&H00000000", 1), "bold": (62, "&H80000000", 1), "boxed": (54, "&H99000000", 3)}
 SIZES = {"small": 46, "large": 70}
 ROWS = {"top": (7, 60), "middle": (4, 0), "bottom": (1, 80)}

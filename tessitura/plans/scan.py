@@ -34,11 +34,13 @@ def summary(frame: DataFrame) -> DataFrame:
 
     Several later steps read it, and plans that nest one scan in another would otherwise repeat the
     pass over the rows for each. The checkpoint goes to the cluster's shared folder, so a lost
-    executor costs nothing.
+    executor costs nothing; only a session in one process gets a folder of its own.
     """
     context = frame.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessitura-"))
     return frame.checkpoint()
 
