@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessitura.operators.segments import linked_words
 from tessitura.params import CLOSING_MARKS, SENTENCE_MARKS
-from tessitura.plans.chain import FOLD_ROWS, reached
-from tessitura.plans.scan import exact_median, prefix_scan, row_block, summary, time_block
+from tessitura.plans.chain import reached
+from tessitura.plans.scan import BLOCK_FAN, BLOCK_ROWS, exact_median, prefix_scan, row_block, summary, time_block
 
 # Fixed values.
 STOCK_PHRASES = (
@@ -257,18 +261,17 @@ def silence_spans(linked: DataFrame, bounds: DataFrame, island: str = "island_0"
     )
 
 
-def _fold_cuts(groups: DataFrame, window: Column) -> DataFrame:
-    """Greedy cuts of each group's sorted close ends, folded inside the JVM.
+def _fold_cuts(groups: DataFrame) -> DataFrame:
+    """Greedy cuts of each group's close ends in file order, folded inside the JVM.
 
-    ``groups``: ``from_s``, ``to_s`` and ``ends`` (sorted). Gives spans as an array, tail included.
+    ``groups``: ``from_s``, ``to_s``, ``window_s`` and ``ends``, at most a block of them. Gives spans as an array, tail included.
     """
     start = F.struct(F.col("from_s").alias("cut"), F.array().cast("array<struct<start_s:double,end_s:double>>").alias("spans"))
 
     def step(state: Column, end: Column) -> Column:
-        due = end - state["cut"] >= window
         span = F.array(F.struct(state["cut"].alias("start_s"), end.alias("end_s")))
-        grown = F.when(state["cut"] < end, F.concat(state["spans"], span)).otherwise(state["spans"])
-        return F.when(due, F.struct(end.alias("cut"), grown.alias("spans"))).otherwise(state)
+        due = end - state["cut"] >= F.col("window_s")
+        return F.when(due, F.struct(end.alias("cut"), F.concat(state["spans"], span).alias("spans"))).otherwise(state)
 
     folded = groups.withColumn("_f", F.aggregate("ends", start, step))
     tail = F.array(F.struct(F.col("_f.cut").alias("start_s"), F.col("to_s").alias("end_s")))
@@ -277,59 +280,93 @@ def _fold_cuts(groups: DataFrame, window: Column) -> DataFrame:
     ).drop("_f", "ends")
 
 
+def _first_due(nodes: DataFrame, targets: DataFrame, on: list[str], later: bool = True) -> DataFrame:
+    """Adds ``hit`` to ``nodes(on, at, cut, window_s, ...)``; null where nothing is due.
+
+    It is the first ``pos`` of ``targets(on, pos, value)``, past ``at`` where ``later``, with
+    ``value - cut >= window_s``. Values need no order.
+    """
+
+    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left, right = left.sort_values("at", ascending=False), right.sort_values("pos", ascending=False)
+        pos, value = right["pos"].tolist(), right["value"].tolist()
+        # Targets above every one between them and the node, the nearest last.
+        above: list[int] = []
+        hits: list[int | None] = []
+        i = 0
+        for at, cut, window in zip(left["at"].tolist(), left["cut"].tolist(), left["window_s"].tolist(), strict=True):
+            while i < len(pos) and (not later or pos[i] > at):
+                while above and value[above[-1]] <= value[i]:
+                    above.pop()
+                above.append(i)
+                i += 1
+            n_due = bisect_left(above, True, key=lambda k, cut=cut, window=window: value[k] - cut < window)
+            hits.append(pos[above[n_due - 1]] if n_due else None)
+        return left.assign(hit=pd.array(hits, dtype="Int64"))
+
+    schema = StructType([*nodes.schema.fields, StructField("hit", LongType())])
+    # Both sides come from the same rows, so the second gets column names of its own.
+    other = [f"_{c}" for c in on]
+    offered = targets.select(*[F.col(c).alias(o) for c, o in zip(on, other, strict=True)], "pos", "value")
+    return nodes.groupBy(*on).cogroup(offered.groupBy(*other)).applyInPandas(find, schema)
+
+
 def _walked_cuts(events: DataFrame, keys: list[str]) -> DataFrame:
-    """The same greedy cuts for groups too long for one array.
+    """The same greedy cuts for groups of more than a block.
 
-    ``events``: keys, ``seq``, ``end_s`` of each close, plus one row per key with ``head`` set whose
-    ``end_s`` is the group start; ``window_s`` is a column. Each close is pointed at the first later
-    close that is due by a reverse scan over closes and due-times, and the pointers are then walked.
+    ``events``: keys, ``window_s``, ``seq`` and ``end_s`` of each close, plus one row per key with ``head`` set
+    whose ``end_s`` is the group start. Each row is pointed at the first later close that is due: in its own
+    block, else in the first later block whose largest end is due, found the same way over blocks and groups of
+    blocks. The pointers are then walked. Nothing relies on times growing with ``seq``. Rows that look into one
+    block come apart by their own group of blocks, so no task sees more than that.
     """
-    after = prefix_scan(
-        events.filter(~F.col("head")),
-        keys,
-        ["end_s", "seq"],
-        time_block(F.col("end_s")),
-        lasts={"next_close": F.struct("seq", "end_s")},
-        reverse=True,
-    )
-    targets = after.select(
-        *keys, F.col("end_s").alias("t"), F.lit(1).alias("kind"), "seq", "end_s", "window_s", "next_close", F.lit(False).alias("head")
-    )
-    probes = events.select(
-        *keys,
-        (F.col("end_s") + F.col("window_s") - 1e-6).alias("t"),
-        F.lit(0).alias("kind"),
-        "seq",
-        "end_s",
-        "window_s",
-        F.lit(None).cast(after.schema["next_close"].dataType).alias("next_close"),
-        "head",
-    )
-    due = prefix_scan(
-        targets.unionByName(probes),
-        keys,
-        ["t", "kind", "seq"],
-        time_block(F.col("t")),
-        lasts={"hit": F.when(F.col("kind") == 1, F.struct("seq", "end_s", "next_close"))},
-        reverse=True,
-    ).filter(F.col("kind") == 0)
-    nxt = F.when(F.col("hit.end_s") - F.col("end_s") >= F.col("window_s"), F.col("hit.seq")).otherwise(F.col("hit.next_close.seq"))
-    edges = due.select(*keys, F.col("seq").alias("node"), nxt.alias("nxt"), time_block(F.col("end_s")).alias("block"), "head")
+    block, group = row_block(F.col("seq")), F.floor(row_block(F.col("seq")) / BLOCK_FAN).cast("long")
+    nodes = events.select(*keys, "window_s", "seq", "head", F.col("end_s").alias("cut"), block.alias("block"), group.alias("group"))
+    closing = events.filter(~F.col("head")).select(*keys, F.col("seq").alias("pos"), F.col("end_s").alias("value"), block.alias("block"), group.alias("group"))
+    per_block = closing.groupBy(*keys, "group", "block").agg(F.max("value").alias("value")).withColumn("pos", F.col("block"))
+    per_group = per_block.groupBy(*keys, F.col("group").alias("pos")).agg(F.max("value").alias("value"))
+    # Several later steps read each of these, so they are kept in the shared folder.
+    here = summary(_first_due(nodes.withColumn("at", F.col("seq")), closing, [*keys, "block"]))
+    near = summary(_first_due(here.filter("hit IS NULL").drop("hit").withColumn("at", F.col("block")), per_block, [*keys, "group"]))
+    far = near.filter("hit IS NULL").drop("hit").withColumn("at", F.col("group"))
+    far = summary(_first_due(far, per_group.join(far.select(*keys, "group").distinct(), keys), [*keys, "group"]))
+
+    def inside(found: DataFrame, targets: DataFrame, name: str) -> DataFrame:
+        """First due target of the ``name`` that ``hit`` gives."""
+        aimed = found.filter("hit IS NOT NULL").withColumnRenamed("hit", "goal")
+        wanted = aimed.select(*keys, "goal", "group").distinct()
+        offered = targets.select(*keys, F.col(name).alias("goal"), "pos", "value").join(wanted, [*keys, "goal"])
+        return _first_due(aimed, offered, [*keys, "goal", "group"], later=False).drop("goal")
+
+    there = inside(near.unionByName(summary(inside(far, per_block, "group"))), closing, "block")
+    pointed = [here.filter("hit IS NOT NULL"), there, far.filter("hit IS NULL")]
+    edges = reduce(DataFrame.unionByName, [f.select(*keys, F.col("seq").alias("node"), F.col("hit").alias("nxt"), "block", "head") for f in pointed])
     return reached(edges, keys)
 
 
+def _between(cuts: DataFrame, extents: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans from each of ``cuts(keys, seq, end_s)`` to the next one, and from the last to the group's end if that is later."""
+    chained = prefix_scan(cuts, keys, ["seq"], row_block(F.col("seq")), lasts={"upto": F.col("end_s")}, reverse=True)
+    return (
+        chained.join(extents.select(*keys, "to_s"), keys)
+        .filter(F.col("upto").isNotNull() | (F.col("end_s") < F.col("to_s")))
+        .select(*keys, F.col("end_s").alias("start_s"), F.coalesce("upto", "to_s").alias("end_s"))
+    )
+
+
 def cut_spans(
     linked: DataFrame,
     bounds: DataFrame,
     islands: Sequence[tuple[float, str]],
     windows: Sequence[float | None],
     null_cuts_every_close: bool = False,
-    fold_rows: int = FOLD_ROWS,
+    fold_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Spans cut at silences and, after a window, at sentence closes, for every (gap, window) pair.
 
     ``bounds``: ``stream_id, from_s, to_s``. A word that opens an island is not itself tested for a
-    close. Without a window the closes cut nothing, or everything when ``null_cuts_every_close``.
+    close. Without a window the closes cut nothing, or everything when ``null_cuts_every_close``: then each
+    close ends a span, also one that lies before the last cut. Cuts follow ``seq``, whatever the times do.
     """
     keys = ["stream_id", "max_gap", "island"]
     # Only closes and words after a silence matter, so the rest never multiplies by the number of gaps.
@@ -378,17 +415,30 @@ def cut_spans(
             "n_closes",
         )
     )
-    options = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("window_no"), F.lit(w).cast("double").alias("window_s")) for i, w in enumerate(windows)])
-    )
+    heads = sized.select(*keys, F.lit(-1).cast("long").alias("seq"), F.col("from_s").alias("end_s"))
+    closing = per_gap.filter(F.col("is_close") & F.col("end_s").isNotNull()).select(*keys, "seq", "end_s")
+    shown = [*keys, "window_no", "window_s", "start_s", "end_s"]
+    results: list[DataFrame] = []
+    folded_windows = list(enumerate(windows))
+    if null_cuts_every_close and None in windows:
+        every = _between(closing.unionByName(heads), sized, keys)
+        results.extend(
+            every.withColumn("window_no", F.lit(i)).withColumn("window_s", F.lit(None).cast("double")).select(*shown)
+            for i, w in folded_windows
+            if w is None
+        )
+        folded_windows = [(i, w) for i, w in folded_windows if w is not None]
+    if not folded_windows:
+        return reduce(DataFrame.unionByName, results)
+    never = float("inf")
+    options = F.explode(F.array(*[F.struct(F.lit(i).alias("window_no"), F.lit(never if w is None else float(w)).alias("window_s")) for i, w in folded_windows]))
+    shown_window = F.when(F.col("window_s") < never, F.col("window_s")).alias("window_s")
     small = F.col("n_closes") <= fold_rows
     ends = (
-        per_gap.filter("is_close")
-        .join(sized.filter(small).select(*keys), keys)
+        closing.join(sized.filter(small).select(*keys), keys)
         .groupBy(*keys)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "end_s"))), lambda c: c["end_s"]).alias("ends"))
     )
-    every = F.lit(-1.0) if null_cuts_every_close else F.lit(float("inf"))
     groups = (
         sized.filter(small)
         .join(ends, keys, "left")
@@ -396,34 +446,23 @@ def cut_spans(
         .select("*", options.alias("w"))
         .select("*", "w.window_no", "w.window_s")
     )
-    folded = _fold_cuts(groups, F.coalesce("window_s", every)).select(
-        *keys, "window_no", "window_s", F.explode("spans").alias("s")
-    )
-    result = folded.select(*keys, "window_no", "window_s", "s.start_s", "s.end_s")
+    folded = _fold_cuts(groups).select(*keys, "window_no", "window_s", F.explode("spans").alias("s"))
+    results.append(folded.select(*keys, "window_no", shown_window, "s.start_s", "s.end_s"))
     if not sized.filter(~small).isEmpty():
-        large = sized.filter(~small).select("*", options.alias("w")).select("*", "w.window_no", F.coalesce("w.window_s", every).alias("window_s"))
         wide = [*keys, "window_no"]
+        large = sized.filter(~small).select("*", options.alias("w")).select("*", "w.window_no", "w.window_s")
         events = (
-            per_gap.filter("is_close")
-            .select(*keys, "seq", "end_s")
-            .join(large.select(*wide, "window_s"), keys)
+            closing.join(large.filter(F.col("window_s") < never).select(*wide, "window_s"), keys)
             .withColumn("head", F.lit(False))
-            .unionByName(
-                large.select(*keys, F.lit(-1).cast("long").alias("seq"), F.col("from_s").alias("end_s"), "window_no", "window_s", F.lit(True).alias("head"))
-            )
+            .unionByName(heads.join(large.select(*wide, "window_s"), keys).withColumn("head", F.lit(True)))
         )
         visited = _walked_cuts(events, wide).withColumnRenamed("node", "seq").join(events, [*wide, "seq"])
-        chained = prefix_scan(
-            visited, wide, ["end_s", "seq"], time_block(F.col("end_s")), lasts={"upto": F.col("end_s")}, reverse=True
-        ).join(large.select(*wide, "to_s"), wide)
-        spans = chained.select(
-            *wide, F.col("window_s"), F.col("end_s").alias("start_s"), F.coalesce("upto", "to_s").alias("end_s")
-        ).filter(F.col("start_s") < F.col("end_s"))
-        result = result.unionByName(spans)
-    return result
+        spans = _between(visited.select(*wide, "seq", "end_s"), large, wide).join(large.select(*wide, "window_s"), wide)
+        results.append(spans.select(*wide, shown_window, "start_s", "end_s"))
+    return reduce(DataFrame.unionByName, results)
 
 
-def sweep_grid(linked: DataFrame, bounds: DataFrame, islands: Sequence[tuple[float, str]], fold_rows: int = FOLD_ROWS) -> DataFrame:
+def sweep_grid(linked: DataFrame, bounds: DataFrame, islands: Sequence[tuple[float, str]], fold_rows: int = BLOCK_ROWS) -> DataFrame:
     """Spans, usable spans and usable seconds for every gap and window pair."""
     spans = cut_spans(linked, bounds, islands, SWEEP_WINDOWS, fold_rows=fold_rows)
     length = F.col("end_s") - F.col("start_s")

@@ -114,6 +114,56 @@ def test_cut_sweep_matches_fold_on_both_paths(spark):
         assert {(r.stream_id, r.max_gap, r.window_no, r.start_s, r.end_s) for r in spans.collect()} == want
 
 
+def shuffled_times(rows, seed):
+    """The same words with starts that jump back and words that last no time or less."""
+    rng, out = random.Random(seed), []
+    for s, k, a, b, text, c in rows:
+        back = rng.choice([0, 0, 0, 0, 7.0, 33.0])
+        out.append((s, k, a - back, (a - back) if rng.random() < 0.05 else (a - back - 1 if rng.random() < 0.05 else b - back), text, c))
+    return out
+
+
+def every_close(rows, end):
+    spans, cut = [], 0.0
+    for r in rows:
+        if r[4][-1] in ".?!":
+            spans.append((cut, r[3]))
+            cut = r[3]
+    return [*spans, (cut, end)] if cut < end else spans
+
+
+def test_cuts_follow_the_file_when_times_do_not(spark, monkeypatch):
+    rows = shuffled_times(make_words(5, streams=2, n=240), 6)
+    frame = spark.createDataFrame(rows, WORDS)
+    bounds = frame.groupBy("stream_id").agg(F.lit(0.0).alias("from_s"), F.max("end_s").alias("to_s"))
+    # Blocks of 16 words and groups of 2 blocks, so that pointers cross both.
+    monkeypatch.setattr(audit, "row_block", lambda c: F.floor(c / 16).cast("long"))
+    monkeypatch.setattr(audit, "BLOCK_FAN", 2)
+    for gap in (3.0,):
+        linked = audit.in_file_order(frame, [gap])
+        want = set()
+        for s in (0, 1):
+            mine = [r for r in rows if r[0] == s]
+            for n, window in enumerate((5.0, 30.0, None)):
+                want |= {(s, n, a, b) for a, b in combined(mine, max(r[3] for r in mine), gap, window)}
+        for limit in (4096, 0):
+            spans = audit.cut_spans(linked, bounds, [(gap, "island_0")], (5.0, 30.0, None), fold_rows=limit).collect()
+            assert {(r.stream_id, r.window_no, r.start_s, r.end_s) for r in spans} == want, (gap, limit)
+    whole = audit.in_file_order(frame).withColumn("island_0", F.lit(0).cast("long"))
+    spans = audit.cut_spans(whole, bounds, [(float("inf"), "island_0")], (None,), null_cuts_every_close=True).collect()
+    got = sorted((r.stream_id, r.start_s, r.end_s) for r in spans)
+    assert got == sorted((s, a, b) for s in (0, 1) for a, b in every_close([r for r in rows if r[0] == s], max(r[3] for r in rows if r[0] == s)))
+
+
+def test_lines_follow_the_file_when_times_do_not(spark):
+    rows = shuffled_times(make_words(7, streams=2), 8)
+    frame = spark.createDataFrame(rows, WORDS).withColumnRenamed("token_id", "seq")
+    want = {(s, line[0][1], len(line)) for s in (0, 1) for line in lines_of([r for r in rows if r[0] == s])}
+    for limit in (50_000, 0):
+        got = captions.caption_lines(frame, ["stream_id"], fold_rows=limit).groupBy("stream_id", "line_seq").count().collect()
+        assert {(r.stream_id, r.line_seq, r["count"]) for r in got} == want
+
+
 def lines_of(rows):
     lines, cur, chars = [], [], 0
     for r in rows:
