@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import keep, slices
-from tessitura.llm.tokens import PieceEncoder
+from tessitura.llm.tokens import worker_encoder
 
 CAPACITY = 2048
 PIECES = "part long, size long, ordinal long, doc_id long, start long, doc_tokens long, crc long, ids binary"
@@ -138,7 +138,7 @@ def pieces(docs: DataFrame, tokenizer: str, spaces_kept: bool, end_id: int, capa
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = PieceEncoder(tokenizer, spaces_kept), struct.pack("<H", end_id)
+        encoder, end = worker_encoder(tokenizer, spaces_kept), struct.pack("<H", end_id)
         part, ordinals = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         kinds = pa.schema([("part", pa.int64()), ("size", pa.int64()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import keep, scratch, slices
-from tessitura.llm.tokens import PieceEncoder
+from tessitura.llm.tokens import worker_encoder
 
 HEAD = "<qBB"
 READ = "part long, position long, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -80,7 +80,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.j
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = PieceEncoder(tokenizer, spaces_kept), struct.pack("<H", end_id)
+        encoder, end = worker_encoder(tokenizer, spaces_kept), struct.pack("<H", end_id)
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         files, root = _files(folder)
         files.create_dir(root, recursive=True)

@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
+from array import array
 from collections.abc import Iterable, Sequence
 
-import numpy as np
-
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 _RUN = re.compile(r"\s\s")
 _SPACE = re.compile(r"\s")
 MARKS = ".,;:!?"
@@ -28,6 +29,19 @@ def public_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Remembered(dict):
+    """Ids by piece, and those of the generation before."""
+
+    def __init__(self) -> None:
+        self.older: dict[str, bytes] = {}
+
+    def age(self, most: int) -> None:
+        """Beyond ``most`` pieces, these become the older ones and the ones before are forgotten."""
+        if len(self) > most:
+            self.older = dict(self)
+            self.clear()
+
+
 class PieceEncoder:
     """Encodes texts with a ``tokenizers`` file into little-endian unsigned 16-bit ids."""
 
@@ -39,54 +53,76 @@ class PieceEncoder:
         if self.model.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
         self.spaces_kept, self.remembered = spaces_kept, remembered
-        self.atoms: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {} if spaces_kept else self.first
+        self.first = Remembered()
+        self.later = Remembered() if spaces_kept else self.first
 
     def _ids(self, texts: Iterable[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u2").tobytes() for e in self.model.encode_batch_fast(list(texts), add_special_tokens=False)]
-
-    def _atoms(self, piece: str, lead: str) -> list[str]:
-        """Strings whose ids, one after another, are those of ``lead`` + ``piece``."""
+        found = [array("H", e.ids) for e in self.model.encode_batch_fast(list(texts), add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for ids in found:
+                ids.byteswap()
+        return [ids.tobytes() for ids in found]
+
+    def _parts(self, piece: str) -> list[str]:
+        """Strings whose ids, one after another, are those of ``piece``; a space before it belongs to the first."""
         lines = piece.split("\n")
         if len(lines) > 1 and any(not x or _SPACE.search(x) for x in lines):
-            return [lead + piece]
+            return [piece]
         out = []
         for i, line in enumerate(lines):
-            if i:
-                out.append("\n")
             core = line.rstrip(MARKS)
-            if core and core[-1].isascii() and core[-1].isalnum():
-                out += [("" if i else lead) + core, *([line[len(core) :]] if core != line else [])]
-            else:
-                out.append(("" if i else lead) + line)
+            whole = not (core and core[-1].isascii() and core[-1].isalnum())
+            out += ["\n"] * (i > 0) + [line if whole else core] + ([] if whole or core == line else [line[len(core) :]])
         return out
 
-    def _learn(self, memo: dict[str, bytes], pieces: set[str], lead: str) -> None:
-        new = {p: self._atoms(p, lead) for p in pieces if p not in memo}
-        atoms = sorted({a for found in new.values() for a in found if a not in self.atoms})
-        for i in range(0, len(atoms), 5000):
-            part = atoms[i : i + 5000]
-            self.atoms.update(zip(part, self._ids(part), strict=True))
-        known = self.atoms
-        memo.update((p, known[a[0]] if len(a) == 1 else b"".join([known[x] for x in a])) for p, a in new.items())
+    def _encode_new(self, memo: Remembered, pieces: Iterable[str], lead: str) -> None:
+        new = [p for p in pieces if p not in memo]
+        for i in range(0, len(new), 5000):
+            part = new[i : i + 5000]
+            memo.update(zip(part, self._ids([lead + p for p in part] if lead else part), strict=True))
+
+    def _learn(self, memo: Remembered, pieces: set[str], lead: str) -> None:
+        new = pieces.difference(memo)
+        if memo.older:
+            memo.update([(p, memo.older[p]) for p in new if p in memo.older])
+            new.difference_update(memo)
+        parts = {p: found for p in new if not (p.isalnum() and p.isascii()) and len(found := self._parts(p)) > 1}
+        self._encode_new(memo, new.difference(parts).union(x[0] for x in parts.values()), lead)
+        self._encode_new(self.first, {x for found in parts.values() for x in found[1:]}, "")
+        first = self.first
+        memo.update([(p, b"".join([memo[found[0]], *[first[x] for x in found[1:]]])) for p, found in parts.items()])
 
     def _lowered(self, text: str) -> str:
         return (text.lower() if text.isascii() else text).replace("\n", " ")
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Ids of each text."""
-        if len(self.first) + len(self.later) + len(self.atoms) > self.remembered:
-            for memo in (self.first, self.later, self.atoms):
-                memo.clear()
+        for memo in (self.first, self.later):
+            memo.age(self.remembered // 2)
         out: list[bytes | None] = [None] * len(texts)
         whole = [i for i, t in enumerate(texts) if "<|" in t or self.spaces_kept and _RUN.search(t)]
         for i, ids in zip(whole, self._ids(texts[i] for i in whole), strict=True):
             out[i] = ids
         cut = [(i, (t if self.spaces_kept else self._lowered(t)).split(" ")) for i, t in enumerate(texts) if out[i] is None]
-        self._learn(self.first, {p[0] for _, p in cut}, "")
-        self._learn(self.later, {x for _, p in cut for x in p[1:]}, " " if self.spaces_kept else "")
-        later = self.later
-        for i, pieces in cut:
-            out[i] = self.first[pieces[0]] + b"".join([later[x] for x in pieces[1:]])
+        heads = [(i, p[0], p[1:]) for i, p in cut]
+        self._learn(self.first, {head for _, head, _ in heads}, "")
+        self._learn(self.later, set().union(*[rest for _, _, rest in heads]), " " if self.spaces_kept else "")
+        found = self.later.__getitem__
+        for i, head, rest in heads:
+            out[i] = self.first[head] + b"".join(map(found, rest))
         return out
+
+
+def worker_encoder(name: str, spaces_kept: bool) -> PieceEncoder:
+    """The encoder of this Python worker: Spark gives one worker many tasks, and what it remembers serves them all.
+
+    Functions travel to workers by value, with globals of their own each time, so the encoders stay in a module of
+    the process. A lost worker costs only its memory.
+    """
+    held = sys.modules.setdefault("tessitura_worker", types.ModuleType("tessitura_worker"))
+    encoders = held.__dict__.setdefault("encoders", {})
+    key = (name, spaces_kept)
+    if key not in encoders:
+        encoders.clear()
+        encoders[key] = PieceEncoder(name, spaces_kept)
+    return encoders[key]
