@@ -17,6 +17,8 @@ from array import array
 from collections.abc import Iterable, Sequence
 
 REMEMBERED = 1_000_000
+#: Pieces a call of the tokenizer; more only hold more encodings at once.
+BATCH = 500
 _RUN = re.compile(r"\s\s")
 _SPACE = re.compile(r"\s")
 MARKS = ".,;:!?"
@@ -77,8 +79,8 @@ class PieceEncoder:
 
     def _encode_new(self, memo: Remembered, pieces: Iterable[str], lead: str) -> None:
         new = [p for p in pieces if p not in memo]
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
+        for i in range(0, len(new), BATCH):
+            part = new[i : i + BATCH]
             memo.update(zip(part, self._ids([lead + p for p in part] if lead else part), strict=True))
 
     def _learn(self, memo: Remembered, pieces: set[str], lead: str) -> None:
