@@ -11,9 +11,12 @@ its closest earlier neighbour; proposals are confirmed on full sets and linked c
 every remaining pair whose members are not yet merged, judged by a finer sketch of the classes that had any
 neighbour; those are confirmed too, and components are final.
 
-A node that is still large after ``LEVELS`` levels is dealt at random to blocks of ``LEAF`` that all hold the node's
-first class too, anew for each of the 32 paths of a class, so members meet in some block, by way of the first class or
-by way of each other. No row count decides between methods; every comparison's memory is bounded by ``LEAF``.
+A large node is branched for as long as its children together hold at most half of its pairs; on one path no
+coordinate is used twice. The members of a node that no longer splits are first dealt at random to blocks of ``LEAF``
+that all hold the node's first class too, so that most of a group of copies merges there. Then its blocks are compared
+pair by pair, all of them but pairs of blocks of one and the same component: in the first round by sketch, in the second
+by finer sketch. So each pair of such a node is compared unless it is linked already, at a cost that grows with the
+square of its unmerged members. Every comparison's memory is bounded by ``LEAF`` and ``BLOCK``.
 
 Defined results: null, empty and white-space texts have no shingles and are alone; fewer than five words are one
 shingle; rows that repeat a text are one class; rows of null id are linked like others, and a component of null ids
@@ -23,6 +26,7 @@ alone has a null component_id; an empty table gives no rows. Columns other than
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +47,11 @@ AGREE = 93
 FINE = 1024
 FINE_AGREE = 826
 LEAF = 512
-LEVELS = 3
+#: A block of a node that no longer splits holds about so many times ``LEAF`` classes.
+BLOCK = 4
 SETS = "doc_id long, n long, class binary, roots binary, sketch binary"
-ROWS = "node long, class binary, n long, sketch binary"
+ROWS = "node long, class binary, n long, sketch binary, used binary, parent long, above long"
+PLAIN = ["node", "class", "n", "sketch"]
 _SEEDS = np.random.default_rng(85).integers(0, 1 << 63, TREES + COORDINATES + FINE, dtype=np.uint64)
 _FACTORS = np.random.default_rng(86).integers(0, 1 << 63, TREES + COORDINATES + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -112,47 +118,107 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[start : start + len(column) * width].reshape(len(column), width) if len(column) else np.zeros((0, width), np.uint8)
 
 
+def _node_rows(node: np.ndarray, batch: pa.RecordBatch, used: np.ndarray, parent: pa.Array, above: pa.Array) -> pa.RecordBatch:
+    masks = pa.array([u.tobytes() for u in used], pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(node.view(np.int64)), batch.column("class"), batch.column("n"), batch.column("sketch"), masks, parent, above], names=[*PLAIN, "used", "parent", "above"]
+    )
+
+
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         roots = _matrix(batch.column("roots"), 8 * TREES).copy().view("<u8")
+        used, none = np.zeros((batch.num_rows, COORDINATES // 64), "<u8"), pa.nulls(batch.num_rows, pa.int64())
         for t in range(TREES):
-            node = hashing.mix(roots[:, t] + np.uint64(t + 1)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), batch.column("class"), batch.column("n"), batch.column("sketch")], names=["node", "class", "n", "sketch"])
+            yield _node_rows(hashing.mix(roots[:, t] + np.uint64(t + 1)), batch, used, none, none)
+
+
+def _bits(coordinate: np.ndarray) -> np.ndarray:
+    """One row of ``COORDINATES`` bits for each coordinate, with that one set."""
+    out = np.zeros((len(coordinate), COORDINATES // 64), "<u8")
+    out[np.arange(len(coordinate)), coordinate // 64] = np.uint64(1) << (coordinate % 64).astype(np.uint64)
+    return out
 
 
 def _children(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         node = np.asarray(batch.column("node")).view(np.uint64)
         sketch = _matrix(batch.column("sketch"), COORDINATES)
+        used = _matrix(batch.column("used"), COORDINATES // 8).copy().view("<u8")
+        taken = used
         for branch in range(2):
             chosen = hashing.mix(node ^ np.uint64(0x1234567 + branch))
             coordinate = (chosen % np.uint64(COORDINATES)).astype(np.int64)
+            for _ in range(COORDINATES):
+                again = (taken & _bits(coordinate)).any(1)
+                if not again.any():
+                    break
+                coordinate = np.where(again, (coordinate + 1) % COORDINATES, coordinate)
             token = sketch[np.arange(len(node)), coordinate].astype(np.uint64)
-            child = hashing.mix(chosen + token * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(child), batch.column("class"), batch.column("n"), batch.column("sketch")], names=["node", "class", "n", "sketch"])
+            child = hashing.mix(chosen + token * np.uint64(0x9E3779B97F4A7C15))
+            yield _node_rows(child, batch, used | _bits(coordinate), batch.column("node"), batch.column("m"))
+            taken = taken | _bits(coordinate)
 
 
-def leaf_rows(classes: DataFrame) -> DataFrame:
-    """``node, class, n, sketch`` of every leaf that holds at least two classes; a leaf holds ``LEAF`` + 1 at most."""
-    spark = classes.sparkSession
-    found: DataFrame | None = None
+def tree_rows(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``node, class, n, sketch`` of every leaf of 2 to ``LEAF`` classes; the same and ``m`` of larger nodes that no longer split."""
     rows = classes.select("class", "n", "roots", "sketch").mapInArrow(_roots, ROWS)
-    for level in range(LEVELS):
-        busy = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-        here = keep(rows.join(busy, "node"), f"nodes-{level}")
-        small = here.filter(F.col("m") <= LEAF).drop("m")
-        found = small if found is None else found.unionByName(small)
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+    leaves, stuck, level = [], [], 0
+    while True:
+        here = keep(rows.join(sizes.filter("m > 1"), "node"), f"nodes-{level}")
+        leaves.append(here.filter(F.col("m") <= LEAF).select(PLAIN))
         large = here.filter(F.col("m") > LEAF)
         if large.isEmpty():
-            return found
-        rows = keep(large.drop("m").mapInArrow(_children, ROWS), f"children-{level}")
+            break
+        rows = keep(large.select(*PLAIN, "used", "m").mapInArrow(_children, ROWS), f"children-{level}")
+        counts = keep(rows.groupBy("parent", "node").agg(F.count(F.lit(1)).alias("m"), F.max("above").cast("double").alias("above")), f"sizes-{level}")
+        halved = counts.groupBy("parent").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("pairs"), F.max("above").alias("above")).filter("2 * pairs <= above * above")
+        halved = keep(halved.select("parent"), f"halved-{level}")
+        stuck.append(large.join(halved, large["node"] == halved["parent"], "left_anti").select(*PLAIN, "m"))
+        sizes = counts.join(halved, "parent", "left_semi").select("node", "m")
+        level += 1
+    return reduce(DataFrame.unionByName, leaves), keep(reduce(DataFrame.unionByName, stuck), "stuck") if stuck else None
+
+
+def dealt(stuck: DataFrame) -> DataFrame:
+    """Members of nodes that no longer split in random blocks of ``LEAF``, each with the node's first class."""
     blocks = F.ceil(F.col("m") / LEAF).cast("long")
-    first = large.groupBy("node", "m").agg(F.min(F.struct("class", "n", "sketch")).alias("one"))
-    dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("class", "node"), blocks)).alias("node"), "class", "n", "sketch")
+    first = stuck.groupBy("node", "m").agg(F.min(F.struct("class", "n", "sketch")).alias("one"))
+    members = stuck.select(F.xxhash64("node", F.pmod(F.xxhash64("class", "node"), blocks)).alias("node"), "class", "n", "sketch")
     pivots = first.select("node", "one", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block")).select(
         F.xxhash64("node", "block").alias("node"), "one.*"
     )
-    return found.unionByName(dealt.unionByName(pivots).distinct())
+    return members.unionByName(pivots).distinct()
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of blocks of every node of ``members(node, class, root, ...)``, but those of one root alone.
+
+    A pair of blocks is a node of its own; ``side`` is 0 where a block meets itself, else 1 and 2. A root of many
+    classes fills blocks by itself, the others share blocks.
+    """
+    size = BLOCK * LEAF
+    own = keep(members.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")), "roots-of-nodes")
+    mixed = own.groupBy("node").agg(F.count(F.lit(1)).alias("roots"), F.sum(F.when(F.col("c") < size, F.col("c")).otherwise(0)).alias("rest")).filter("roots > 1")
+    whole = F.col("c") >= size
+    parts = F.ceil(F.when(whole, F.col("c")).otherwise(F.col("rest")) / size).cast("long")
+    homes = own.join(mixed, "node").select("node", "root", F.when(whole, F.col("root")).alias("pure"), parts.alias("parts"))
+    homes = keep(homes, "homes")
+    shared = F.pmod(F.xxhash64("root"), F.col("parts"))
+    of_class = F.when(F.col("pure").isNull(), shared).otherwise(F.pmod(F.xxhash64("class", "node"), F.col("parts")))
+    placed = members.join(homes, ["node", "root"]).withColumn("block", F.xxhash64("pure", of_class)).drop("pure", "parts")
+    every = F.when(F.col("pure").isNull(), F.array(shared)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    blocks = homes.select("node", "pure", F.explode(every).alias("part")).select("node", "pure", F.xxhash64("pure", "part").alias("block")).distinct()
+    one, two = (blocks.select("node", F.col("pure").alias(f"pure_{k}"), F.col("block").alias(f"block_{k}")) for k in "ab")
+    pairs = one.join(two, "node").filter("block_a <= block_b AND NOT coalesce(pure_a = pure_b, false)")
+    pair = F.xxhash64("node", "block_a", "block_b")
+    same = F.col("block_a") == F.col("block_b")
+    sides = F.when(same, F.array(F.struct(F.col("block_a").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(*(F.struct(F.col(f"block_{k}").alias("block"), F.lit(i).alias("side")) for i, k in ((1, "a"), (2, "b"))))
+    )
+    meet = pairs.select("node", pair.alias("pair"), F.explode(sides).alias("s")).select("node", "pair", "s.*")
+    return placed.join(meet, ["node", "block"]).drop("node", "block").withColumnRenamed("pair", "node")
 
 
 def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -175,8 +241,9 @@ def _by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def proposals(leaves: DataFrame, labelled: bool) -> DataFrame:
     """Pairs of classes to confirm.
 
-    Without labels every class of a leaf proposes its closest earlier neighbour, or itself where it is only a
-    neighbour of later ones. With ``root`` and ``fine`` columns every pair of different roots is proposed.
+    Without labels every class of a leaf proposes its closest earlier neighbour, of another root where there is a
+    ``root`` column, or itself where it is only a neighbour of later ones. With labels every pair of different roots is
+    proposed, by the ``fine`` column. A ``side`` column is that of ``block_pairs``.
     """
     name, width, least = ("fine", FINE, FINE_AGREE) if labelled else ("sketch", COORDINATES, AGREE)
 
@@ -187,17 +254,21 @@ def proposals(leaves: DataFrame, labelled: bool) -> DataFrame:
                 continue
             table = table.combine_chunks()
             keys, n = table.column("class").to_pylist(), np.asarray(table.column("n"))
-            number = {r: i for i, r in enumerate(table.column("root").to_pylist() if labelled else keys)}
-            group = np.array([number[r] for r in (table.column("root").to_pylist() if labelled else keys)])
+            roots = table.column("root").to_pylist() if "root" in table.column_names else keys
+            number = {r: i for i, r in enumerate(roots)}
+            group = np.array([number[r] for r in roots])
+            side = np.asarray(table.column("side")) if "side" in table.column_names else np.zeros(len(keys), int)
+            upto = np.where(side == 0, np.arange(len(keys)), np.where(side == 2, (side == 1).sum(), 0))
             sketch = _matrix(table.column(name).chunk(0), width)
             near = np.zeros(len(keys), bool)
-            for i in range(1, len(keys)):
-                agree = (sketch[:i] == sketch[i]).sum(1)
-                fits = (agree >= least) & (100 * np.minimum(n[:i], n[i]) >= PERCENT * np.maximum(n[:i], n[i])) & (group[:i] != group[i])
+            for i in np.flatnonzero(upto).tolist():
+                t = upto[i]
+                agree = (sketch[:t] == sketch[i]).sum(1)
+                fits = (agree >= least) & (100 * np.minimum(n[:t], n[i]) >= PERCENT * np.maximum(n[:t], n[i])) & (group[:t] != group[i])
                 if not fits.any():
                     continue
                 chosen = np.flatnonzero(fits) if labelled else np.array([np.argmax(np.where(fits, agree, -1))])
-                near[:i] |= fits
+                near[:t] |= fits
                 near[[*chosen, i]] &= labelled
                 left.extend(min(keys[j], keys[i]) for j in chosen)
                 right.extend(max(keys[j], keys[i]) for j in chosen)
@@ -209,7 +280,8 @@ def proposals(leaves: DataFrame, labelled: bool) -> DataFrame:
                 left, right = [], []
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    return leaves.repartition("node").sortWithinPartitions("node", "class").mapInArrow(propose, "a binary, b binary").distinct()
+    order = ["node", *(["side"] if "side" in leaves.columns else []), "class"]
+    return leaves.repartition("node").sortWithinPartitions(*order).mapInArrow(propose, "a binary, b binary").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -254,6 +326,17 @@ def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text").mapInArrow(matching, "class binary, text string, fine binary")
 
 
+def _confirmed_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Texts of the classes that ``pairs`` names, and the pairs that are links."""
+    named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+    texts = keep(class_texts(docs, classes.select("class", "doc_id").join(named, "class")), "texts")
+    return texts, keep(confirmed(pairs, texts), "links")
+
+
+def _rooted(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    return rows.join(merged, "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text, ...)``."""
     rows = keep(set_rows(docs), "sets")
@@ -262,16 +345,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         linkable.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    leaves = leaf_rows(classes)
-    first = keep(proposals(leaves, labelled=False), "proposals")
-    named = first.select(F.col("a").alias("class")).unionByName(first.select(F.col("b").alias("class"))).distinct()
-    texts = keep(class_texts(docs, classes.select("class", "doc_id").join(named, "class")), "texts")
-    links = keep(confirmed(first, texts), "links")
+    leaves, stuck = tree_rows(classes)
+    first = keep(proposals(leaves if stuck is None else leaves.unionByName(dealt(stuck)), labelled=False), "proposals")
+    texts, links = _confirmed_texts(docs, classes, first)
     merged = keep(components(links), "merged").select(F.col("node").alias("class"), "root")
-    rooted = leaves.drop("sketch").join(texts.select("class").distinct(), "class").join(merged, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    if stuck is not None:
+        across = block_pairs(_rooted(stuck.drop("m"), merged))
+        first = keep(first.unionByName(proposals(across, labelled=False)).distinct(), "block-proposals")
+        texts, links = _confirmed_texts(docs, classes, first)
+        merged = keep(components(links), "merged-blocks").select(F.col("node").alias("class"), "root")
+    known, fine = texts.select("class").distinct(), texts.select("class", "fine").dropDuplicates(["class"])
+    rooted = _rooted(leaves.drop("sketch").join(known, "class"), merged)
     mixed = rooted.groupBy("node").agg(F.min("root").alias("one"), F.max("root").alias("other")).filter("one <> other").select("node")
-    open_leaves = rooted.join(mixed, "node").join(texts.select("class", "fine").dropDuplicates(["class"]), "class")
-    more = keep(proposals(open_leaves, labelled=True).join(first, ["a", "b"], "left_anti"), "more-proposals")
+    open_leaves = rooted.join(mixed, "node").withColumn("side", F.lit(0))
+    if stuck is not None:
+        open_leaves = open_leaves.unionByName(block_pairs(_rooted(stuck.drop("m", "sketch").join(known, "class"), merged)))
+    more = keep(proposals(open_leaves.join(fine, "class"), labelled=True).join(first, ["a", "b"], "left_anti"), "more-proposals")
     late = keep(confirmed(more, texts), "late-links")
     final = merged.select(F.col("class").alias("a"), F.col("root").alias("b")).unionByName(late)
     whole = keep(components(final), "components")

@@ -100,3 +100,29 @@ def test_contamination_on_both_sides_of_the_broadcast_bound(spark, frame):
         assert sorted(map(tuple, got), key=repr) == want
     assert contamination.contamination(frame([]), bench).count() == 0
     assert {r["contaminated"] for r in contamination.contamination(frame(rows), bench.limit(0)).collect()} == {False}
+
+
+def template_pool(seed=5, n=600, pairs=40):
+    """Documents that share most of one template, at a similarity of about 0.7, with pairs of near copies inside."""
+    rand, rows = random.Random(seed), []
+    base = [f"t{i}" for i in range(300)]
+    for i in range(n):
+        own = list(base)
+        for at in rand.sample(range(0, 300, 5), 5):
+            own[at] = f"u{i}x{at}"
+        rows.append((i, " ".join(own)))
+    for k in range(pairs):
+        own = rows[20 + 14 * k][1].split(" ")
+        own[150 + k] = f"c{k}"
+        own[40 + k] = f"d{k}"
+        rows.append((n + k, " ".join(own)))
+    return rows
+
+
+def test_pairs_inside_a_large_node_that_does_not_split_are_found(frame, monkeypatch):
+    rows = template_pool()
+    want = plain_components(rows)
+    assert sum(i != c for i, _, c, _ in want) == 40
+    monkeypatch.setattr(near, "LEAF", 8)
+    assert len(rows) > near.LEAF**2
+    assert sorted(map(tuple, near.near_duplicates(frame(rows)).collect()), key=repr) == want
