@@ -24,7 +24,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TABLE_BYTES = 64 << 20
@@ -115,10 +115,14 @@ def grace_groups(records: Iterator[tuple], table_bytes: int = TABLE_BYTES, level
             yield from grace_groups(_spilled(file), table_bytes, level + 1)
 
 
+def normal(text: Column) -> Column:
+    """The text as it is compared."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), RUNS, " ")
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """``doc_id``, normalised ``content``, its SHA-256 in hex and a second hash."""
-    content = F.regexp_replace(F.coalesce("text", F.lit("")), RUNS, " ")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("content")).select(
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("content")).select(
         "doc_id", "content", F.sha2("content", 256).alias("sha"), F.xxhash64("content").alias("check")
     )
 
@@ -161,5 +165,6 @@ def exact_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFra
 
 def without_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_duplicates(docs, table_bytes).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    dropped = exact_duplicates(docs, table_bytes).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.sha2(normal(docs["text"]), 256)
+    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")

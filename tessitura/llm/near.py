@@ -30,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.llm import hashing
@@ -49,7 +49,7 @@ FINE_AGREE = 826
 LEAF = 512
 #: A block of a node that no longer splits holds about so many times ``LEAF`` classes.
 BLOCK = 4
-SETS = "doc_id long, n long, class binary, roots binary, sketch binary"
+SETS = "doc_id long, text_key binary, n long, class binary, roots binary, sketch binary"
 ROWS = "node long, class binary, n long, sketch binary, used binary, parent long, above long"
 PLAIN = ["node", "class", "n", "sketch"]
 _SEEDS = np.random.default_rng(85).integers(0, 1 << 63, TREES + COORDINATES + FINE, dtype=np.uint64)
@@ -88,8 +88,12 @@ def _least(value: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     return hashing.mix(np.minimum.reduceat((value ^ _SEEDS[k]) * _FACTORS[k], starts))
 
 
+def _text_key(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
-    """Size, class, tree roots and sketch of every document."""
+    """Text key, size, class, tree roots and sketch of every document."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,11 +109,11 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 for k in range(COORDINATES if len(some) else 0):
                     low[some, k] = _least(value, at[:-1][some], TREES + k).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(count, pa.int64()), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (keys.astype("<u8"), roots, low))],
-                    names=["doc_id", "n", "class", "roots", "sketch"],
+                    [rows.column("doc_id"), rows.column("text_key"), pa.array(count, pa.int64()), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (keys.astype("<u8"), roots, low))],
+                    names=["doc_id", "text_key", "n", "class", "roots", "sketch"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key(F.col("text")).alias("text_key")).mapInArrow(sketch, SETS)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -339,6 +343,11 @@ def _rooted(rows: DataFrame, merged: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs(doc_id, text, ...)``."""
+    return labelled_rows(docs).drop("text_key")
+
+
+def labelled_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` and the text's key of every row."""
     rows = keep(set_rows(docs), "sets")
     linkable = rows.filter("n > 0")
     classes = keep(
@@ -367,12 +376,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = classes.select("class", "doc_id", "copies").join(whole.withColumnRenamed("node", "class"), "class", "left")
     least = labelled.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     named_classes = labelled.filter("root IS NOT NULL OR copies > 1").join(least, "root", "left").select("class", F.coalesce("least", "doc_id").alias("component_id"), F.lit(True).alias("grouped"))
-    joined = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(named_classes, "class", "left")
+    joined = rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(named_classes, "class", "left")
     component = F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns."""
-    dropped = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_dropped")), "left_anti")
+    dropped = labelled_rows(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"), F.col("text_key").alias("_key")).distinct()
+    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col("_dropped")) & (_text_key(docs["text"]) == F.col("_key")), "left_anti")
