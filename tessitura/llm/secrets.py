@@ -30,7 +30,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{24,}"
 #: Weak parts.
 IDENTIFIER = r"(?ai:user(?:name)?|login|account|client_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9@._-]{3,}"
-KEY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
+KEY = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 ENDPOINT = r"https?://[^\s\"'<>|]+"
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
 ROLES = ("secret", "identifier", "secret", "identifier", "secret", "endpoint")

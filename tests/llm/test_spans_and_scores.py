@@ -57,6 +57,16 @@ def test_weak_parts_count_only_together(frame):
     assert "identifier" not in got[3]
 
 
+def test_keys_behind_an_equals_sign_are_candidates(frame):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    access = "aws_access_key_id=AKIA" + "A1" * 8
+    forms = [f"{access}\naws_secret_access_key={key}", f"{access}\naws_secret_access_key='{key}'", f"{access}\naws_secret_access_key = {key}", f"user=bob\nKEY={key}==", f"https://h.example.org/x?sig={key}"]
+    got = {r["doc_id"]: r["spans"] for r in secrets.secrets(frame(list(enumerate(forms)))).collect()}
+    for i, text in enumerate(forms):
+        at = text.index(key)
+        assert f"key:{at}:{at + len(key) + 2 * (i == 3)}" in got[i].split(",")
+
+
 def test_boosting_learns_and_thresholds_hold(frame):
     rand = random.Random(2)
     rows = [(i, f"call +{rand.randrange(10, 99)} {rand.randrange(100, 999)} {rand.randrange(1000, 9999)} {rand.randrange(100, 999)} now" if i % 2 else f"row {rand.randrange(100, 999)} {rand.randrange(100, 999)} {rand.randrange(100, 999)} end") for i in range(400)]
