@@ -109,14 +109,22 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.j
     return ordered.mapInArrow(write, "part long, docs long, tokens long")
 
 
-def read_records(spark: SparkSession, folder: str, parts: int) -> DataFrame:
-    """Every record of files 0 to ``parts`` - 1; ``start`` counts the tokens before it in its file."""
+def read_records(spark: SparkSession, folder: str, parts: int, written: dict[int, tuple[int, int]] | None = None) -> DataFrame:
+    """Every record of files 0 to ``parts`` - 1; ``start`` counts the tokens before it in its file.
+
+    With ``written``, the documents and tokens of each part, just those files are read, and a file that is missing or
+    holds another number of either is an error; without it missing files count as parts without rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(folder)
         for part in (p for batch in batches for p in batch.column(0).to_pylist()):
             name = f"{root}/{data_name(part)}"
+            if written is not None and part not in written:
+                continue
             if files.get_file_info(name).size is None:
+                if written is not None:
+                    raise ValueError(f"lost file {name}")
                 continue
             rows, start, position = [], 0, 0
             with files.open_input_stream(name, buffer_size=1 << 20) as data:
@@ -128,6 +136,8 @@ def read_records(spark: SparkSession, folder: str, parts: int) -> DataFrame:
                     if len(rows) == 4096:
                         yield _batch(rows)
                         rows = []
+            if written is not None and (position, start) != written[part]:
+                raise ValueError(f"{name} holds {position} documents and {start} tokens, written were {written[part]}")
             if rows:
                 yield _batch(rows)
 
@@ -157,8 +167,8 @@ def token_records(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", spaces_
     spark = docs.sparkSession
     folder = scratch(spark, "records")
     parts = keep(write_records(docs, folder, tokenizer, spaces_kept, end_id), "record-parts")
-    count = (parts.agg(F.max("part")).first()[0] or 0) + 1
+    written = {r["part"]: (r["docs"], r["tokens"]) for r in parts.collect()}
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return read_records(spark, folder, count).join(parts.select("part", before.alias("before")), "part").select(
+    return read_records(spark, folder, max(written, default=0) + 1, written).join(parts.select("part", before.alias("before")), "part").select(
         "doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "part", "position"
     )

@@ -41,6 +41,19 @@ def test_records_round_trip_in_order(spark, frame):
     assert records.token_records(frame([])).count() == 0
 
 
+def test_lost_and_short_files_are_errors(spark, frame, tmp_path):
+    folder = f"file://{tmp_path}/records"
+    rows = records.write_records(frame([(i, f"text {i}") for i in range(20)]), folder).collect()
+    written = {r["part"]: (r["docs"], r["tokens"]) for r in rows}
+    assert records.read_records(spark, folder, max(written) + 2, written).count() == 20
+    part = next(p for p, (docs, _) in written.items() if docs)
+    with pytest.raises(Exception, match="written were"):
+        records.read_records(spark, folder, part + 1, written | {part: (written[part][0] + 1, written[part][1])}).count()
+    (tmp_path / "records" / records.data_name(part)).unlink()
+    with pytest.raises(Exception, match="lost file"):
+        records.read_records(spark, folder, max(written) + 1, written).count()
+
+
 def test_index_reads_one_record_and_checksums_find_damage(spark, frame):
     folder = scratch(spark, "test-records")
     parts = records.write_records(frame([(i, f"text {i}") for i in range(20)]), folder).collect()
