@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("scores", "exact", "tokens", "near", "contamination", "sharding", "spans", "whitening", "periodic")
+MODULES = ("scores", "exact", "tokens", "near", "contamination", "sharding", "spans", "passages", "whitening", "periodic")
 
 
 def all_queries() -> dict[str, Query]:
