@@ -38,7 +38,7 @@ from tessitura.llm.common import keep, same_row, slices, text_bytes
 from tessitura.llm.hashing import mix, words
 
 WINDOW, ANCHOR = 50, 16
-SHARD_WORDS, ANCHOR_WORDS = 100_000, 20_000
+SHARD_WORDS, ANCHOR_WORDS = 100_000, 100_000
 SHARES = 1000
 HELD_BYTES = 16 << 20
 SPOTS = "doc_id long, text_key long, anchor long, start int, n int, n_words long, sha string"
@@ -269,11 +269,16 @@ def by_window(passages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["window", "anchor", "content_key", "j", "least"])
 
     windows = keep(passages.mapInArrow(explode, "window binary, anchor long, content_key long, j int, least long"), "windows")
-    firsts = keep(windows.groupBy("window").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("holders")), "window-firsts")
-    known = meet(windows, firsts, ["window"], "holders", windows.count()).groupBy("anchor", "content_key").agg(F.array_sort(F.collect_list(F.struct("j", "first"))).alias("found"))
-    return known.join(passages.select("anchor", "content_key", "most", "copies"), ["anchor", "content_key"]).select(
-        "anchor", "content_key", "copies", "most", F.col("found.first").alias("firsts")
-    ).filter(F.array_min("firsts") < F.col("most")).drop("most")
+    firsts = keep(windows.groupBy("window").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("holders")).filter("holders > 1"), "window-firsts")
+    shared = windows.select("window", "anchor", "content_key", "j")
+    known = meet(shared, firsts, ["window"], "holders", windows.count()).groupBy("anchor", "content_key").agg(F.map_from_entries(F.collect_list(F.struct("j", "first"))).alias("found"))
+    own = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.coalesce(F.element_at("found", j), F.col("least")))
+    return (
+        passages.select("anchor", "content_key", "n", "least", "most", "copies").join(known, ["anchor", "content_key"], "left")
+        .select("anchor", "content_key", "copies", "most", own.alias("firsts"))
+        .filter(F.array_min("firsts") < F.col("most"))
+        .drop("most")
+    )
 
 
 def cleaned(content: list[bytes], starts: Sequence[int], window: int = WINDOW) -> tuple[list[bytes], list[tuple[int, int]]]:
