@@ -139,6 +139,13 @@ def meet(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total:
     return left.join(heavy, keys).unionByName(rest)
 
 
+def without(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Rows of ``left`` whose key ``right`` does not hold; keys of many rows are left out first, as in ``meet``."""
+    limit = total // SHARES
+    heavy = F.broadcast(right.filter(F.col(weight) > limit).select(keys))
+    return left.join(heavy, keys, "left_anti").join(right.filter(F.col(weight) <= limit).select(keys), keys, "left_anti")
+
+
 def anchors(own: np.ndarray, text: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first window, number of windows) of every passage, from word hashes and each word's text."""
     count = len(own) - window + 1
@@ -331,10 +338,10 @@ def repeated_passages(docs: DataFrame, anchor_words: int = ANCHOR_WORDS, shard_w
     )
     sizes = keep(passages.groupBy("anchor").agg(F.sum(F.col("n") + WINDOW - 1).alias("words"), F.count(F.lit(1)).alias("contexts")), "anchor-sizes")
     total = sizes.agg(F.sum("contexts").alias("contexts"), F.sum(F.when(F.col("words") <= anchor_words, F.col("words"))).alias("words")).collect()[0]
-    marked = keep(meet(passages, sizes, ["anchor"], "contexts", total["contexts"] or 0), "marked-passages")
-    shards = max(1, -(-(total["words"] or 0) // shard_words))
-    usual = marked.filter(F.col("words") <= anchor_words).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    firsts = keep(by_automaton(usual).unionByName(by_window(marked.filter(F.col("words") > anchor_words))), "first-starts")
+    crowded = keep(sizes.filter(F.col("words") > anchor_words).select("anchor", "contexts"), "crowded-anchors")
+    contexts, shards = total["contexts"] or 0, max(1, -(-(total["words"] or 0) // shard_words))
+    usual = without(passages, crowded, ["anchor"], "contexts", contexts).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    firsts = keep(by_automaton(usual).unionByName(by_window(meet(passages, crowded, ["anchor"], "contexts", contexts))), "first-starts")
     standing = found.filter("content IS NULL").select("doc_id", "text_key", "anchor", "content_key", "start")
     repeats = F.filter(F.transform("firsts", lambda f, j: F.when(f < F.col("doc_id"), F.col("start") + j)), lambda s: s.isNotNull())
     starts = meet(standing, firsts, ["anchor", "content_key"], "copies", standing.count()).select(*same, repeats.alias("starts")).filter(F.size("starts") > 0)
