@@ -125,9 +125,9 @@ def shifted_factor(square: np.ndarray, shift: float) -> np.ndarray:
             shift = max(10 * shift, np.finfo(float).eps * len(square) * max(1e-300, np.linalg.norm(square, 2)))
 
 
-def orthogonalise(passes, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """R with A = Q R and the Gram matrix of A; ``passes(R)`` is the Gram matrix of A R^-1, of A itself for None."""
-    first = passes(None)
+def orthogonalise(first: np.ndarray, passes, n: int) -> np.ndarray:
+    """R with A = Q R, from the Gram matrix of A; ``passes(R)`` is the Gram matrix of A R^-1."""
+    width = len(first)
     bound = min(1e-2, 11 * (n * width + width * (width + 1)) * np.finfo(float).eps / 2) * np.linalg.norm(first, 2)
     upper = shifted_factor(first, bound)
     for _ in range(PASSES):
@@ -135,7 +135,7 @@ def orthogonalise(passes, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         if np.abs(again - np.eye(width)).max() <= 1e-13 * width:
             break
         upper = shifted_factor(again, 0.0) @ upper
-    return upper, first
+    return upper
 
 
 def fit(rows: DataFrame, size: int, components: int = COMPONENTS) -> Whitening | None:
@@ -143,15 +143,15 @@ def fit(rows: DataFrame, size: int, components: int = COMPONENTS) -> Whitening |
     n, sums = totals(rows, size)
     if n < 2:
         return None
-    spread = np.diag(gram(rows, size, lambda x: centred(x, n, sums), size))
-    live = np.flatnonzero(spread > 0)
+    whole = gram(rows, size, lambda x: centred(x, n, sums), size)
+    live = np.flatnonzero(np.diag(whole) > 0)
     if not len(live):
         return None
 
-    def passes(upper: np.ndarray | None) -> np.ndarray:
-        return gram(rows, size, lambda x: centred(x, n, sums)[:, live] if upper is None else solved(centred(x, n, sums)[:, live], upper), len(live))
+    def passes(upper: np.ndarray) -> np.ndarray:
+        return gram(rows, size, lambda x: solved(centred(x, n, sums)[:, live], upper), len(live))
 
-    upper, first = orthogonalise(passes, n, len(live))
+    upper = orthogonalise(whole[np.ix_(live, live)], passes, n)
     _, singular, right = np.linalg.svd(upper)
     variances = singular**2 / n
     some = min(components, int((variances > RANK * variances[0]).sum()))
@@ -160,7 +160,7 @@ def fit(rows: DataFrame, size: int, components: int = COMPONENTS) -> Whitening |
     turned *= np.where(turned[np.abs(turned).argmax(axis=0), np.arange(some)] < 0, -1.0, 1.0)
     scaled = turned / np.sqrt(variances[:some])
     covariance = gram(rows, size, lambda x: centred(x, n, sums) @ scaled, some) / n
-    return Whitening(n, sums, turned, variances[:some], variances[:some] / (np.trace(first) / n), float(np.abs(covariance - np.eye(some)).max()))
+    return Whitening(n, sums, turned, variances[:some], variances[:some] / (np.trace(whole) / n), float(np.abs(covariance - np.eye(some)).max()))
 
 
 def deviations(x: np.ndarray, n: int, sums: tuple[int, ...]) -> list[int | None]:
