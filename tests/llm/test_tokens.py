@@ -23,7 +23,7 @@ def ids_of(name, texts, end):
 @pytest.mark.parametrize(("name", "spaces"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_pieces_give_the_ids_of_whole_texts(name, spaces):
     texts = ODD + [" ".join(ODD)] + ["x" * 300 + " y"] * 2
-    got = tokens.PieceEncoder(name, spaces, remembered=3).encode(texts)
+    got = tokens.PieceEncoder(name, spaces, memo_bytes=3).encode(texts)
     assert [g for g in got] == [i[:-1].astype("<u2").tobytes() for i in ids_of(name, texts, 0)]
 
 
