@@ -31,6 +31,8 @@ from tessitura.llm.common import keep, slices
 from tessitura.llm.tokens import worker_encoder
 
 CAPACITY = 2048
+#: Bytes of text that the encoder gets at once.
+SLICE = 4 << 20
 PIECES = "part long, size long, ordinal long, doc_id long, start long, doc_tokens long, crc long, ids binary"
 PLACED = "part long, size long, ordinal long, doc_id long, start long, skip long, length long, crc long, doc_tokens long, sequence_id long, offset long"
 
@@ -142,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, spaces_kept: bool, end_id: int, capa
         part, ordinals = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         kinds = pa.schema([("part", pa.int64()), ("size", pa.int64()), ("ordinal", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("doc_tokens", pa.int64()), ("crc", pa.int64()), ("ids", pa.binary())])
         for batch in batches:
-            for rows in slices(batch, "text"):
+            for rows in slices(batch, "text", SLICE):
                 out = []
                 for doc_id, raw in zip(rows.column("doc_id").to_pylist(), encoder.encode([t or "" for t in rows.column("text").to_pylist()]), strict=True):
                     ids = np.frombuffer(raw + end, "<u2")

@@ -10,7 +10,7 @@ All numbers are little-endian. A checksum is CRC-32 turned right by 15 bits plus
 a name of its own and renames at its end, so a repeated attempt replaces a file by an equal one.
 
 Defined results: null text counts as empty and gives the end id alone; null ids come first; rows that repeat an
-id follow each other, ordered by their text's hash; an empty table gives no files and no rows. Columns other
+id follow each other, ordered by their text's hash, and may lie in several files; an empty table gives no files and no rows. Columns other
 than the id and the text are not read.
 """
 
@@ -23,13 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm.common import keep, scratch, slices
 from tessitura.llm.tokens import worker_encoder
 
 HEAD = "<qBB"
+#: Bytes of text that the encoder gets at once.
+SLICE = 4 << 20
 READ = "part long, position long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -88,7 +90,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.j
         at = docs_here = tokens = 0
         with files.open_output_stream(f"{names[0]}.{attempt}") as data, files.open_output_stream(f"{names[1]}.{attempt}") as index:
             for batch in batches:
-                for rows in slices(batch, "text"):
+                for rows in slices(batch, "text", SLICE):
                     texts = [t or "" for t in rows.column("text").to_pylist()]
                     for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                         record = framed(struct.pack(HEAD, doc_id or 0, doc_id is not None, 2) + ids + end)
@@ -103,7 +105,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.j
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(F.asc_nulls_first("doc_id"))
+        .repartitionByRange(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     )
     return ordered.mapInArrow(write, "part long, docs long, tokens long")
@@ -113,8 +115,12 @@ def read_records(spark: SparkSession, folder: str, parts: int, written: dict[int
     """Every record of files 0 to ``parts`` - 1; ``start`` counts the tokens before it in its file.
 
     With ``written``, the documents and tokens of each part, just those files are read, and a file that is missing or
-    holds another number of either is an error; without it missing files count as parts without rows.
+    holds another number of either is an error; ``start`` then counts the tokens before it in all files. Without it
+    missing files count as parts without rows.
     """
+    known, before = sorted(written or {}), {}
+    for part, previous in zip(known, [None, *known]):
+        before[part] = 0 if previous is None else before[previous] + written[previous][1]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _files(folder)
@@ -126,12 +132,12 @@ def read_records(spark: SparkSession, folder: str, parts: int, written: dict[int
                 if written is not None:
                     raise ValueError(f"lost file {name}")
                 continue
-            rows, start, position = [], 0, 0
+            rows, start, position, base = [], 0, 0, before.get(part, 0)
             with files.open_input_stream(name, buffer_size=1 << 20) as data:
                 while (payload := unframed(data.read)) is not None:
                     doc_id, has_id, width = struct.unpack_from(HEAD, payload)
                     ids = np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(HEAD))
-                    rows.append((part, position, doc_id if has_id else None, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    rows.append((part, position, doc_id if has_id else None, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start, position = start + len(ids), position + 1
                     if len(rows) == 4096:
                         yield _batch(rows)
@@ -168,7 +174,5 @@ def token_records(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", spaces_
     folder = scratch(spark, "records")
     parts = keep(write_records(docs, folder, tokenizer, spaces_kept, end_id), "record-parts")
     written = {r["part"]: (r["docs"], r["tokens"]) for r in parts.collect()}
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return read_records(spark, folder, max(written, default=0) + 1, written).join(parts.select("part", before.alias("before")), "part").select(
-        "doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "part", "position"
-    )
+    found = read_records(spark, folder, max(written, default=0) + 1, written)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32", "part", "position")
