@@ -9,7 +9,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.operators.rules import CATALOGUE, FAIL, MANUAL, PASS, UNSUPPORTED, UNVALIDATED, Rule, outcome, with_normal_text
+from tessitura.operators.rules import CATALOGUE, FAIL, MANUAL, PASS, UNSUPPORTED, UNVALIDATED, Rule, joined, outcome, with_normal_text, with_term_patterns
 
 # Spellings accepted for a canonical rule.
 ALIASES = {
@@ -44,9 +44,19 @@ def undeclared_platforms(pieces: DataFrame, platform_rules: DataFrame) -> DataFr
     return pieces.join(platform_rules, ["contract_id", "platform"], "left_anti")
 
 
+def declared(items: Column) -> Column:
+    """Collected ``(position, value)`` pairs as values in declared order."""
+    return F.transform(F.array_sort(items), lambda x: x["value"])
+
+
 def dispatch_table(rules: DataFrame, platform_rules: DataFrame, unmapped: DataFrame) -> DataFrame:
-    """Per contract, the ordered rules with what the dispatcher must know about each."""
-    cited = unmapped.select("contract_id", F.col("rule").alias("rule_id")).distinct().withColumn("cited", F.lit(True))
+    """Per contract, the ordered rules with what the dispatcher must know about each.
+
+    ``unmapped``: ``contract_id, position, rule, quote``, in the order in which the contract cites them.
+    """
+    cited = unmapped.groupBy("contract_id", F.col("rule").alias("rule_id")).agg(
+        declared(F.collect_list(F.struct("position", F.col("quote").alias("value")))).alias("citations")
+    )
     anywhere = (
         rules.select("contract_id", "rule_id", canonical(F.col("rule_id")).alias("canonical_id"))
         .distinct()
@@ -54,73 +64,77 @@ def dispatch_table(rules: DataFrame, platform_rules: DataFrame, unmapped: DataFr
         .groupBy("contract_id", "rule_id", "canonical_id")
         .agg(F.max(applies(F.col("canonical_id"))).alias("anywhere"))
     )
-    order = F.array_position(F.array(*[F.lit(s) for s in STRENGTHS]), F.col("strength"))
+    order = F.array_position(F.array(*[F.lit(s) for s in STRENGTHS]), F.col("strength")).cast("int")
     return (
         rules.join(anywhere, ["contract_id", "rule_id"])
         .join(cited, ["contract_id", "rule_id"], "left")
         .groupBy("contract_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        order.alias("tier"), "ordinal", "strength", "rule_id", "canonical_id", "anywhere",
-                        F.coalesce("cited", F.lit(False)).alias("cited"),
-                    )
-                )
-            ).alias("todo")
-        )
-    )
+        .agg(F.array_sort(F.collect_list(F.struct(order.alias("tier"), "ordinal", "strength", "rule_id", "canonical_id", "anywhere", "citations"))).alias("todo"))
+    )
 
 
 def joined_rows(pieces: DataFrame, platform_rules: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Piece, platform and contract in one row. The small sides broadcast only under the session's size limit."""
-    return pieces.join(platform_rules, ["contract_id", "platform"]).join(contracts, "contract_id")
+    """Piece, platform and contract in one row. The small sides broadcast only under the session's size limit.
+
+    Normal forms and patterns of terms are made once per contract and platform, before any piece meets them.
+    """
+    return pieces.join(with_term_patterns(platform_rules.join(contracts, "contract_id")), ["contract_id", "platform"])
 
 
 def evaluate(
     rows: DataFrame, dispatch: DataFrame, unmapped: DataFrame, catalogue: Mapping[str, Rule] | None = None
 ) -> DataFrame:
-    """One row per piece and dispatched rule, plus one for requirements nobody can check."""
+    """One row per piece and dispatched rule, plus one for requirements nobody can check.
+
+    ``tier`` and ``ordinal`` give the order of a piece's checks. A rule is only computed for the rows that ask for it.
+    """
     rules = dict(CATALOGUE if catalogue is None else catalogue)
-    ready = with_normal_text(rows)
-    results = F.create_map(*chain.from_iterable((F.lit(name), rule()) for name, rule in rules.items()))
-    judged = ready.select("piece_id", "contract_id", "platform", "audio_rule", "attribution_type", "link_in_bio", results.alias("results"))
-    todo = judged.join(dispatch, "contract_id").select("*", F.explode("todo").alias("r"))
-    here = applies(F.col("r.canonical_id"))
-    unvalidated = outcome(F.when((F.col("r.strength") == MANUAL) | F.col("r.cited"), MANUAL).otherwise(UNSUPPORTED), UNVALIDATED)
-    direct = F.coalesce(F.col("results")[F.col("r.canonical_id")], unvalidated)
-    orphan = (direct["status"] == MANUAL) & (F.col("r.strength") != MANUAL) & ~F.col("r.cited") & ~here & ~F.col("r.anywhere")
-    checks = todo.filter(here | ~F.col("r.anywhere")).select(
-        "piece_id",
-        "contract_id",
-        "platform",
-        (F.col("r.tier") * 100000 + F.col("r.ordinal")).alias("ordinal"),
-        F.col("r.rule_id").alias("rule_id"),
-        F.col("r.strength").alias("strength"),
-        F.when(orphan, F.lit(UNSUPPORTED)).otherwise(direct["status"]).alias("status"),
-        direct["reason"].alias("reason"),
-        direct["evidence"].alias("evidence"),
+    todo = with_normal_text(rows).join(dispatch, "contract_id").withColumn("r", F.explode("todo")).drop("todo")
+    asked, cited = F.col("r.canonical_id"), F.col("r.citations")
+    here = applies(asked)
+    shown = F.when(cited.isNotNull(), F.create_map(F.lit("citations"), joined(cited))).otherwise(F.create_map().cast("map<string,string>"))
+    unknown = F.struct(
+        F.when((F.col("r.strength") == MANUAL) | cited.isNotNull(), MANUAL).otherwise(UNSUPPORTED).alias("status"), F.lit(UNVALIDATED).alias("reason"), shown.alias("evidence")
+    )
+    direct = reduce(lambda acc, kv: acc.when(asked == kv[0], kv[1]()), rules.items(), F.when(F.lit(False), outcome(PASS))).otherwise(unknown)
+    base = ["piece_id", "contract_id", "platform"]
+    found = todo.withColumn("here", here).filter(F.col("here") | ~F.col("r.anywhere")).select(*base, "r", "here", direct.alias("o"))
+    orphan = (F.col("o.status") == MANUAL) & (F.col("r.strength") != MANUAL) & cited.isNull() & ~F.col("here") & ~F.col("r.anywhere")
+    checks = found.select(
+        *base,
+        "r.tier",
+        "r.ordinal",
+        "r.rule_id",
+        "r.strength",
+        F.when(orphan, F.lit(UNSUPPORTED)).otherwise(F.col("o.status")).alias("status"),
+        "o.reason",
+        F.when(orphan, F.map_concat("o.evidence", F.create_map(F.lit("unclaimed"), F.lit("no_platform")))).otherwise(F.col("o.evidence")).alias("evidence"),
     )
-    return checks.unionByName(_unmapped_rows(judged, unmapped, list(rules)))
+    return checks.unionByName(_unmapped_rows(rows, unmapped, list(rules)))
 
 
-def _unmapped_rows(judged: DataFrame, unmapped: DataFrame, validators: list[str]) -> DataFrame:
-    clash = F.filter(F.col("names"), lambda n: n.isin(*validators))
-    per_contract = unmapped.groupBy("contract_id").agg(F.array_sort(F.collect_list("rule")).alias("names"))
-    failed = F.size(clash) > 0
+def _unmapped_rows(rows: DataFrame, unmapped: DataFrame, validators: list[str]) -> DataFrame:
+    per_contract = unmapped.groupBy("contract_id").agg(
+        declared(F.collect_list(F.struct("position", F.struct("rule", "quote").alias("value")))).alias("cited")
+    )
+    names = F.transform("cited", lambda c: c["rule"])
+    clash = F.filter(names, lambda n: n.isin(*validators))
+    failed = F.size("clash") > 0
+    told = F.create_map(F.lit("rules"), joined(names), F.lit("citations"), joined(F.transform("cited", lambda c: c["quote"])))
     return (
-        judged.select("piece_id", "contract_id", "platform")
-        .join(per_contract, "contract_id")
+        rows.select("piece_id", "contract_id", "platform")
+        .join(per_contract.select("contract_id", clash.alias("clash"), told.alias("told")), "contract_id")
         .select(
             "piece_id",
             "contract_id",
             "platform",
-            F.lit(900000).cast("bigint").alias("ordinal"),
+            F.lit(len(STRENGTHS) + 1).alias("tier"),
+            F.lit(0).alias("ordinal"),
             F.lit("rules.unmapped").alias("rule_id"),
             F.when(failed, "hard").otherwise(MANUAL).alias("strength"),
             F.when(failed, FAIL).otherwise(MANUAL).alias("status"),
             F.when(failed, "collides_with_validator").otherwise("unmapped").alias("reason"),
-            F.create_map(F.lit("rules"), F.array_join("names", "|")).alias("evidence"),
+            F.when(failed, F.map_concat("told", F.create_map(F.lit("colliding"), joined(F.col("clash"))))).otherwise(F.col("told")).alias("evidence"),
         )
     )
 
@@ -138,7 +152,7 @@ def severity() -> Column:
 def verdicts(pieces: DataFrame, checks: DataFrame) -> DataFrame:
     """One verdict per piece. A piece without checks passes; a signature may only cover real validators."""
     signable = (F.col("status") == PASS) | ((F.col("status") == MANUAL) & ~F.coalesce(F.col("reason") == UNVALIDATED, F.lit(False)))
-    open_checks = F.collect_list(F.when(F.col("status") != PASS, F.struct("ordinal", "rule_id")))
+    open_checks = F.collect_list(F.when(F.col("status") != PASS, F.struct("tier", "ordinal", "rule_id")))
     rolled = checks.groupBy("piece_id").agg(
         F.max(severity()).alias("_worst"),
         F.min(signable).alias("_signable"),
@@ -238,10 +252,9 @@ def asset_faults(required: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def faults_by_contract(faults: DataFrame) -> DataFrame:
-    """Fault texts per contract for the rule row."""
-    return faults.groupBy("contract_id").agg(
-        F.array_sort(F.collect_list(F.concat_ws(":", "fault", "asset_id"))).alias("asset_faults")
-    )
+    """How many assets of a contract have each class of fault, for the rule row; which ones is ``asset_faults``."""
+    counted = faults.groupBy("contract_id", "fault").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("contract_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", "fault", F.col("n").cast("string")))).alias("asset_faults"))
 
 
 def piece_grid(contracts_platforms: DataFrame, assets: DataFrame) -> DataFrame:

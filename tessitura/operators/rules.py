@@ -247,7 +247,7 @@ def spelling_lock() -> Column:
         (~lyric & (F.size("spelling_locks") == 0), outcome(PASS, "no_locks")),
         (F.col("subtitle_text").isNull(), outcome(UNSUPPORTED, "no_subtitles")),
         (F.size(missing) > 0, outcome(FAIL, "missing", missing=joined(missing))),
-        (lyric & F.col("lyric_reason").isNotNull(), outcome(FAIL, F.col("lyric_reason"))),
+        (lyric & F.col("lyric").isNotNull(), F.struct(F.lit(FAIL).alias("status"), F.col("lyric.reason").alias("reason"), F.col("lyric.evidence").alias("evidence"))),
         otherwise=outcome(PASS),
     )
 
@@ -344,28 +344,32 @@ CATALOGUE: dict[str, Rule] = {
 }
 
 
+def with_term_patterns(terms: DataFrame) -> DataFrame:
+    """Adds normal forms and patterns of the terms of platforms and contracts, in declared order."""
+    patterns = lambda c: F.transform(normal_each(F.col(c)), phrase_pattern_column)
+    staged = terms.select(
+        "*",
+        F.array_distinct(F.concat("forbidden", "prohibitions")).alias("forbidden_all"),
+        normal(F.array_join("prohibitions", " ")).alias("prohibitions_n"),
+        normal(F.col("hook_keyword")).alias("_hook_n"),
+    )
+    return staged.select(
+        "*", patterns("forbidden_all").alias("forbidden_p"), patterns("spelling_locks").alias("locks_p"), phrase_pattern_column(F.col("_hook_n")).alias("hook_p")
+    ).drop("_hook_n")
+
+
 def with_normal_text(rows: DataFrame) -> DataFrame:
-    """Adds every normal form the catalogue reads, once per row and outside the rules."""
+    """Adds every normal form of a piece's own texts that the catalogue reads, once per row and outside the rules."""
     opening = lambda c: F.filter(F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)), lambda s: s["start_s"] <= HOOK_WINDOW_S)
     published = F.concat_ws(
         "\n", "caption", F.array_join("hashtags", "\n"), F.array_join(F.transform("screen", lambda s: s["text"]), "\n")
     )
-    staged = rows.select(
+    return rows.select(
         "*",
-        F.array_distinct(F.concat("forbidden", "prohibitions")).alias("forbidden_all"),
         normal(published).alias("published_n"),
         normal(F.coalesce("subtitle_text", F.lit(""))).alias("spoken_n"),
-        normal(F.array_join("prohibitions", " ")).alias("prohibitions_n"),
         F.transform(opening("segments"), lambda s: s["start_s"]).alias("hook_sub_at"),
         normal_each(F.transform(opening("segments"), lambda s: s["text"])).alias("hook_sub_n"),
         F.transform(opening("screen"), lambda s: s["start_s"]).alias("hook_screen_at"),
         normal_each(F.transform(opening("screen"), lambda s: s["text"])).alias("hook_screen_n"),
-        normal(F.col("hook_keyword")).alias("_hook_n"),
     )
-    patterns = lambda c: F.transform(normal_each(F.col(c)), phrase_pattern_column)
-    return staged.select(
-        "*",
-        patterns("forbidden_all").alias("forbidden_p"),
-        patterns("spelling_locks").alias("locks_p"),
-        phrase_pattern_column(F.col("_hook_n")).alias("hook_p"),
-    ).drop("_hook_n")

@@ -9,7 +9,8 @@ from tessitura.functions import text as tx
 from tessitura.operators import gate as op
 from tessitura.operators import rules as rl
 from tessitura.operators.spans import cut_line_windows
-from tessitura.queries.common_sql import with_words
+from tessitura.queries.common_sql import WORDS, with_words
+from tessitura.queries.lyrics import LYRIC_SQL, shown_evidence, truth
 from tessitura.queries.spans import _CUT_LINES, _ENDED, _HALF, _LINES, half_spans, timed_lines
 from tessitura.sources.tables import table, words
 
@@ -19,6 +20,9 @@ CONTRACTS = (
     (0, "video", ["9:16", "16:9"], None, None, [], ["lenguaje tóxico"], "the", False, False),
     (1, "video", ["9:16"], (1080, 1920, "9:16"), "internal_official_sound", ["of the"], [], None, True, True),
     (2, "slideshow", ["1:1", "4:5"], None, "original_audio", [], ["en la"], "año", False, False),
+    (3, "lyric_video", ["9:16"], None, None, [], [], None, False, False),
+    (4, "lyric_video", ["9:16"], None, None, [], [], None, True, False),
+    (5, "lyric_video", ["16:9"], None, None, [], [], None, False, False),
 )
 # Platform literals: contract, platform, audio rule, min, max, mentions, must mention, hashtags, forbidden, first line, attribution, link.
 PLATFORM_RULES = (
@@ -33,6 +37,7 @@ PLATFORM_RULES = (
     (2, "tiktok", "no_trending", 8.0, None, [], [], [], [], None, "none", False),
     (2, "instagram_reels", "no_trending", None, None, [], [], [], ["en"], None, "none", False),
     (2, "youtube_shorts", "no_trending", None, 70.0, [], [], ["clip"], [], None, "none", False),
+    *((c, p, "any", None, 20.0 * c, [], [], [], [], None, "none", False) for c in (3, 4, 5) for p in PLATFORMS),
 )
 RULES = (
     (0, "hard", ["artifact.integrity", "artifact.aspect", "artifact.video_stream", "duration.min", "duration.max", "audio.present", "caption.required_mention",
@@ -46,9 +51,9 @@ RULES = (
     (2, "hard", ["artifact.video_stream", "artifact.aspect", "link.in_bio", "custom.unknown", "custom.cited", "hook.keyword", "audio.official_track"]),
     (2, "recommended", ["caption.forbidden", "duration.max"]),
     (2, "manual_review", ["duration.min"]),
+    *((c, "hard", ["artifact.integrity", "subtitles.spelling_lock", "duration.max", "brand.safety"]) for c in (3, 4, 5)),
 )
 UNMAPPED = ((2, "custom.cited", "cite one"), (1, "custom.review", "cite two"), (1, "hook.keyword", "cite three"))
-REQUIRED_ASSETS = tuple((1, i) for i in (4, 11, 13, 26, 44))
 
 
 def contracts(spark: SparkSession) -> DataFrame:
@@ -73,7 +78,7 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def unmapped(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(UNMAPPED, "contract_id long, rule string, quote string")
+    return spark.createDataFrame([(c, i, r, q) for i, (c, r, q) in enumerate(UNMAPPED)], "contract_id long, position int, rule string, quote string")
 
 
 def base_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,8 +89,8 @@ def base_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return talk.join(later, ["conv_id", "turn"], "left").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("piece_id"),
         F.col("conv_id").alias("batch_id"),
-        (F.col("conv_id") % 3).alias("contract_id"),
-        F.element_at(names, (F.col("conv_id") % 4 + 1).cast("int")).alias("platform"),
+        (F.col("conv_id") % 6).alias("contract_id"),
+        F.element_at(names, (F.floor(F.col("conv_id") / 6) % 4 + 1).cast("int")).alias("platform"),
         F.col("text").alias("caption"),
         "subtitle_text",
         (F.col("conv_id") * 7 + F.col("turn") * 3).alias("k"),
@@ -95,7 +100,7 @@ def base_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 def pieces(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("k")
-    tokens = F.slice(F.filter(F.split(F.coalesce("subtitle_text", F.lit("")), " "), lambda t: t != ""), 1, 6)
+    tokens = F.filter(F.split(F.coalesce("subtitle_text", F.lit("")), " "), lambda t: t != "")
     sizes = {0: (1080, 1920), 1: (1920, 1080), 2: (608, 1080), 3: (1000, 1000), 5: (720, 900)}
     width = F.coalesce(*[F.when(k % 6 == m, w) for m, (w, _) in sizes.items()])
     height = F.coalesce(*[F.when(k % 6 == m, h) for m, (_, h) in sizes.items()])
@@ -103,13 +108,21 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("batch_id"), F.struct((F.col("toxic") == 1).alias("risk")).alias("assessment")
     )
     segment = "array<struct<text:string,start_s:double,end_s:double>>"
+    sung, found = truth(spark, folder)
+    sung = sung.select("piece_id", F.col("subtitle_text").alias("sung"), F.col("segments").alias("sung_segments"))
+    is_sung = F.col("contract_id") >= 3
+    spoken = F.transform(tokens, lambda t, i: F.struct(t.alias("text"), (i * 0.8).alias("start_s"), (i * 0.8 + 0.8).alias("end_s"))).cast(segment)
     return (
         base_pieces(spark, folder)
         .join(labels, "batch_id", "left")
+        .join(sung, "piece_id", "left")
+        .join(found, "piece_id", "left")
+        .withColumn("segments", F.when(is_sung, F.col("sung_segments")).otherwise(spoken))
+        .withColumn("subtitle_text", F.when(is_sung, F.col("sung")).otherwise(F.col("subtitle_text")))
+        .drop("sung", "sung_segments")
         .select(
             "*",
             F.array(F.lit("#Clip"), F.concat(F.lit("#day"), (F.col("turn") % 3).cast("string"))).alias("hashtags"),
-            F.transform(tokens, lambda t, i: F.struct(t.alias("text"), (i * 0.8).alias("start_s"), (i * 0.8 + 0.8).alias("end_s"))).cast(segment).alias("segments"),
             F.when(
                 k % 2 == 0,
                 F.array(F.struct(F.get(F.split("caption", " "), F.lit(0)).alias("text"), F.lit(0.5).alias("start_s"), F.lit(1.5).alias("end_s"))),
@@ -123,7 +136,6 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
             height.alias("height"),
             F.when(k % 4 != 3, k % 4).alias("audio_tracks"),
             F.when(k % 3 == 0, -91.0).when(k % 3 == 1, -20.0).alias("max_volume_db"),
-            F.lit(None).cast("string").alias("lyric_reason"),
         )
     )
 
@@ -179,8 +191,8 @@ def logo_verdicts(spark: SparkSession, folder: str) -> DataFrame:
 def gate_rows(spark: SparkSession, folder: str) -> DataFrame:
     faults = op.faults_by_contract(
         op.asset_faults(
-            table(spark, folder, "documents").filter(F.col("doc_id").isin([a for _, a in REQUIRED_ASSETS])).select(
-                F.lit(1).cast("long").alias("contract_id"), F.col("doc_id").alias("asset_id"), F.sha2("text", 256).alias("sha256"),
+            table(spark, folder, "documents").select(
+                (F.col("doc_id") % 6).alias("contract_id"), F.col("doc_id").alias("asset_id"), F.sha2("text", 256).alias("sha256"),
                 F.char_length("text").cast("long").alias("size_bytes"),
             ),
             registry(spark, folder),
@@ -197,7 +209,9 @@ def gate_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def check_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return gate_checks(spark, folder).select("piece_id", "ordinal", "rule_id", "strength", "status", F.coalesce("reason", F.lit("")).alias("reason"))
+    return gate_checks(spark, folder).select(
+        "piece_id", "tier", "ordinal", "rule_id", "strength", "status", F.coalesce("reason", F.lit("")).alias("reason"), shown_evidence(F.col("evidence")).alias("evidence")
+    )
 
 
 def judged(spark: SparkSession, folder: str) -> DataFrame:
@@ -419,8 +433,8 @@ _FLAT_CONTRACTS = ", ".join(
 _FLAT_PLATFORMS = ", ".join(_q((*r[:9], [_pattern_of(x) for x in r[8]], *r[9:])) for r in PLATFORM_RULES)
 _FLAT_RULES = ", ".join(_q((c, s, i, r)) for c, s, ids in RULES for i, r in enumerate(ids))
 _PIECES_SQL = f"""
-_b AS (SELECT c.conv_id || '-' || c.turn AS piece_id, c.conv_id AS batch_id, c.conv_id % 3 AS contract_id,
-       {_q(list(PLATFORMS))}[c.conv_id % 4 + 1] AS platform, c.text AS caption, n.text AS spoken, c.conv_id * 7 + c.turn * 3 AS k, c.turn
+_b AS (SELECT c.conv_id || '-' || c.turn AS piece_id, c.conv_id AS batch_id, c.conv_id % 6 AS contract_id,
+       {_q(list(PLATFORMS))}[c.conv_id // 6 % 4 + 1] AS platform, c.text AS caption, n.text AS spoken, c.conv_id * 7 + c.turn * 3 AS k, c.turn
        FROM conversations c LEFT JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1)"""
 _SAMPLES_SQL = """
 _sm AS (SELECT piece_id, k, n, CASE WHEN k % 10 = 9 THEN 'edge' ELSE 'ccoeff' END AS metric, (k * 31 + n * 7) % 100 AS c, (k * 13 + n) % 100 AS weak,
@@ -438,11 +452,12 @@ _REGISTRY_SQL = """
 _rg AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN sha256(lang) ELSE sha256(text) END AS reg,
         CASE WHEN doc_id % 17 = 0 THEN 'changed' WHEN doc_id % 11 = 0 THEN sha256(lang) ELSE sha256(text) END AS file, doc_id % 23 <> 0 AS safe, sha256(text) AS own
         FROM documents),
-_af AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN NOT safe THEN 'unsafe' WHEN doc_id % 5 <> 0 AND reg <> own THEN 'mismatched' WHEN file <> reg THEN 'tampered' END AS fault FROM _rg)"""
-_MISSING_MENTION = """len([m FOR m IN list_concat(mentions, must) IF NOT regexp_matches(caption, '(?i)(^|[^\\p{L}\\p{M}\\p{N}_@])' || m || '($|[^\\p{L}\\p{M}\\p{N}_])')])"""
+_af AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN NOT safe THEN 'unsafe' WHEN doc_id % 5 <> 0 AND reg <> own THEN 'mismatched' WHEN file <> reg THEN 'tampered' END AS fault FROM _rg),
+_ag AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN NOT safe THEN 'unsafe' WHEN reg <> own THEN 'mismatched' WHEN file <> reg THEN 'tampered' END AS fault FROM _rg)"""
+_MISSING_MENTION = """([m FOR m IN list_concat(mentions, must) IF NOT regexp_matches(caption, '(?i)(^|[^\\p{L}\\p{M}\\p{N}_@])' || m || '($|[^\\p{L}\\p{M}\\p{N}_])')])"""
 _TAGS = "['clip', 'day' || (turn % 3)]"
-_MISSING_TAG = f"""len([t FOR t IN tags IF NOT list_contains({_TAGS}, lower(ltrim(trim(t), '#'))) AND NOT regexp_matches(caption, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_#])#' || lower(ltrim(trim(t), '#')) || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')])"""
-_LIST = "list_distinct(list_concat(forbidden_p, prohibitions_p))"
+_MISSING_TAG = f"""([t FOR t IN tags IF NOT list_contains({_TAGS}, lower(ltrim(trim(t), '#'))) AND NOT regexp_matches(caption, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_#])#' || lower(ltrim(trim(t), '#')) || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')])"""
+_TERMS, _LIST = "list_concat(forbidden, prohibitions)", "list_concat(forbidden_p, prohibitions_p)"
 
 
 def _fits(target: str) -> str:
@@ -466,25 +481,62 @@ _RAW = f"""CASE canon
   WHEN 'audio.policy' THEN CASE WHEN policy = 'internal_official_sound' THEN 'manual_review:approval_needed' ELSE 'pass:' END
   WHEN 'audio.silence' THEN CASE WHEN policy IS DISTINCT FROM 'internal_official_sound' THEN 'pass:' WHEN k % 4 = 3 THEN 'unsupported:tracks_not_counted' WHEN k % 4 <> 1 THEN 'fail:not_one_track'
        WHEN k % 3 = 2 THEN 'unsupported:volume_not_measured' WHEN k % 3 = 0 THEN 'pass:' ELSE 'fail:audible' END
-  WHEN 'caption.required_mention' THEN CASE WHEN {_MISSING_MENTION} > 0 THEN 'fail:missing' ELSE 'pass:' END
-  WHEN 'caption.required_hashtag' THEN CASE WHEN {_MISSING_TAG} > 0 THEN 'fail:missing' ELSE 'pass:' END
+  WHEN 'caption.required_mention' THEN CASE WHEN len({_MISSING_MENTION}) > 0 THEN 'fail:missing' ELSE 'pass:' END
+  WHEN 'caption.required_hashtag' THEN CASE WHEN len({_MISSING_TAG}) > 0 THEN 'fail:missing' ELSE 'pass:' END
   WHEN 'caption.forbidden' THEN CASE WHEN len([p FOR p IN {_LIST} IF {_phrase('pub_n', 'p')}]) > 0 THEN 'fail:published' WHEN len([p FOR p IN {_LIST} IF {_phrase('spk_n', 'p')}]) > 0 THEN 'manual_review:spoken' ELSE 'pass:' END
   WHEN 'caption.first_line' THEN CASE WHEN first_line IS NULL THEN 'pass:not_required' WHEN contains(trim(regexp_split_to_array(caption, '\\r\\n|[\\n\\r]')[1]), trim(first_line)) THEN 'pass:' ELSE 'fail:first_line_absent' END
-  WHEN 'subtitles.spelling_lock' THEN CASE WHEN len(locks) = 0 THEN 'pass:no_locks' WHEN spoken IS NULL THEN 'unsupported:no_subtitles'
+  WHEN 'subtitles.spelling_lock' THEN CASE WHEN format = 'lyric_video' THEN CASE WHEN coalesce(blank, true) THEN 'fail:no_synced_subtitles' WHEN lyric <> 'ok' THEN 'fail:' || lyric ELSE 'pass:' END
+       WHEN len(locks) = 0 THEN 'pass:no_locks' WHEN spoken IS NULL THEN 'unsupported:no_subtitles'
        WHEN len([p FOR p IN locks_p IF NOT {_phrase('spk_n', 'p')}]) > 0 THEN 'fail:missing' ELSE 'pass:' END
   WHEN 'hook.keyword' THEN CASE WHEN hook IS NULL THEN 'pass:not_required' WHEN {_phrase('hook_n', 'hook_p')} OR {_phrase('scr_n', 'hook_p')} THEN 'pass:' ELSE 'fail:not_in_opening' END
   WHEN 'brand.safety' THEN CASE WHEN NOT (safety OR contract_id = 0) THEN 'pass:not_required' WHEN toxic IS NULL THEN 'manual_review:no_assessor' WHEN toxic = 1 THEN 'manual_review:risk' ELSE 'pass:no_risk' END
-  WHEN 'assets.required' THEN CASE WHEN n_faults > 0 THEN 'fail:asset_faults' ELSE 'pass:' END
+  WHEN 'assets.required' THEN CASE WHEN faults IS NOT NULL THEN 'fail:asset_faults' ELSE 'pass:' END
   WHEN 'watermark.full_video' THEN CASE WHEN NOT logo THEN 'pass:not_required' WHEN dur IS NULL THEN 'unsupported:no_duration' ELSE logo_all || ':samples' END
   WHEN 'watermark.present' THEN CASE WHEN NOT logo THEN 'pass:not_required' WHEN dur IS NULL THEN 'unsupported:no_duration' ELSE logo_any || ':samples' END
   END"""
+_MEASURED = """'measured=' || CASE WHEN abs(w / h - 0.5625::DOUBLE) <= 0.5625::DOUBLE * 0.05 THEN '9:16' WHEN abs(w / h - 16.0::DOUBLE / 9) <= 16.0::DOUBLE / 9 * 0.05 THEN '16:9'
+       WHEN abs(w / h - 1.0::DOUBLE) <= 0.05 THEN '1:1' WHEN abs(w / h - 0.8::DOUBLE) <= 0.8::DOUBLE * 0.05 THEN '4:5' END"""
+_HEARD = "[x FOR x IN string_split(coalesce(spoken, ''), ' ') IF x <> '']"
+_MATCHED = (
+    "array_to_string([x FOR x IN ["
+    + ", ".join(
+        f"CASE WHEN {_phrase(_n(text), 'hook_p')} THEN '{told}' END"
+        for text, told in ((f"{_HEARD}[1]", "subtitles@0.0"), ("CASE WHEN k % 2 = 0 THEN string_split(caption, ' ')[1] END", "screen@0.5"),
+                           (f"{_HEARD}[2]", "subtitles@0.8"), (f"{_HEARD}[3]", "subtitles@1.6"), (f"{_HEARD}[4]", "subtitles@2.4"))
+    )
+    + "] IF x IS NOT NULL], '|')"
+)
+
+
+def _held(terms: str, patterns: str, text: str, negated: str = "") -> str:
+    return f"array_to_string([({terms})[q] FOR q IN range(1, len({patterns}) + 1) IF {negated} {_phrase(text, f'({patterns})[q]')}], '|')"
+
+
+_SHOWN = f"""CASE WHEN reason = 'no_validator' THEN CASE WHEN cited THEN 'citations=' || (SELECT string_agg(quote, '|' ORDER BY position) FROM um WHERE um.contract_id = ev.contract_id AND um.rule = ev.rule_id) END
+  ELSE CASE canon
+  WHEN 'artifact.integrity' THEN CASE WHEN ok THEN 'sha256=' || sha256(caption) END
+  WHEN 'artifact.aspect' THEN CASE WHEN ok OR reason = 'undeclared_aspect' THEN {_MEASURED} END WHEN 'layout.geometry' THEN CASE WHEN ok THEN {_MEASURED} END
+  WHEN 'duration.min' THEN CASE WHEN reason IN ('', 'out_of_bounds') THEN 'duration_s=' || dur END WHEN 'duration.max' THEN CASE WHEN reason IN ('', 'out_of_bounds') THEN 'duration_s=' || dur END
+  WHEN 'audio.present' THEN CASE WHEN reason = 'audio_not_verifiable' THEN 'audio_rule=' || audio_rule END
+  WHEN 'audio.own_clip' THEN 'audio_rule=own_clip;platform_audio_rule=' || audio_rule WHEN 'audio.no_trending' THEN 'audio_rule=no_trending;platform_audio_rule=' || audio_rule
+  WHEN 'audio.official_track' THEN 'audio_rule=official_required;platform_audio_rule=' || audio_rule
+  WHEN 'audio.policy' THEN CASE WHEN ok THEN 'audio_policy=' || coalesce(policy, '') END
+  WHEN 'audio.silence' THEN CASE WHEN policy IS DISTINCT FROM 'internal_official_sound' THEN 'audio_policy=' || coalesce(policy, '') END
+  WHEN 'caption.required_mention' THEN CASE WHEN NOT ok THEN 'missing=' || array_to_string({_MISSING_MENTION}, '|') END
+  WHEN 'caption.required_hashtag' THEN CASE WHEN NOT ok THEN 'missing=' || array_to_string({_MISSING_TAG}, '|') END
+  WHEN 'caption.forbidden' THEN CASE WHEN reason = 'published' THEN 'found=' || {_held(_TERMS, _LIST, 'pub_n')} WHEN reason = 'spoken' THEN 'found=' || {_held(_TERMS, _LIST, 'spk_n')} END
+  WHEN 'subtitles.spelling_lock' THEN CASE WHEN format = 'lyric_video' THEN CASE WHEN reason = lyric THEN lyric_shown END WHEN reason = 'missing' THEN 'missing=' || {_held('locks', 'locks_p', 'spk_n', 'NOT')} END
+  WHEN 'hook.keyword' THEN CASE WHEN ok AND reason = '' THEN 'matched=' || {_MATCHED} END
+  WHEN 'assets.required' THEN CASE WHEN NOT ok THEN 'faults=' || faults END END END"""
 _APPLIES = """CASE canon WHEN 'audio.present' THEN {a}audio_rule <> 'any' WHEN 'audio.own_clip' THEN {a}audio_rule = 'own_clip' WHEN 'audio.no_trending' THEN {a}audio_rule = 'no_trending'
   WHEN 'audio.official_track' THEN {a}audio_rule = 'official_required' WHEN 'attribution.required' THEN {a}attribution <> 'none' WHEN 'link.in_bio' THEN {a}link ELSE true END"""
 _GATE = f"""
+{WORDS},
+{",".join(LYRIC_SQL)},
 ct(contract_id, format, outputs, split_w, split_h, policy, locks, locks_p, prohibitions, prohibitions_p, hook, hook_p, safety, logo) AS (VALUES {_FLAT_CONTRACTS}),
 pl(contract_id, platform, audio_rule, min_s, max_s, mentions, must, tags, forbidden, forbidden_p, first_line, attribution, link) AS (VALUES {_FLAT_PLATFORMS}),
 rs(contract_id, strength, ordinal, rule_id) AS (VALUES {_FLAT_RULES}),
-um(contract_id, rule, quote) AS (VALUES {', '.join(_q(u) for u in UNMAPPED)}),
+um(contract_id, position, rule, quote) AS (VALUES {', '.join(_q((c, i, r, q)) for i, (c, r, q) in enumerate(UNMAPPED))}),
 rc AS (SELECT *, CASE rule_id WHEN 'audio.official_selection' THEN 'audio.official_track' WHEN 'audio.rule' THEN 'audio.official_track' WHEN 'attribution.present' THEN 'attribution.required'
        WHEN 'link_rules.link_in_bio' THEN 'link.in_bio' ELSE rule_id END AS canon FROM rs),
 ra AS (SELECT rc.contract_id, strength, ordinal, rule_id, canon, bool_or({_APPLIES.format(a='pl.')}) AS anywhere,
@@ -493,7 +545,8 @@ ra AS (SELECT rc.contract_id, strength, ordinal, rule_id, canon, bool_or({_APPLI
 {_PIECES_SQL},
 {_SAMPLES_SQL},
 {_REGISTRY_SQL},
-nf AS (SELECT count(*) AS n_faults FROM _af WHERE fault IS NOT NULL AND doc_id IN ({', '.join(str(a) for _, a in REQUIRED_ASSETS)})),
+nf AS (SELECT contract_id, string_agg(fault || ':' || n, '|' ORDER BY fault) AS faults
+       FROM (SELECT doc_id % 6 AS contract_id, fault, count(*) AS n FROM _ag GROUP BY 1, 2) WHERE fault IS NOT NULL GROUP BY 1),
 rows_ AS MATERIALIZED (SELECT _b.*, k % 13 <> 0 AS probed, CASE WHEN k % 11 <> 0 THEN k % 90 + 0.5::DOUBLE END AS dur, k % 17 <> 0 AS has_video, k % 5 <> 0 AS has_audio,
        CASE k % 6 WHEN 0 THEN 1080 WHEN 1 THEN 1920 WHEN 2 THEN 608 WHEN 3 THEN 1000 WHEN 5 THEN 720 END::DOUBLE AS w,
        CASE k % 6 WHEN 0 THEN 1920 WHEN 1 THEN 1080 WHEN 2 THEN 1080 WHEN 3 THEN 1000 WHEN 5 THEN 900 END::DOUBLE AS h, toxic, logo_all, logo_any,
@@ -502,22 +555,27 @@ rows_ AS MATERIALIZED (SELECT _b.*, k % 13 <> 0 AS probed, CASE WHEN k % 11 <> 0
        {_n("array_to_string([x FOR x IN string_split(coalesce(spoken, ''), ' ') IF x <> ''][1:4], ' ')")} AS hook_n,
        {_n("CASE WHEN k % 2 = 0 THEN string_split(caption, ' ')[1] ELSE '' END")} AS scr_n
        FROM _b LEFT JOIN labels ON labels.doc_id = _b.batch_id LEFT JOIN logos USING (piece_id)),
-full_ AS (SELECT * FROM rows_ JOIN pl USING (contract_id, platform) JOIN ct USING (contract_id), nf),
+full_ AS (SELECT rows_.*, pl.* EXCLUDE (contract_id, platform), ct.* EXCLUDE (contract_id), faults, lyr.reason AS lyric, lyr.evidence AS lyric_shown, blank
+       FROM rows_ JOIN pl USING (contract_id, platform) JOIN ct USING (contract_id) LEFT JOIN nf USING (contract_id) LEFT JOIN lyr USING (piece_id)),
 dd AS (SELECT f.*, ra.strength, ra.ordinal, ra.rule_id, ra.canon, ra.anywhere, ra.cited, {_APPLIES.format(a='f.')} AS here FROM full_ f JOIN ra USING (contract_id)),
-ev AS (SELECT *, coalesce({_RAW}, CASE WHEN strength = 'manual_review' OR cited THEN 'manual_review:no_validator' ELSE 'unsupported:no_validator' END) AS raw FROM dd WHERE here OR NOT anywhere),
-ck AS (SELECT piece_id, (CASE strength WHEN 'hard' THEN 1 WHEN 'recommended' THEN 2 ELSE 3 END * 100000 + ordinal)::BIGINT AS ordinal, rule_id, strength,
-       CASE WHEN string_split(raw, ':')[1] = 'manual_review' AND strength <> 'manual_review' AND NOT cited AND NOT here AND NOT anywhere THEN 'unsupported' ELSE string_split(raw, ':')[1] END AS status,
-       string_split(raw, ':')[2] AS reason FROM ev
-       UNION ALL SELECT piece_id, 900000, 'rules.unmapped', CASE contract_id WHEN 1 THEN 'hard' ELSE 'manual_review' END, CASE contract_id WHEN 1 THEN 'fail' ELSE 'manual_review' END,
-       CASE contract_id WHEN 1 THEN 'collides_with_validator' ELSE 'unmapped' END FROM full_ WHERE contract_id IN (1, 2)),
+rw AS (SELECT *, coalesce({_RAW}, CASE WHEN strength = 'manual_review' OR cited THEN 'manual_review:no_validator' ELSE 'unsupported:no_validator' END) AS raw FROM dd WHERE here OR NOT anywhere),
+ev AS (SELECT *, string_split(raw, ':')[1] AS status0, substr(raw, strpos(raw, ':') + 1) AS reason, string_split(raw, ':')[1] = 'pass' AS ok,
+       string_split(raw, ':')[1] = 'manual_review' AND strength <> 'manual_review' AND NOT cited AND NOT here AND NOT anywhere AS orphan FROM rw),
+ck AS (SELECT piece_id, CASE strength WHEN 'hard' THEN 1 WHEN 'recommended' THEN 2 ELSE 3 END AS tier, ordinal, rule_id, strength,
+       CASE WHEN orphan THEN 'unsupported' ELSE status0 END AS status, reason,
+       concat_ws(';', nullif(coalesce({_SHOWN}, ''), ''), CASE WHEN orphan THEN 'unclaimed=no_platform' END) AS evidence FROM ev
+       UNION ALL SELECT piece_id, 4, 0, 'rules.unmapped', CASE contract_id WHEN 1 THEN 'hard' ELSE 'manual_review' END, CASE contract_id WHEN 1 THEN 'fail' ELSE 'manual_review' END,
+       CASE contract_id WHEN 1 THEN 'collides_with_validator' ELSE 'unmapped' END,
+       concat_ws(';', 'citations=' || (SELECT string_agg(quote, '|' ORDER BY position) FROM um WHERE um.contract_id = full_.contract_id), CASE contract_id WHEN 1 THEN 'colliding=hook.keyword' END,
+         'rules=' || (SELECT string_agg(rule, '|' ORDER BY position) FROM um WHERE um.contract_id = full_.contract_id)) FROM full_ WHERE contract_id IN (1, 2)),
 vd AS (SELECT piece_id, batch_id, CASE max(CASE WHEN status = 'fail' THEN 3 WHEN status = 'unsupported' THEN 2 WHEN status = 'manual_review' OR strength = 'manual_review' THEN 1 ELSE 0 END)
        WHEN 3 THEN 'rejected' WHEN 2 THEN 'unsupported' WHEN 1 THEN 'pending_review' ELSE 'passed' END AS status, count(*) AS n_checks,
-       coalesce(string_agg(rule_id, ', ' ORDER BY ordinal, rule_id) FILTER (status <> 'pass'), '') AS open_rules,
+       coalesce(string_agg(rule_id, ', ' ORDER BY tier, ordinal, rule_id) FILTER (status <> 'pass'), '') AS open_rules,
        bool_and(status = 'pass' OR (status = 'manual_review' AND reason <> 'no_validator')) AS signable FROM ck JOIN _b USING (piece_id) GROUP BY piece_id, batch_id),
 dl AS (SELECT *, status = 'passed' OR (batch_id % 2 = 0 AND status = 'pending_review' AND signable) AS exportable FROM vd)"""
 
 ORACLES = {
-    "gate_checks": f"WITH {_GATE} SELECT piece_id, ordinal, rule_id, strength, status, reason FROM ck",
+    "gate_checks": f"WITH {_GATE} SELECT piece_id, tier, ordinal, rule_id, strength, status, reason, evidence FROM ck",
     "gate_verdicts": f"WITH {_GATE} SELECT piece_id, status, n_checks, open_rules, signable FROM vd",
     "delivery_status": f"""WITH {_GATE} SELECT batch_id, count(*) FILTER (exportable) AS n_exported, count(*) FILTER (NOT exportable) AS n_rejected,
         CASE WHEN bool_and(exportable) THEN 'exported' WHEN bool_or(exportable) THEN 'partial' ELSE 'blocked' END AS batch_status, bool_and(exportable) AS published FROM dl GROUP BY batch_id""",
