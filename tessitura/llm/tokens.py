@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: What the remembered pieces of one encoder may take, about; two generations share it.
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 288 << 20
 #: Bytes of a remembered piece besides its text and ids.
 ENTRY = 200
 #: Pieces and characters a call of the tokenizer; more only hold more encodings at once.
@@ -45,23 +45,22 @@ def public_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class Remembered(dict):
-    """Ids by piece, and those of the generation before."""
+class Remembered:
+    """Ids by piece: those of this generation, and those of the one before."""
 
     def __init__(self) -> None:
+        self.now: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.size = 0
 
     def age(self, most: int) -> None:
         """Beyond ``most`` bytes, these become the older ones and the ones before are forgotten."""
         if self.size > most:
-            self.older = dict(self)
-            self.clear()
-            self.size = 0
+            self.older, self.now, self.size = self.now, {}, 0
 
     def learn(self, pieces: Sequence[str], ids: Sequence[bytes]) -> None:
         """Remembers the ids of new pieces."""
-        self.update(zip(pieces, ids, strict=True))
+        self.now.update(zip(pieces, ids, strict=True))
         self.size += sum(map(len, pieces)) + sum(map(len, ids)) + ENTRY * len(pieces)
 
 
@@ -103,11 +102,11 @@ class PieceEncoder:
     def _learn(self, pieces: Sequence[str]) -> list[bytes]:
         """The ids of distinct pieces, new ones remembered."""
         memo = self.memo
-        new = [p for p in pieces if p not in memo]
+        new = [p for p in pieces if p not in memo.now]
         if memo.older and new:
             older = [p for p in new if p in memo.older]
             memo.learn(older, [memo.older[p] for p in older])
-            new = [p for p in new if p not in memo]
+            new = [p for p in new if p not in memo.now]
         is_word = [_WORD.fullmatch(p) is not None for p in new]
         for kind, ids in ((True, self._ids_of_words), (False, self._ids)):
             part, size = [], 0
@@ -119,7 +118,7 @@ class PieceEncoder:
                     part, size = [], 0
             if part:
                 memo.learn(part, ids(part))
-        return [memo[p] for p in pieces]
+        return list(map(memo.now.__getitem__, pieces))
 
     def _parted(self, text: str) -> str:
         """The text with ``PART`` before each piece but the first."""
