@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.plans.scan import prefix_scan, summary, time_block
+from tessitura.plans.scan import BLOCK_FAN, prefix_scan, summary, time_block
 
 # Fixed values.
 MIN_CROP_SIDE = 24
@@ -131,60 +130,126 @@ def smooth(desired: np.ndarray, state: float | None, alpha: float, step: float,
     return out
 
 
-def smoothed_track(centres: DataFrame, p: TrackParams, block_frames: int = BLOCK_FRAMES) -> DataFrame:
+@dataclass(frozen=True)
+class Axis:
+    """One axis of the recurrence: ``state`` becomes ``alpha * want + (1 - alpha) * state``, at most ``step`` away, inside the frame."""
+
+    alpha: float
+    step: float
+    low: float
+    high: float
+
+    def map_of(self, want: float) -> tuple[np.ndarray, np.ndarray]:
+        """One frame's effect on any state: a monotone line with at most two bends, as knots and values."""
+        reach = self.step / self.alpha
+        knots = np.array([self.low, *(k for k in (want - reach, want + reach) if self.low < k < self.high), self.high])
+        value = np.clip(self.alpha * want + (1.0 - self.alpha) * knots, knots - self.step, knots + self.step)
+        return knots, np.clip(value, self.low, self.high)
+
+    def effect(self, wants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The effect of several frames. Where both frame edges end at one place it is constant; else the maps are composed."""
+        ends = [smooth(wants, edge, self.alpha, self.step, self.low, self.high)[-1] for edge in (self.low, self.high)]
+        if ends[1] - ends[0] <= SETTLED_PX:
+            return np.array([self.low, self.high]), np.array([ends[0], ends[0]])
+        found = self.map_of(float(wants[0]))
+        for want in wants[1:].tolist():
+            found = composed(found, self.map_of(want))
+        return found
+
+
+def composed(first: tuple[np.ndarray, np.ndarray], then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``then`` after ``first``, both monotone and piecewise linear; every second knot that does not bend the line is left out."""
+    knots, values = first
+    inside = then[0][(then[0] > values[0]) & (then[0] < values[-1])]
+    knots = np.unique(np.concatenate([knots, np.interp(inside, values, knots)]))
+    out = np.interp(np.interp(knots, *first), *then)
+    if len(knots) > 2:
+        straight = out[:-2] + (out[2:] - out[:-2]) * (knots[1:-1] - knots[:-2]) / (knots[2:] - knots[:-2])
+        bends = np.concatenate([[True], np.abs(straight - out[1:-1]) > 1e-12, [True]])
+        bends[::2] = True  # a knot goes only between two that stay
+        knots, out = knots[bends], out[bends]
+    return knots, out
+
+
+def _axes(p: TrackParams) -> dict[str, Axis]:
+    x0, x1, y0, y1, _, _ = _limits(p)
+    step = max(1.0, p.max_step_ratio * p.width)
+    return {"x": Axis(p.smoothing, step, x0, x1), "y": Axis(p.smoothing, step, y0, y1)}
+
+
+EFFECT = "ox double, oy double, kx array<double>, vx array<double>, ky array<double>, vy array<double>"
+
+
+def _rolled(pdf: pd.DataFrame) -> dict[str, object]:
+    """Effects in order as one effect, and where they end when the video starts with them."""
+    out: dict[str, object] = {}
+    for axis in ("x", "y"):
+        maps = [(np.array(k), np.array(v)) for k, v in zip(pdf[f"k{axis}"], pdf[f"v{axis}"], strict=True)]
+        found, end = maps[0], float(pdf[f"o{axis}"].iloc[0])
+        for later in maps[1:]:
+            found, end = composed(found, later), float(np.interp(end, *later))
+        out[f"o{axis}"], out[f"k{axis}"], out[f"v{axis}"] = end, found[0].tolist(), found[1].tolist()
+    return out
+
+
+def _entered(pdf: pd.DataFrame, start: dict[str, float | None]) -> pd.DataFrame:
+    """The state before each of several effects in order; a start of None means that the video begins here."""
+    out = {}
+    for axis in ("x", "y"):
+        state, states = start[axis], []
+        for end, k, v in zip(pdf[f"o{axis}"], pdf[f"k{axis}"], pdf[f"v{axis}"], strict=True):
+            states.append(state)
+            state = float(end) if state is None else float(np.interp(state, k, v))
+        out[f"s{axis}"] = pd.Series(states, dtype="float64")
+    return pd.DataFrame(out)
+
+
+def smoothed_track(centres: DataFrame, p: TrackParams, block_frames: int = BLOCK_FRAMES, fan: int = BLOCK_FAN) -> DataFrame:
     """Smoothed crop centres per video.
 
-    Every block of frames is smoothed on its own after a warm-up over the block before it. The
-    recurrence is monotone in its state, so warming up from both frame edges brackets the true state;
-    where the bracket closes the block needs nothing from earlier blocks. A video with a bracket that
-    stays open (its target keeps outrunning the step clamp) is replayed in frame order with constant memory.
+    A frame's effect on the state is a monotone piecewise-linear map, and so is that of a whole block: its maps composed.
+    Blocks give one small row each; groups of ``fan`` blocks and then the groups of a video are composed the same way,
+    which gives the state before every group and before every block. Then each block is smoothed on its own. No task
+    sees more than one block of frames, ``fan`` blocks' effects, or one effect per group of a video.
     """
-    x0, x1, y0, y1, _, _ = _limits(p)
-    alpha, step = p.smoothing, max(1.0, p.max_step_ratio * p.width)
-    own = F.floor(F.col("frame_no") / block_frames).cast("long")
-    lapped = centres.withColumn("own", own).withColumn("block", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    axes = _axes(p)
     key = centres.schema["video_id"].dataType.simpleString()
-    schema = f"video_id {key}, frame_no long, cx double, cy double, open boolean"
+    blocked = centres.select("video_id", "frame_no", "dx", "dy", F.floor(F.col("frame_no") / block_frames).cast("long").alias("block"))
+
+    def effects(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame_no")
+        row: dict[str, object] = {"video_id": pdf["video_id"].iloc[0], "block": pdf["block"].iloc[0]}
+        for axis, a in axes.items():
+            wants = pdf[f"d{axis}"].to_numpy()
+            knots, values = a.effect(wants)
+            row |= {f"o{axis}": smooth(wants, None, a.alpha, a.step, a.low, a.high)[-1], f"k{axis}": knots.tolist(), f"v{axis}": values.tolist()}
+        return pd.DataFrame([row])
+
+    def groups(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"video_id": pdf["video_id"].iloc[0], "grp": pdf["grp"].iloc[0], **_rolled(pdf.sort_values("block"))}])
+
+    def group_states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("grp").reset_index(drop=True)
+        return pd.concat([pdf[["video_id", "grp"]], _entered(pdf, {"x": None, "y": None})], axis=1)
+
+    def block_states(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block").reset_index(drop=True)
+        start = {axis: None if pd.isna(pdf[f"g{axis}"].iloc[0]) else float(pdf[f"g{axis}"].iloc[0]) for axis in axes}
+        return pd.concat([pdf[["video_id", "block"]], _entered(pdf, start)], axis=1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame_no")
-        mine = (pdf["own"] == pdf["block"]).to_numpy()
-        if not mine.any():
-            return pd.DataFrame({c: [] for c in ("video_id", "frame_no", "cx", "cy", "open")})
-        at = int(np.argmax(mine))
-        starts_here = bool(pdf["own"].iloc[at] == pdf["first_block"].iloc[at])
-        done, is_open = [], False
-        for column, low, high in (("dx", x0, x1), ("dy", y0, y1)):
-            want = pdf[column].to_numpy()
-            if starts_here:
-                state = None
-            else:
-                ends = [smooth(want[:at], edge, alpha, step, low, high)[-1] if at else edge for edge in (low, high)]
-                is_open |= abs(ends[1] - ends[0]) > SETTLED_PX
-                state = ends[0]
-            done.append(smooth(want[at:], state, alpha, step, low, high))
-        return pd.DataFrame({"video_id": pdf["video_id"].iloc[0], "frame_no": pdf["frame_no"].to_numpy()[at:], "cx": done[0], "cy": done[1], "open": is_open})
-
-    firsts = centres.groupBy("video_id").agg(F.floor(F.min("frame_no") / block_frames).cast("long").alias("first_block"))
-    blocks = summary(lapped.join(firsts, "video_id").groupBy("video_id", "block").applyInPandas(run, schema))
-    unsettled = blocks.filter("open").select("video_id").distinct()
-    settled = blocks.join(unsettled, "video_id", "left_anti").select("video_id", "frame_no", "cx", "cy")
-    if unsettled.isEmpty():
-        return settled
-
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        video, sx, sy = None, None, None
-        for pdf in batches:
-            for name, part in pdf.groupby("video_id", sort=False):
-                if name != video:
-                    video, sx, sy = name, None, None
-                cx = smooth(part["dx"].to_numpy(), sx, alpha, step, x0, x1)
-                cy = smooth(part["dy"].to_numpy(), sy, alpha, step, y0, y1)
-                sx, sy = float(cx[-1]), float(cy[-1])
-                yield pd.DataFrame({"video_id": name, "frame_no": part["frame_no"].to_numpy(), "cx": cx, "cy": cy})
-
-    ordered = centres.join(unsettled, "video_id", "left_semi").repartition("video_id").sortWithinPartitions("video_id", "frame_no")
-    return settled.unionByName(ordered.mapInPandas(replay, f"video_id {key}, frame_no long, cx double, cy double"))
+        out = {"video_id": pdf["video_id"], "frame_no": pdf["frame_no"]}
+        for axis, a in axes.items():
+            state = pdf[f"s{axis}"].iloc[0]
+            out[f"c{axis}"] = smooth(pdf[f"d{axis}"].to_numpy(), None if pd.isna(state) else float(state), a.alpha, a.step, a.low, a.high)
+        return pd.DataFrame(out)
+
+    maps = summary(blocked.groupBy("video_id", "block").applyInPandas(effects, f"video_id {key}, block long, {EFFECT}")).withColumn("grp", F.floor(F.col("block") / fan).cast("long"))
+    rolled = maps.groupBy("video_id", "grp").applyInPandas(groups, f"video_id {key}, grp long, {EFFECT}")
+    entered = rolled.groupBy("video_id").applyInPandas(group_states, f"video_id {key}, grp long, sx double, sy double").withColumnsRenamed({"sx": "gx", "sy": "gy"})
+    states = maps.join(entered, ["video_id", "grp"]).groupBy("video_id", "grp").applyInPandas(block_states, f"video_id {key}, block long, sx double, sy double")
+    return blocked.join(states, ["video_id", "block"]).groupBy("video_id", "block").applyInPandas(run, f"video_id {key}, frame_no long, cx double, cy double")
 
 
 def crop_targets(track: DataFrame, p: TrackParams) -> DataFrame:

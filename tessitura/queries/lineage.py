@@ -10,22 +10,31 @@ from tessitura.operators import lineage as op
 from tessitura.operators import track as tr
 from tessitura.sources.tables import table
 
-SHOW = tr.TrackParams()
+SHOW, TALL = tr.TrackParams(), tr.TrackParams(1080, 2400)
 
 
 def boxes(spark: SparkSession, folder: str) -> DataFrame:
-    """Face boxes from the first embedding values, folded into the frame; label = video, one frame per vector."""
+    """Two face boxes a frame from the first embedding values, folded into the frame; label = video, one frame per vector.
+
+    The second box is the first one mirrored, so both are equally large; every third frame holds it once more, smaller.
+    In every fifth video the face jumps from edge to edge, so its track never settles.
+    """
     unit = lambda i: F.abs(F.element_at("embedding", i).cast("double")) % 1.0
-    return table(spark, folder, "embeddings").select(
-        F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("frame_no"), F.lit(0).alias("pos"),
-        unit(1).alias("x"), unit(2).alias("y"), (unit(3) * 0.5 + 0.01).alias("w"), (unit(4) * 0.5 + 0.01).alias("h"),
-        (F.col("vec_id") % 10 / 10.0).alias("confidence"),
+    jumps = F.col("label") % 5 == 3
+    n = F.col("vec_id")
+    first = table(spark, folder, "embeddings").select(
+        F.col("label").cast("long").alias("video_id"), n.alias("frame_no"),
+        F.when(jumps, F.when(n % 2 == 0, 0.0).otherwise(0.95)).otherwise(unit(1)).alias("x"), unit(2).alias("y"), (unit(3) * 0.5 + 0.01).alias("w"), (unit(4) * 0.5 + 0.01).alias("h"),
+        F.when(jumps, 0.9).otherwise(n % 10 / 10.0).alias("confidence"),
     )
+    box = lambda pos, x, shrink: F.struct(F.lit(pos).alias("pos"), x.alias("x"), F.col("y"), (F.col("w") * shrink).alias("w"), F.col("h"), F.col("confidence"))
+    many = F.array_compact(F.array(F.when(F.col("frame_no") % 3 == 0, box(0, F.col("x") + 0.1, 0.5)), box(1, F.col("x"), 1.0), box(2, 1.0 - F.col("x"), 1.0)))
+    return first.select("video_id", "frame_no", F.explode(many).alias("b")).select("video_id", "frame_no", "b.*")
 
 
-def centres(spark: SparkSession, folder: str) -> DataFrame:
+def centres(spark: SparkSession, folder: str, shape: tr.TrackParams = SHOW) -> DataFrame:
     faces = boxes(spark, folder)
-    return tr.desired_centres(tr.primary_faces(faces.select("video_id", "frame_no"), faces, SHOW.min_confidence), SHOW)
+    return tr.desired_centres(tr.primary_faces(faces.select("video_id", "frame_no").distinct(), faces, shape.min_confidence), shape)
 
 
 def desired_centres(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,14 +42,17 @@ def desired_centres(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def crop_track(spark: SparkSession, folder: str) -> DataFrame:
-    track = tr.smoothed_track(centres(spark, folder), SHOW)
-    return tr.crop_targets(track, SHOW).join(
-        track.select("video_id", "frame_no", F.round("cx", 4).alias("cx"), F.round("cy", 4).alias("cy")), ["video_id", "frame_no"]
-    )
+    """Wide recordings, whose crop moves sideways; several blocks a video."""
+    return tr.crop_targets(tr.smoothed_track(centres(spark, folder), SHOW, block_frames=128, fan=4), SHOW)
+
+
+def crop_track_tall(spark: SparkSession, folder: str) -> DataFrame:
+    """Tall recordings, whose crop moves up and down."""
+    return tr.crop_targets(tr.smoothed_track(centres(spark, folder, TALL), TALL, block_frames=64), TALL)
 
 
 def track_position(spark: SparkSession, folder: str) -> DataFrame:
-    faces = boxes(spark, folder)
+    faces = boxes(spark, folder).filter(F.col("pos") == 1)
     keys = faces.filter(F.col("frame_no") % 3 == 0).select("video_id", F.col("frame_no").cast("double").alias("t"), F.rint(F.col("x") * 1000).alias("v"))
     asked = faces.select("video_id", (F.col("frame_no") + 0.5).alias("t"))
     return tr.track_position(keys, asked).select("video_id", "t", F.round("v", 6).alias("v"))
@@ -226,7 +238,7 @@ def expired_folders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "desired_centres": desired_centres, "crop_track": crop_track, "track_position": track_position, "geometry": geometry, "band_heights": band_heights,
+    "desired_centres": desired_centres, "crop_track": crop_track, "crop_track_tall": crop_track_tall, "track_position": track_position, "geometry": geometry, "band_heights": band_heights,
     "caption_styles": caption_styles, "timeline_tiling": timeline_tiling, "timeline_edits": timeline_edits, "stage_durations": stage_durations,
     "job_faults": job_faults, "queue_summary": queue_summary, "job_readiness": job_readiness, "stale_stages": stale_stages, "segment_reuse": segment_reuse,
     "evidence_review": evidence_review, "revisions": revisions, "cache_hits": cache_hits, "brief_digests": brief_digests, "names": names,
@@ -234,8 +246,23 @@ QUERIES = {
 }
 
 _BOX = """
-bx AS (SELECT label::BIGINT AS video_id, vec_id AS frame_no, abs(embedding[1]::DOUBLE) % 1.0 AS x, abs(embedding[2]::DOUBLE) % 1.0 AS y,
-       abs(embedding[3]::DOUBLE) % 1.0 * 0.5::DOUBLE + 0.01::DOUBLE AS w, abs(embedding[4]::DOUBLE) % 1.0 * 0.5::DOUBLE + 0.01::DOUBLE AS h, vec_id % 10 >= 3 AS seen FROM embeddings)"""
+bx AS (SELECT label::BIGINT AS video_id, vec_id AS frame_no, CASE WHEN label % 5 = 3 THEN CASE WHEN vec_id % 2 = 0 THEN 0.0 ELSE 0.95 END ELSE abs(embedding[1]::DOUBLE) % 1.0 END::DOUBLE AS x,
+       abs(embedding[2]::DOUBLE) % 1.0 AS y, abs(embedding[3]::DOUBLE) % 1.0 * 0.5::DOUBLE + 0.01::DOUBLE AS w, abs(embedding[4]::DOUBLE) % 1.0 * 0.5::DOUBLE + 0.01::DOUBLE AS h,
+       label % 5 = 3 OR vec_id % 10 >= 3 AS seen FROM embeddings)"""
+
+
+def _smoothed(width: int, height: int, x: tuple[float, float], y: tuple[float, float], step: float, crop: tuple[int, int]) -> str:
+    """The recurrence frame by frame, and the even offsets of its crop."""
+    double = lambda v: f"{v}::DOUBLE"
+    centre = lambda c, size, full, lo, hi: f"least({double(hi)}, greatest({double(lo)}, CASE WHEN seen THEN ({c} + {size} / 2) * {full} ELSE {full} / 2 END))"
+    near = lambda c, want, lo, hi: f"least({double(hi)}, greatest({double(lo)}, least(r.{c} + {double(step)}, greatest(r.{c} - {double(step)}, 0.35::DOUBLE * d.{want} + 0.65::DOUBLE * r.{c}))))"
+    offset = lambda c, side, full: f"greatest(0, least(floor(greatest(round_even({c} - {side / 2}::DOUBLE, 0), 0) / 2)::BIGINT * 2, {(full - side) // 2 * 2}))"
+    return f"""WITH {_BOX}, d AS (SELECT video_id, frame_no, row_number() OVER (PARTITION BY video_id ORDER BY frame_no) AS rn, {centre("x", "w", width, *x)} AS dx, {centre("y", "h", height, *y)} AS dy FROM bx),
+        t AS (WITH RECURSIVE r AS (SELECT video_id, rn, frame_no, dx AS cx, dy AS cy FROM d WHERE rn = 1
+            UNION ALL SELECT d.video_id, d.rn, d.frame_no, {near("cx", "dx", *x)}, {near("cy", "dy", *y)} FROM r JOIN d ON d.video_id = r.video_id AND d.rn = r.rn + 1) SELECT * FROM r)
+        SELECT video_id, frame_no, {offset("cx", crop[0], width)} AS x, {offset("cy", crop[1], height)} AS y, {crop[0]} AS width, {crop[1]} AS height FROM t"""
+
+
 _POS = """
 _ln AS (SELECT l_orderkey AS variant_id, l_linenumber AS ordinal, max(l_quantity)::BIGINT AS len FROM lineitem GROUP BY 1, 2),
 _ld AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY variant_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM _ln),
@@ -254,13 +281,8 @@ b AS (SELECT *, greatest(2, least(round_even(0.33::DOUBLE * w / 2, 0)::BIGINT *
 ORACLES = {
     "desired_centres": f"""WITH {_BOX} SELECT video_id, frame_no, round(least(1616.0, greatest(304.0, CASE WHEN seen THEN (x + w / 2) * 1920 ELSE 960 END)), 4) AS dx,
         round(least(540.0, greatest(540.0, CASE WHEN seen THEN (y + h / 2) * 1080 ELSE 540 END)), 4) AS dy FROM bx""",
-    "crop_track": f"""WITH {_BOX}, d AS (SELECT video_id, frame_no, row_number() OVER (PARTITION BY video_id ORDER BY frame_no) AS rn,
-            least(1616.0::DOUBLE, greatest(304.0::DOUBLE, CASE WHEN seen THEN (x + w / 2) * 1920 ELSE 960 END)) AS dx FROM bx),
-        t AS (WITH RECURSIVE r AS (SELECT video_id, rn, frame_no, dx AS cx FROM d WHERE rn = 1
-            UNION ALL SELECT d.video_id, d.rn, d.frame_no, least(1616.0::DOUBLE, greatest(304.0::DOUBLE, least(r.cx + 38.4::DOUBLE, greatest(r.cx - 38.4::DOUBLE, 0.35::DOUBLE * d.dx + 0.65::DOUBLE * r.cx))))
-            FROM r JOIN d ON d.video_id = r.video_id AND d.rn = r.rn + 1) SELECT * FROM r)
-        SELECT video_id, frame_no, greatest(0, least(floor(greatest(round_even(cx - 304, 0), 0) / 2)::BIGINT * 2, 1312)) AS x, 0 AS y, 608 AS width, 1080 AS height,
-            round(cx, 4) AS cx, 540.0::DOUBLE AS cy FROM t""",
+    "crop_track": _smoothed(1920, 1080, (304.0, 1616.0), (540.0, 540.0), 38.4, (608, 1080)),
+    "crop_track_tall": _smoothed(1080, 2400, (540.0, 540.0), (960.0, 1440.0), 21.6, (1080, 1920)),
     "track_position": f"""WITH {_BOX}, k AS (SELECT video_id, frame_no::DOUBLE AS t, round_even(x * 1000, 0) AS v FROM bx WHERE frame_no % 3 = 0),
         q AS (SELECT video_id, frame_no + 0.5::DOUBLE AS t FROM bx),
         a AS (SELECT q.video_id, q.t, k.t AS t0, k.v AS v0 FROM q ASOF LEFT JOIN k ON q.video_id = k.video_id AND q.t >= k.t),

@@ -199,20 +199,35 @@ def test_share_moves_what_is_left_to_the_largest_fractions():
 
 def test_track_blocks_agree_with_one_pass(spark):
     rng = random.Random(4)
-    p = track.TrackParams()
-    rows = [(v, k, rng.uniform(304, 1616) if v else (304.0 if k % 2 else 1616.0), 540.0) for v in (0, 1) for k in range(900)]
-    frame = spark.createDataFrame(rows, "video_id long, frame_no long, dx double, dy double")
-    got = {(r.video_id, r.frame_no): r.cx for r in track.smoothed_track(frame, p, block_frames=256).collect()}
-    for v in (0, 1):
-        state = None
-        for k in range(900):
-            want = rows[v * 900 + k][2]
-            if state is not None:
-                nxt = 0.35 * want + 0.65 * state
-                nxt = min(state + 38.4, max(state - 38.4, nxt))
-                want = min(1616.0, max(304.0, nxt))
-            state = want
-            assert abs(got[v, k] - state) < 1e-6
+    for p, (x0, x1), (y0, y1) in ((track.TrackParams(), (304.0, 1616.0), (540.0, 540.0)), (track.TrackParams(1080, 2400), (540.0, 540.0), (960.0, 1440.0))):
+        edge = lambda k, lo, hi: lo if k % 2 else hi
+        step = max(1.0, 0.02 * p.width)
+        rows = [(0, k, edge(k, x0, x1), edge(k, y0, y1)) for k in range(900)]
+        rows += [(1, k, rng.uniform(x0, x1), rng.uniform(y0, y1)) for k in range(900)] + [(2, 7, x0, y1), (2, 2000, x1, y0)]
+        frame = spark.createDataFrame(rows, "video_id long, frame_no long, dx double, dy double")
+        want = {}
+        for v in (0, 1, 2):
+            state = None
+            for _, k, *goal in (r for r in rows if r[0] == v):
+                if state is not None:
+                    near = [min(s + step, max(s - step, 0.35 * g + 0.65 * s)) for g, s in zip(goal, state, strict=True)]
+                    goal = [min(x1, max(x0, near[0])), min(y1, max(y0, near[1]))]
+                state = want[v, k] = goal
+        for block, fan in ((8192, 1024), (256, 1024), (7, 5)):
+            got = {(r.video_id, r.frame_no): (r.cx, r.cy) for r in track.smoothed_track(frame, p, block, fan).collect()}
+            assert got.keys() == want.keys()
+            assert max(abs(a - b) for k in want for a, b in zip(got[k], want[k], strict=True)) < 1e-6
+
+
+def test_composed_maps_are_the_recurrence():
+    rng = random.Random(9)
+    for _ in range(200):
+        axis = track.Axis(rng.choice([0.1, 0.35, 1.0]), rng.choice([1.0, 38.4, 700.0]), 304.0, 1616.0)
+        wants = track.np.array([rng.choice([304.0, 1616.0, rng.uniform(304, 1616)]) for _ in range(rng.randrange(1, 40))])
+        knots, values = axis.effect(wants)
+        assert len(knots) < 2 * len(wants) + 3
+        for state in (304.0, 700.0, 960.5, 1616.0):
+            assert abs(track.np.interp(state, knots, values) - track.smooth(wants, state, axis.alpha, axis.step, axis.low, axis.high)[-1]) < 1e-6
 
 
 def test_crop_sizes(spark):
