@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessitura.params import DEFAULT_LINE_DURATION_S
 from tessitura.plans.intervals import overlap_join
-from tessitura.plans.scan import prefix_scan, row_block
+from tessitura.plans.scan import numbered, prefix_scan, row_block, time_block
 
 # Fixed values.
 ANALYSIS_SCHEMA_VERSION = "1"
@@ -72,8 +72,6 @@ def plain_segments(words: DataFrame) -> DataFrame:
 
 def render_words(words: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Relative words with their text untouched and ids renumbered from zero per span."""
-    from tessitura.plans.scan import numbered
-
     clipped = relative_words(words, spans).withColumnRenamed("token_id", "_old")
     return numbered(clipped, ["stream_id", *keys], ["_old"], row_block(F.col("_old")), "token_id").drop("_old")
 
@@ -94,20 +92,22 @@ def words_in_range_ms(words: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def corrected_words(clipped: DataFrame, corrections: DataFrame, variants: DataFrame) -> DataFrame:
-    """Words overlapping any correction give way to the corrections, clipped to the variant.
+    """Words overlapping any correction give way to the corrections, clipped to the variant; ``place`` counts from its start.
 
     ``clipped``: ``variant_id, token_id, start_ms, end_ms, text, confidence`` relative to the variant.
-    ``corrections``: ``variant_id, start_ms, end_ms, text`` on the source clock.
+    ``corrections``: ``variant_id, start_ms, end_ms, text`` on the source clock. A word is overlapped when the latest end of
+    all corrections that start before its own end lies behind its start, so one running maximum over both replaces a
+    join, however many corrections overlap each other. Words stand before corrections that start with them.
     """
     placed = corrections.join(
         variants.select("variant_id", F.col("start_ms").alias("v_start"), F.col("end_ms").alias("v_end")), "variant_id"
     )
-    spans = placed.select(
-        "variant_id", (F.col("start_ms") - F.col("v_start")).alias("s_start"), (F.col("end_ms") - F.col("v_start")).alias("s_end")
-    )
-    points = clipped.select("variant_id", "token_id", F.col("start_ms").alias("p_start"), F.col("end_ms").alias("p_end"))
-    gone = overlap_join(points, spans, ["variant_id"], scale=0.001).select("variant_id", "token_id").distinct()
-    kept = clipped.join(gone, ["variant_id", "token_id"], "left_anti")
+    fixes = placed.select("variant_id", (F.col("start_ms") - F.col("v_start")).alias("at"), F.lit(1).alias("kind"), (F.col("end_ms") - F.col("v_start")).alias("reach"))
+    spoken = clipped.select("variant_id", F.col("end_ms").alias("at"), F.lit(0).alias("kind"), "token_id", "start_ms", "end_ms", "text", "confidence")
+    events = spoken.unionByName(fixes, allowMissingColumns=True)
+    reached = prefix_scan(events, ["variant_id"], ["at", "kind", "token_id"], time_block(F.col("at") / 1000), maxs={"reached": F.col("reach")})
+    names = ["variant_id", "token_id", "start_ms", "end_ms", "text", "confidence"]
+    kept = reached.filter((F.col("kind") == 0) & F.coalesce(F.col("reached") <= F.col("start_ms"), F.lit(True))).select(*names)
     added = placed.filter((F.col("end_ms") > F.col("v_start")) & (F.col("start_ms") < F.col("v_end"))).select(
         "variant_id",
         F.lit(0).cast("long").alias("token_id"),
@@ -116,7 +116,8 @@ def corrected_words(clipped: DataFrame, corrections: DataFrame, variants: DataFr
         "text",
         F.lit(1.0).alias("confidence"),
     )
-    return kept.select(*added.columns).unionByName(added)
+    both = kept.withColumn("corrected", F.lit(False)).unionByName(added.withColumn("corrected", F.lit(True)))
+    return numbered(both, ["variant_id"], ["start_ms", "corrected", "token_id", "end_ms", "text"], time_block(F.col("start_ms") / 1000), "place")
 
 
 def with_implicit_end(lines: DataFrame, default_s: float = DEFAULT_LINE_DURATION_S) -> DataFrame:

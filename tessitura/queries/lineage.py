@@ -190,9 +190,9 @@ def segment_reuse(spark: SparkSession, folder: str) -> DataFrame:
 def evidence_review(spark: SparkSession, folder: str) -> DataFrame:
     o = F.col("o_orderkey")
     variants = table(spark, folder, "orders").select(
-        o.alias("variant_id"), (F.col("o_custkey") % 50).alias("project_id"), F.lit("active").alias("status"), F.lit("a").alias("analysis"), F.lit("t").alias("transcript"), F.lit("s").alias("source")
+        o.alias("variant_id"), F.col("o_custkey").alias("project_id"), F.lit("active").alias("status"), F.lit("a").alias("analysis"), F.lit("t").alias("transcript"), F.lit("s").alias("source")
     )
-    fresh = table(spark, folder, "customer").filter(F.col("c_custkey") < 40).select(
+    fresh = table(spark, folder, "customer").filter(F.col("c_custkey") % 5 != 4).select(
         F.col("c_custkey").alias("project_id"), F.lit("a").alias("analysis"), F.when(F.col("c_custkey") % 3 == 0, "t2").otherwise("t").alias("transcript"), F.lit("s").alias("source")
     )
     return op.review_after_rebind(variants, fresh).groupBy("project_id", "status").agg(F.count(F.lit(1)).alias("n"))
@@ -332,7 +332,7 @@ ORACLES = {
         SELECT run_id, s AS drop_coords, stage FROM o, st WHERE s OR (a AND audio)""",
     "segment_reuse": """WITH l AS (SELECT DISTINCT l_orderkey AS run_id, l_linenumber AS i FROM lineitem)
         SELECT run_id, count(*) FILTER (i < 5 AND run_id % 3 <> 0) AS n_reused, count(*) AS n FROM l GROUP BY run_id""",
-    "evidence_review": """SELECT o_custkey % 50 AS project_id, CASE WHEN o_custkey % 50 < 40 AND o_custkey % 50 % 3 = 0 THEN 'requires_review' ELSE 'active' END AS status, count(*) AS n FROM orders GROUP BY 1, 2""",
+    "evidence_review": """SELECT o_custkey AS project_id, CASE WHEN o_custkey % 5 <> 4 AND o_custkey % 3 = 0 THEN 'requires_review' ELSE 'active' END AS status, count(*) AS n FROM orders GROUP BY 1, 2""",
     "revisions": """SELECT doc_id, sha256('{"analysis_sha256":"' || sha256(text) || '","project_id":"p\\"' || source || '","source_duration_ms":' || n_chars || ',"source_sha256":"' || sha256(source)
         || '","transcript_sha256":"' || sha256(lang) || '","variant":{"id":' || doc_id || ',"name":"' || lang || '\\n\\\\ñ"' || CASE WHEN doc_id % 2 = 0 THEN ',"style":1' ELSE '' END || '}}') AS revision FROM documents""",
     "cache_hits": "SELECT doc_id AS stream_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0",

@@ -60,9 +60,7 @@ def scene_intervals(spark: SparkSession, folder: str) -> DataFrame:
 
 def fused_moments(spark: SparkSession, folder: str) -> DataFrame:
     scenes, energy, talk = signals(spark, folder)
-    # Scene cuts tile the recording and would fuse it into one moment; every fourth interval keeps groups apart.
-    sparse = scenes.filter(F.floor(F.col("start_s")) % 4 == 0).withColumn("end_s", F.least(F.col("end_s"), F.col("start_s") + 240.0))
-    known, _ = op.checked_sources(op.union_signals(sparse, energy, talk), WIDE)
+    known, _ = op.checked_sources(op.union_signals(scenes, energy, talk), WIDE)
     return _moment(op.by_interest(op.fused_moments(known, WIDE)))
 
 
@@ -142,7 +140,7 @@ ORACLES = {
     "hot_runs": f"WITH {_EV}, {_BINS}, {_RUNS} SELECT stream_id, {_OUT} FROM runs",
     "scene_intervals": f"WITH {_EV}, {_SCENES} SELECT stream_id, {_OUT} FROM scenes",
     "fused_moments": f"""WITH {_EV}, {_BINS}, {_RUNS}, {_SCENES},
-        m AS (SELECT stream_id, start_s, least(end_s, start_s + 240.0) AS end_s, score, source FROM scenes WHERE floor(start_s)::BIGINT % 4 = 0 UNION ALL SELECT * FROM runs),
+        m AS (SELECT * FROM scenes UNION ALL SELECT * FROM runs),
         r AS (SELECT *, max(end_s) OVER (PARTITION BY stream_id ORDER BY start_s, end_s, source, score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m),
         g AS (SELECT *, sum(CASE WHEN start_s < reach THEN 0 ELSE 1 END) OVER (PARTITION BY stream_id ORDER BY start_s, end_s, source, score) AS grp FROM r),
         b AS (SELECT stream_id, grp, source, max(score) AS s, min(start_s) AS a, max(end_s) AS e,

@@ -45,11 +45,15 @@ def clip_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def variants(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
-        F.col("doc_id").alias("variant_id"),
-        F.col("doc_id").alias("stream_id"),
-        (F.lit(1000) + F.col("doc_id") % 7 * 500).alias("start_ms"),
-        (F.lit(31013) + F.col("doc_id") % 11 * 700).alias("end_ms"),
+    """Three overlapping windows of every stream: the whole of it, its opening, and a stretch that begins inside the opening."""
+    d = F.col("doc_id")
+    kinds = F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("v")
+    bounds = lambda *at: F.when(F.col("v") == 0, at[0]).when(F.col("v") == 1, at[1]).otherwise(at[2])
+    return table(spark, folder, "documents").select(d, kinds).select(
+        (d * 3 + F.col("v")).alias("variant_id"),
+        d.alias("stream_id"),
+        bounds(F.lit(0), 1000 + d % 7 * 500, 15000 + d % 5 * 333).cast("long").alias("start_ms"),
+        bounds(F.lit(100_000_000), 31013 + d % 11 * 700, 90000 + d % 13 * 1111).cast("long").alias("end_ms"),
     )
 
 
@@ -60,14 +64,16 @@ def variant_words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corrected_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fiftieth word is corrected, the one after it too and wider, so corrections overlap each other."""
     stream, shown = words(spark, folder), variants(spark, folder)
     clipped = op.words_in_range_ms(stream, shown).select("variant_id", "token_id", "start_ms", "end_ms", "text", "confidence")
-    fixes = stream.filter(F.col("token_id") % 50 == 0).select(
-        F.col("stream_id").alias("variant_id"), op.as_ms(F.col("start_s")).alias("start_ms"), op.as_ms(F.col("end_s")).alias("end_ms"),
-        F.concat(F.lit("*"), F.col("text")).alias("text"),
+    wide = F.when(F.col("token_id") % 50 == 1, 250).otherwise(0)
+    fixes = stream.filter(F.col("token_id") % 50 < 2).select(
+        "stream_id", (op.as_ms(F.col("start_s")) - wide).alias("start_ms"), (op.as_ms(F.col("end_s")) + wide).alias("end_ms"), F.concat(F.lit("*"), F.col("text")).alias("text"),
     )
-    return op.corrected_words(clipped, fixes, shown).select(
-        "variant_id", "token_id", "start_ms", "end_ms", "text", F.round("confidence", 2).alias("confidence")
+    placed = fixes.join(shown.select("variant_id", "stream_id"), "stream_id").drop("stream_id")
+    return op.corrected_words(clipped, placed, shown).select(
+        "variant_id", "place", "token_id", "start_ms", "end_ms", "text", F.round("confidence", 2).alias("confidence")
     )
 
 
@@ -174,7 +180,7 @@ def lyric_choice(spark: SparkSession, folder: str) -> DataFrame:
     assets = docs.filter(F.col("doc_id") % 13 != 0).select(
         F.col("doc_id").cast("string").alias("asset_id"), (F.col("doc_id") % 11 != 0).alias("intact"), F.col("source").alias("content")
     )
-    provider = docs.filter(F.col("doc_id") < 30).select(
+    provider = docs.filter(F.col("doc_id") % 4 != 1).select(
         F.concat(F.lit("track-"), F.col("doc_id").cast("string")).alias("track_name"), F.col("lang").alias("content")
     )
     return op.lyric_choice(contracts, assets, provider)
@@ -241,6 +247,17 @@ def caption_text(spark: SparkSession, folder: str) -> DataFrame:
     return timed_text.caption_text(caption_scripts(words(spark, folder))).select("file_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
 
 
+def clip_captions(spark: SparkSession, folder: str) -> DataFrame:
+    """From words to script rows: best spans, their words, caption lines, karaoke timing, event rows."""
+    stream = words(spark, folder)
+    clipped = op.render_words(stream.select("stream_id", "token_id", "start_s", "end_s", "text"), moments(stream).drop("score"), ["rank"])
+    laid = captions.caption_lines(clipped.select("stream_id", "rank", F.col("token_id").alias("seq"), "start_s", "end_s", "text"), ["stream_id", "rank"])
+    timed = captions.line_timing(laid, ["stream_id", "rank"])
+    return timed.select(
+        "stream_id", "rank", "line_seq", "n_words", "start_cs", "end_cs", captions.dialogue_row(F.col("start_cs"), F.col("end_cs"), F.col("karaoke")).alias("row")
+    )
+
+
 def lined(stream: DataFrame) -> DataFrame:
     islands = segments.gap_islands(stream, 2.0).select("stream_id", "seq", "start_s", "end_s", "text")
     return captions.caption_lines(islands, ["stream_id"])
@@ -286,6 +303,7 @@ QUERIES = {
     "caption_text": caption_text,
     "caption_lines": caption_lines,
     "caption_events": caption_events,
+    "clip_captions": clip_captions,
 }
 
 
@@ -303,7 +321,8 @@ lines AS MATERIALIZED (SELECT stream_id AS track_id, token_id // 6 AS line_no, m
 _ENDED = """
 ended AS (SELECT *, coalesce(lead(start_s) OVER (PARTITION BY track_id ORDER BY line_no), start_s + 4.0) AS end_s FROM lines)"""
 _VAR = """
-v AS (SELECT doc_id AS variant_id, doc_id AS stream_id, 1000 + doc_id % 7 * 500 AS a, 31013 + doc_id % 11 * 700 AS b FROM documents),
+v AS (SELECT doc_id * 3 + x AS variant_id, doc_id AS stream_id, [0, 1000 + doc_id % 7 * 500, 15000 + doc_id % 5 * 333][x + 1] AS a,
+      [100000000, 31013 + doc_id % 11 * 700, 90000 + doc_id % 13 * 1111][x + 1] AS b FROM documents, unnest(range(3)) AS u(x)),
 _q AS (SELECT stream_id, token_id, text, confidence, CAST(round_even(start_s * 1000, 0) AS BIGINT) AS ws,
        CAST(round_even(end_s * 1000, 0) AS BIGINT) AS we FROM words),
 clipped AS MATERIALIZED (SELECT variant_id, token_id, greatest(ws, a) - a AS start_ms, least(we, b) - a AS end_ms, text, confidence
@@ -317,19 +336,49 @@ _lc AS (SELECT *, CAST(round_even(start_s * 1000, 0) AS BIGINT) // 10 AS cs FROM
 _lt AS (SELECT track_id, line_no, text, cs * 10 AS t, 0 AS tag FROM _lc UNION ALL SELECT track_id, line_no, text, 3599500, 1 FROM _lc WHERE line_no % 4 = 3),
 lrc AS (SELECT *, greatest(0, t - CASE WHEN track_id % 9 = 0 AND line_no >= 2 THEN 1500 ELSE 0 END) AS st FROM _lt
         WHERE NOT (track_id % 7 = 0 AND track_id IN (SELECT track_id FROM lines WHERE line_no = 1)))"""
-_LAY = """
-_lw AS MATERIALIZED (SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY start_s, end_s, token_id) - 1 AS seq, start_s, end_s,
-        length(text) AS k, right(rtrim(text), 1) IN ('.', '?', '!', ',', ';', ':') AS closes FROM words),
-_la AS (SELECT a.stream_id, a.seq, b.seq AS bs, b.closes, b.end_s - a.start_s > 7.0 AS late,
-        sum(b.k) OVER (PARTITION BY a.stream_id, a.seq ORDER BY b.seq) + (b.seq - a.seq) AS chars
-        FROM _lw a JOIN _lw b ON a.stream_id = b.stream_id AND b.seq BETWEEN a.seq AND a.seq + 12),
-_ln AS MATERIALIZED (SELECT stream_id, seq, min(CASE WHEN bs > seq AND (chars > 18 OR late) THEN bs WHEN bs > seq AND closes THEN bs + 1 END) AS nxt
-        FROM _la GROUP BY stream_id, seq),
-_lr AS MATERIALIZED (WITH RECURSIVE r AS (SELECT stream_id, seq FROM _ln WHERE seq = 0
-        UNION ALL SELECT n.stream_id, n.nxt FROM r JOIN _ln n USING (stream_id, seq) WHERE n.nxt IS NOT NULL) SELECT * FROM r),
-_lh AS (SELECT stream_id, seq, coalesce(lead(seq) OVER (PARTITION BY stream_id ORDER BY seq), 1000000000) AS upto FROM _lr),
-lay AS (SELECT h.stream_id, h.seq AS line_seq, count(*) AS n_words, min(w.start_s) AS a, max(w.end_s) AS b
-        FROM _lh h JOIN _lw w ON w.stream_id = h.stream_id AND w.seq >= h.seq AND w.seq < h.upto GROUP BY 1, 2)"""
+def _lay(source: str, *keys: str) -> str:
+    """Caption lines of ``source(keys, seq, start_s, end_s, text)``."""
+    k = ", ".join(keys)
+    same = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys)
+    of = lambda a: ", ".join(f"{a}.{c}" for c in keys)
+    return f"""
+_lw AS MATERIALIZED (SELECT {k}, seq, start_s, end_s, text,
+        length(text) AS k, right(rtrim(text), 1) IN ('.', '?', '!', ',', ';', ':') AS closes FROM ({source})),
+_la AS (SELECT {of("a")}, a.seq, b.seq AS bs, b.closes, b.end_s - a.start_s > 7.0 AS late,
+        sum(b.k) OVER (PARTITION BY {of("a")}, a.seq ORDER BY b.seq) + (b.seq - a.seq) AS chars
+        FROM _lw a JOIN _lw b ON {same("a", "b")} AND b.seq BETWEEN a.seq AND a.seq + 12),
+_ln AS MATERIALIZED (SELECT {k}, seq, min(CASE WHEN bs > seq AND (chars > 18 OR late) THEN bs WHEN bs > seq AND closes THEN bs + 1 END) AS nxt
+        FROM _la GROUP BY {k}, seq),
+_lr AS MATERIALIZED (WITH RECURSIVE r AS (SELECT {k}, seq FROM _ln WHERE seq = 0
+        UNION ALL SELECT {of("n")}, n.nxt FROM r JOIN _ln n USING ({k}, seq) WHERE n.nxt IS NOT NULL) SELECT * FROM r),
+_lh AS (SELECT {k}, seq, coalesce(lead(seq) OVER (PARTITION BY {k} ORDER BY seq), 1000000000) AS upto FROM _lr),
+lay AS (SELECT {of("h")}, h.seq AS line_seq, count(*)::INT AS n_words, min(w.start_s) AS a, max(w.end_s) AS b,
+        list(w.start_s ORDER BY w.seq) AS starts, list(w.end_s ORDER BY w.seq) AS ends, list(w.text ORDER BY w.seq) AS texts
+        FROM _lh h JOIN _lw w ON {same("w", "h")} AND w.seq >= h.seq AND w.seq < h.upto GROUP BY {of("h")}, h.seq)"""
+
+
+_LAY = _lay("SELECT stream_id, row_number() OVER (PARTITION BY stream_id ORDER BY start_s, end_s, token_id) - 1 AS seq, start_s, end_s, text FROM words", "stream_id")
+
+
+def _karaoke(keys: str, text: str) -> str:
+    """Shares, clock texts and event rows of the lines of ``lay``; ``text`` is written over the word ``x``."""
+    clock = lambda c: f"printf('%d:%02d:%02d.%02d', {c} // 360000, {c} % 360000 // 6000, {c} % 6000 // 100, {c} % 100)"
+    return f"""
+_k1 AS (SELECT {keys}, line_seq, n_words, starts, texts, [(coalesce(starts[i + 1], ends[n_words]) - starts[i]) * 100 FOR i IN range(1, n_words + 1)] AS slots FROM lay),
+_k2 AS (SELECT *, list_reduce([{{'s': x, 'c': 0.0::DOUBLE}} FOR x IN slots], lambda p, q: {{'s': p.s + q.s,
+        'c': p.c + CASE WHEN abs(p.s) >= abs(q.s) THEN (p.s - (p.s + q.s)) + q.s ELSE (q.s - (p.s + q.s)) + p.s END}}) AS z FROM _k1),
+_k3 AS (SELECT *, round_even(z.s + z.c, 0)::BIGINT AS total, least(1, floor(round_even(z.s + z.c, 0) / n_words))::BIGINT AS least_cs FROM _k2),
+_k4 AS (SELECT *, [greatest(least_cs, trunc(x)::BIGINT) FOR x IN slots] AS base FROM _k3),
+_k5 AS (SELECT *, total - list_sum(base)::BIGINT AS lack FROM _k4),
+_k6 AS (SELECT *, [CASE WHEN lack > 0 THEN -round_even((x - trunc(x)) * 1e9, 0)::BIGINT ELSE -base[i] END FOR x, i IN slots] AS worth FROM _k5),
+_k7 AS (SELECT *, [base[i] + sign(lack)::BIGINT * (abs(lack) // n_words + (len([j FOR j IN range(1, n_words + 1) IF worth[j] < worth[i] OR (worth[j] = worth[i] AND j < i)]) < abs(lack) % n_words)::INT)
+        FOR i IN range(1, n_words + 1)] AS given FROM _k6),
+_k8 AS (SELECT *, CASE WHEN least_cs >= 1 AND list_min(given) >= least_cs THEN given END AS share, round_even(starts[1] * 100, 0)::BIGINT AS c0 FROM _k7),
+_k9 AS (SELECT *, c0 + list_sum(share)::BIGINT AS c1 FROM _k8)
+SELECT {keys}, line_seq, n_words, c0 AS start_cs, c1 AS end_cs,
+  CASE WHEN share IS NOT NULL THEN 'Dialogue: 0,' || {clock('c0')} || ',' || {clock('c1')} || ',Default,,0,0,0,,' ||
+    array_to_string([chr(123) || '\\k' || share[i] || chr(125) || replace(replace(replace({text}, '\\', '\\\\'), chr(123), '\\' || chr(123)), chr(125), '\\' || chr(125)) FOR x, i IN texts], '') END AS row FROM _k9"""
+
 
 ORACLES = {
     "span_text": with_words(ISLANDS, PIECES, TOP)
@@ -346,11 +395,13 @@ ORACLES = {
         FROM c WHERE b > a""",
     "variant_words": with_words(_VAR) + "SELECT variant_id, token_id, start_ms, end_ms, text FROM clipped",
     "corrected_words": with_words(_VAR)
-    + """, f AS (SELECT stream_id AS variant_id, ws, we, '*' || text AS text FROM _q WHERE token_id % 50 = 0),
-        g AS (SELECT f.*, a, b FROM f JOIN v USING (variant_id))
-        SELECT variant_id, token_id, start_ms, end_ms, text, round(confidence, 2) AS confidence FROM clipped c
-        WHERE (variant_id, token_id) NOT IN (SELECT (c.variant_id, c.token_id) FROM clipped c JOIN g USING (variant_id) WHERE c.start_ms < g.we - g.a AND c.end_ms > g.ws - g.a)
-        UNION ALL SELECT variant_id, 0, greatest(ws, a) - a, least(we, b) - a, text, 1.0 FROM g WHERE we > a AND ws < b""",
+    + """, f AS (SELECT stream_id, ws - CASE WHEN token_id % 50 = 1 THEN 250 ELSE 0 END AS ws, we + CASE WHEN token_id % 50 = 1 THEN 250 ELSE 0 END AS we, '*' || text AS text FROM _q WHERE token_id % 50 < 2),
+        g AS (SELECT variant_id, f.*, a, b FROM f JOIN v USING (stream_id)),
+        gone AS (SELECT DISTINCT c.variant_id, c.token_id FROM clipped c JOIN g ON c.variant_id = g.variant_id AND c.start_ms < g.we - g.a AND c.end_ms > g.ws - g.a),
+        r AS (SELECT variant_id, token_id, start_ms, end_ms, text, round(confidence, 2) AS confidence, 0 AS fix FROM clipped c
+              WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.variant_id = c.variant_id AND gone.token_id = c.token_id)
+              UNION ALL SELECT variant_id, 0, greatest(ws, a) - a, least(we, b) - a, text, 1.0, 1 FROM g WHERE we > a AND ws < b)
+        SELECT variant_id, row_number() OVER (PARTITION BY variant_id ORDER BY start_ms, fix, token_id, end_ms, text) - 1 AS place, token_id, start_ms, end_ms, text, confidence FROM r""",
     "moment_candidates": with_words(ISLANDS, PIECES, TOP)
     + f""", x AS (SELECT t.stream_id, t.rank, any_value(t.score) AS score, {_ms("any_value(t.start_s)")} AS a, {_ms("any_value(t.end_s)")} AS b,
         coalesce(string_agg(w.text, ' ' ORDER BY w.token_id), '') AS excerpt FROM top t
@@ -388,7 +439,7 @@ ORACLES = {
     "lyric_choice": """WITH c AS (SELECT doc_id, doc_id % 3 = 0 AS declared, CASE WHEN doc_id % 7 <> 0 THEN doc_id % 2 = 0 END AS enabled,
         CASE WHEN doc_id % 5 <> 0 THEN doc_id % 40 END AS track FROM documents),
         j AS (SELECT c.*, a.doc_id AS aid, a.source, p.lang FROM c LEFT JOIN documents a ON c.declared AND a.doc_id = c.doc_id AND a.doc_id % 13 <> 0
-              LEFT JOIN documents p ON p.doc_id = c.track AND p.doc_id < 30),
+              LEFT JOIN documents p ON p.doc_id = c.track AND p.doc_id % 4 <> 1),
         r AS (SELECT *, CASE WHEN declared AND aid IS NULL THEN 'asset_missing' WHEN declared AND doc_id % 11 = 0 THEN 'asset_modified'
               WHEN NOT declared AND enabled AND track IS NULL THEN 'track_name_missing' WHEN NOT declared AND enabled AND lang IS NULL THEN 'provider_has_none'
               WHEN NOT declared AND NOT coalesce(enabled, false) THEN 'no_source' END AS reason FROM j)
@@ -411,5 +462,12 @@ ORACLES = {
     "caption_scan_strict": with_words(_LINES)
     + """SELECT track_id AS file_id, CASE WHEN bad THEN 0 ELSE n END AS n, CASE WHEN bad THEN 'bad_time' ELSE 'ok' END AS reason
         FROM (SELECT track_id, count(*) AS n, track_id % 8 = 0 AND count(*) FILTER (line_no = 1) > 0 AS bad FROM lines GROUP BY track_id)""",
+    "caption_events": with_words(_LAY) + "," + _karaoke("stream_id", "upper(replace(x, 'ß', 'SS'))"),
+    "clip_captions": with_words(
+        ISLANDS, PIECES, TOP,
+        """_cw AS (SELECT t.stream_id, t.rank, w.token_id, greatest(0, w.start_s - t.start_s) AS start_s, least(t.end_s - t.start_s, w.end_s - t.start_s) AS end_s, w.text
+        FROM top t JOIN words w ON w.stream_id = t.stream_id AND w.end_s > t.start_s AND w.start_s < t.end_s)""",
+        _lay("SELECT stream_id, rank, row_number() OVER (PARTITION BY stream_id, rank ORDER BY token_id) - 1 AS seq, start_s, end_s, text FROM _cw WHERE end_s > start_s", "stream_id", "rank"),
+    ) + "," + _karaoke("stream_id, rank", "x"),
     "caption_lines": with_words(_LAY) + f"SELECT stream_id, line_seq, n_words, {_ms('a')} AS start_ms, {_ms('b')} AS end_ms FROM lay",
 }

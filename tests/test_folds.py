@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessitura.operators import audit, captions, segments, track
+from tessitura.operators import audit, captions, segments, spans, track
 from tessitura.params import SegmentParams
 
 WORDS = "stream_id long, token_id long, start_s double, end_s double, text string, confidence double"
@@ -192,9 +192,63 @@ def test_caption_lines_and_shares(spark):
         assert row.share_cs is None or (sum(row.share_cs) == row.end_cs - row.start_cs and min(row.share_cs) >= 1)
 
 
-def test_share_moves_what_is_left_to_the_largest_fractions():
-    assert captions.share_centiseconds([0.0, 0.333, 0.666], [0.333, 0.666, 1.0]) == [33, 33, 34]
-    assert captions.share_centiseconds([0.0, 0.0, 0.0], [0.0, 0.0, 0.01]) is None
+def plain_shares(starts, ends):
+    slots = [(b - a) * 100.0 for a, b in zip(starts, [*starts[1:], ends[-1]], strict=True)]
+    total, n = round(sum(slots)), len(slots)
+    least = min(1, total // n)
+    if least < 1:
+        return None
+    out = [max(least, int(x)) for x in slots]
+    left = total - sum(out)
+    order = sorted(range(n), key=lambda i: (-round(slots[i] - int(slots[i]), 9) if left > 0 else -out[i], i))
+    for k in range(abs(left)):
+        out[order[k % n]] += 1 if left > 0 else -1
+    return out if min(out) >= least else None
+
+
+def test_shares_move_what_is_left_by_rank(spark):
+    rng = random.Random(8)
+    rows = [([0.0, 0.333, 0.666], [0.333, 0.666, 1.0]), ([0.0, 0.0, 0.0], [0.0, 0.0, 0.01]), ([1.0], [1.005]), ([5.0, 5.004, 5.008, 5.012], [5.004, 5.008, 5.012, 5.09])]
+    for _ in range(400):
+        t, starts, ends = rng.randrange(5000), [], []
+        for _ in range(rng.randrange(1, 9)):
+            starts.append(t / 1000)
+            t += rng.choice([0, 1, 3, 7, 15, 40, 333])
+            ends.append(t / 1000)
+            t += rng.choice([0, 0, 5, 130])
+        rows.append((starts, ends))
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, starts array<double>, ends array<double>")
+    got = {r.i: r.share_cs for r in captions.with_shares(frame).collect()}
+    assert [got[i] for i in range(len(rows))] == [plain_shares(a, b) for a, b in rows]
+    assert got[0] == [33, 33, 34] and got[1] is None
+
+
+def test_corrections_replace_what_they_overlap_and_keep_order(spark):
+    rng = random.Random(5)
+    clipped, fixes, windows = [], [], []
+    for v in range(4):
+        windows.append((v, 100 * v, 100 * v + 5000))
+        at = 0
+        for k in range(80):
+            end = at + rng.choice([1, 20, 60, 90])
+            clipped.append((v, k, at, end, f"w{k}", 0.5))
+            at = end + rng.choice([0, 0, 10])
+        for k in range(0 if v == 3 else 12):
+            a = rng.randrange(-300, 5600)
+            fixes.append((v, a, a + rng.choice([1, 50, 700]), f"fix{k}"))
+    frames = (
+        spark.createDataFrame(clipped, "variant_id long, token_id long, start_ms long, end_ms long, text string, confidence double"),
+        spark.createDataFrame(fixes, "variant_id long, start_ms long, end_ms long, text string"),
+        spark.createDataFrame(windows, "variant_id long, start_ms long, end_ms long"),
+    )
+    got = sorted((r.variant_id, r.place, r.start_ms, r.end_ms, r.text) for r in spans.corrected_words(*frames).collect())
+    want = []
+    for v, lo, hi in windows:
+        own = [f for f in fixes if f[0] == v]
+        rows = [(a, 0, k, b, t) for x, k, a, b, t, _ in clipped if x == v and not any(a < e - lo and b > s - lo for _, s, e, _ in own)]
+        rows += [(max(s, lo) - lo, 1, 0, min(e, hi) - lo, t) for _, s, e, t in own if e > lo and s < hi]
+        want += [(v, i, a, b, t) for i, (a, _, _, b, t) in enumerate(sorted(rows))]
+    assert got == want
 
 
 def test_track_blocks_agree_with_one_pass(spark):
