@@ -167,4 +167,4 @@ def without_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataF
     """The rows of ``docs`` that stay, with all their columns."""
     dropped = exact_duplicates(docs, table_bytes).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     sha = F.sha2(normal(docs["text"]), 256)
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (sha == F.col("_sha")), "left_anti")
+    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_id"]) & (sha == dropped["_sha"]), "left_anti")

@@ -310,7 +310,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``class, text`` and finer sketch of one document of every class in ``wanted(class, doc_id)``."""
+    """``class, text`` and finer sketch of one document of every class in ``wanted(class, doc_id, text_key)``.
+
+    Rows meet by id and text, so null ids are no common key, and equal rows count once.
+    """
 
     def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,15 +328,16 @@ def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 out = rows.select(["class", "text"]).append_column("fine", pa.array([f.tobytes() for f in fine], pa.binary()))
                 yield out.filter(pa.array(good, pa.bool_()))
 
-    ids = wanted.select(F.col("doc_id").alias("_id"), "class")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text").mapInArrow(matching, "class binary, text string, fine binary")
+    ids = wanted.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "class")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _text_key(F.col("text")).alias("text_key"))
+    met = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).dropDuplicates(["class"])
+    return met.select("class", "text").mapInArrow(matching, "class binary, text string, fine binary")
 
 
 def _confirmed_texts(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Texts of the classes that ``pairs`` names, and the pairs that are links."""
     named = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    texts = keep(class_texts(docs, classes.select("class", "doc_id").join(named, "class")), "texts")
+    texts = keep(class_texts(docs, classes.select("class", "doc_id", "text_key").join(named, "class")), "texts")
     return texts, keep(confirmed(pairs, texts), "links")
 
 
@@ -351,7 +355,7 @@ def labelled_rows(docs: DataFrame) -> DataFrame:
     rows = keep(set_rows(docs), "sets")
     linkable = rows.filter("n > 0")
     classes = keep(
-        linkable.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")),
+        linkable.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("roots").alias("roots"), F.first("sketch").alias("sketch")),
         "classes",
     )
     leaves, stuck = tree_rows(classes)
@@ -384,4 +388,4 @@ def labelled_rows(docs: DataFrame) -> DataFrame:
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each component, with all its columns."""
     dropped = labelled_rows(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col("_dropped")) & (_text_key(docs["text"]) == F.col("_key")), "left_anti")
+    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["_dropped"]) & (_text_key(docs["text"]) == dropped["_key"]), "left_anti")

@@ -1,13 +1,14 @@
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("size", StringType()), StructField("class", StringType()), StructField("row", LongType())])
+CLASHING = ("_id", "_key", "_sha", "_dropped", "content", "text_key", "n")
+DOCS = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("size", StringType()), StructField("class", StringType()), StructField("row", LongType()), *(StructField(n, LongType()) for n in CLASHING)])
 
 
 @pytest.fixture(scope="session")
 def frame(spark):
     """Documents with extra columns whose names the operators use inside."""
-    return lambda rows: spark.createDataFrame([(i, t, "x", "y", 1) for i, t in rows], DOCS)
+    return lambda rows: spark.createDataFrame([(i, t, "x", "y", 1, *range(len(CLASHING))) for i, t in rows], DOCS)
 
 
 def edge_rows():
