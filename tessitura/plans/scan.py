@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_S = 600.0
@@ -29,19 +29,25 @@ def row_block(ordinal: Column, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(ordinal / F.lit(rows)).cast("long")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a session in one process gets one of its own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessitura-"))
+    return context.getCheckpointDir()
+
+
 def summary(frame: DataFrame) -> DataFrame:
     """Materialises a per-block or per-group summary and cuts its lineage.
 
     Several later steps read it, and plans that nest one scan in another would otherwise repeat the
     pass over the rows for each. The checkpoint goes to the cluster's shared folder, so a lost
-    executor costs nothing; only a session in one process gets a folder of its own.
+    executor costs nothing.
     """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessitura-"))
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 

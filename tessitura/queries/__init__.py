@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = ("segments", "audit", "spans", "lyrics", "signals", "gate", "lineage", "resolve", "live")
+FAMILIES = ("segments", "transcripts", "audit", "spans", "lyrics", "signals", "gate", "lineage", "resolve", "live")
 
 
 def all_queries() -> dict[str, Query]:

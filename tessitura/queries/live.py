@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.sources.tables import table
+from tessitura.plans.scan import shared_folder
+from tessitura.queries.common_sql import ISLANDS, with_words
+from tessitura.queries.segments import ms
+from tessitura.sources.tables import table, words
 from tessitura.streaming import live
 
 
@@ -20,8 +25,27 @@ def live_chat_density(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("stream_id", F.unix_seconds("window_start").alias("window_start"), F.round("level", 6).alias("level"))
 
 
-QUERIES = {"live_chat_density": live_chat_density}
+def live_gap_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of the word streams that had closed when the watermark stopped, five seconds behind the newest word.
+
+    The word fixture is written to the shared folder first, for its clock needs whole documents.
+    """
+    place = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    timed = words(spark, folder).select("stream_id", "token_id", "start_s", "end_s", F.timestamp_millis(F.rint(F.col("start_s") * 1000).cast("long")).alias("ts"))
+    timed.write.parquet(place)
+    found = live.run_to_table(live.live_spans(spark.readStream.schema(timed.schema).parquet(place)), spark)
+    return found.select("stream_id", "kind", ms("start_s"), ms("end_s"), "n_words")
+
+
+QUERIES = {"live_chat_density": live_chat_density, "live_gap_spans": live_gap_spans}
 ORACLES = {
+    "live_gap_spans": with_words(ISLANDS)
+    + """, m AS (SELECT max(CAST(round_even(start_s * 1000, 0) AS BIGINT)) AS top FROM words),
+        s AS (SELECT *, CAST(round_even(end_s * 1000, 0) AS BIGINT) AS e, span_no = max(span_no) OVER (PARTITION BY stream_id) AS is_last FROM spans)
+        SELECT CAST(stream_id AS VARCHAR) AS stream_id, 'span' AS kind, CAST(round_even(start_s * 1000, 0) AS BIGINT) AS start_ms, e AS end_ms, n_words
+        FROM s, m WHERE NOT is_last OR e + 7000 <= top - 5000""",
     "live_chat_density": """WITH e AS (SELECT user_id % 4 AS stream_id, floor(epoch(ts) / 300)::BIGINT * 300 AS w FROM events), m AS (SELECT max(epoch_ms(ts)) AS top FROM events)
         SELECT stream_id, w AS window_start, round(count(*) / 300.0::DOUBLE, 6) AS level FROM e, m WHERE (w + 300) * 1000 <= top - 1800000 GROUP BY 1, 2""",
 }

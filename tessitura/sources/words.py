@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD_COLUMNS = ["stream_id", "token_id", "start_s", "end_s", "text", "confidence"]
@@ -51,60 +51,80 @@ def words_from_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(words, rejects) from one-document-per-file transcripts.
+def _kind(value: Column) -> Column:
+    """JSON type of a variant: OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number's type; null when there is none."""
+    return F.regexp_extract(F.schema_of_variant(value), r"^[A-Z]+", 0)
+
+
+def _number(value: Column) -> Column:
+    """A number or numeric string as a double; null for every other type."""
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(~_kind(value).isin("OBJECT", "ARRAY", "BOOLEAN", "VOID"), F.trim(text).try_cast("double"))
+
+
+def parse_transcripts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words, rejects) from transcripts, one JSON object each. ``files``: ``stream_id, content``.
 
-    Numbers may be numeric strings but not booleans. A file with a missing or bad field contributes
-    no words and one reject row naming the first fault.
+    Types are checked, not only keys: numbers may be numeric strings but neither booleans nor null. A file with a
+    fault contributes no words and one reject row: the first fault of the file itself, else of its words in order,
+    else of its duration. Any text that is no JSON string counts as its JSON text.
     """
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("stream_id"), "value")
-    parsed = raw.select(
-        "stream_id",
-        F.get_json_object("value", "$.words").alias("words_json"),
-        F.coalesce(F.get_json_object("value", "$.language"), F.lit("?")).alias("language"),
-        F.coalesce(F.get_json_object("value", "$.duration_s"), F.lit("0")).alias("duration_raw"),
-    ).withColumn("items", F.from_json("words_json", "array<map<string,string>>"))
-    rows = parsed.select(
+    root = F.try_parse_json("content")
+    part = lambda name: F.try_variant_get("root", f"$.{name}", "variant")
+    parsed = files.select("stream_id", root.alias("root")).select(
+        "stream_id", "root", part("words").alias("words"), part("language").alias("language"), part("duration_s").alias("duration")
+    )
+    items = F.when(_kind(F.col("words")) == "ARRAY", F.try_variant_get("words", "$", "array<variant>"))
+    fault = (
+        F.when(F.col("root").isNull(), "not JSON")
+        .when(_kind(F.col("root")) != "OBJECT", "transcript is not an object")
+        .when(F.col("words").isNull(), "transcript has no words")
+        .when(_kind(F.col("words")) != "ARRAY", "words is not a list")
+    )
+    length = F.when(F.col("duration").isNull(), F.lit(0.0)).otherwise(_number(F.col("duration")))
+    heads = parsed.select(
         "stream_id",
-        "language",
-        "duration_raw",
-        "words_json",
-        F.posexplode_outer("items").alias("token_id", "item"),
+        F.when(F.col("language").isNull(), "?").otherwise(F.try_variant_get("language", "$", "string")).alias("language"),
+        length.alias("duration_s"),
+        F.coalesce(fault, F.when(length.isNull(), "duration_s is not numeric")).alias("file_fault"),
+        fault.isNotNull().alias("whole"),
+        items.alias("items"),
     )
-    number = {f: F.col("item")[f].try_cast("double") for f in ("start_s", "end_s", "confidence")}
-    fault = F.when(F.col("words_json").isNull(), F.lit("transcript has no words"))
+    rows = heads.select("stream_id", "language", "duration_s", F.posexplode("items").alias("token_id", "item"))
+    field = {f: F.try_variant_get("item", f"$.{f}", "variant") for f in REQUIRED_WORD_FIELDS}
+    place = F.concat(F.lit("word "), F.col("token_id").cast("string"))
+    bad = F.when(F.coalesce(_kind(F.col("item")), F.lit("")) != "OBJECT", F.concat(place, F.lit(" is not an object")))
     for name in REQUIRED_WORD_FIELDS:
-        fault = fault.when(
-            F.col("token_id").isNotNull() & ~F.map_contains_key("item", name),
-            F.concat(F.lit("word "), F.col("token_id").cast("string"), F.lit(f" has no {name}")),
-        )
-    for name, value in number.items():
-        fault = fault.when(
-            F.col("token_id").isNotNull() & value.isNull(),
-            F.concat(F.lit("word "), F.col("token_id").cast("string"), F.lit(f": {name} is not numeric")),
-        )
+        bad = bad.when(field[name].isNull(), F.concat(place, F.lit(f" has no {name}")))
+    numbers = {f: _number(field[f]) for f in REQUIRED_WORD_FIELDS if f != "text"}
+    for name, value in numbers.items():
+        bad = bad.when(value.isNull(), F.concat(place, F.lit(f": {name} is not numeric")))
     checked = rows.select(
         "stream_id",
-        "language",
-        F.col("duration_raw").try_cast("double").alias("duration_s"),
         F.col("token_id").cast("long").alias("token_id"),
-        *[v.alias(k) for k, v in number.items()],
-        F.col("item")["text"].alias("text"),
-        fault.alias("reason"),
+        *[v.alias(k) for k, v in numbers.items()],
+        F.try_variant_get(field["text"], "$", "string").alias("text"),
+        "language",
+        "duration_s",
+        bad.alias("reason"),
     )
+    in_words = checked.filter(F.col("reason").isNotNull()).groupBy("stream_id").agg(F.min_by("reason", "token_id").alias("word_fault"))
     rejects = (
-        checked.filter(F.col("reason").isNotNull())
-        .groupBy("stream_id")
-        .agg(F.min_by("reason", F.coalesce("token_id", F.lit(-1))).alias("reason"))
-    )
-    words = (
-        checked.filter(F.col("token_id").isNotNull())
-        .join(rejects.select("stream_id"), "stream_id", "left_anti")
-        .select(*WORD_COLUMNS, "language", "duration_s")
+        heads.select("stream_id", "file_fault", "whole")
+        .join(in_words, "stream_id", "left")
+        .select("stream_id", F.when(F.col("whole"), F.col("file_fault")).otherwise(F.coalesce("word_fault", "file_fault")).alias("reason"))
+        .filter(F.col("reason").isNotNull())
     )
+    words = checked.join(rejects.select("stream_id"), "stream_id", "left_anti").select(*WORD_COLUMNS, "language", "duration_s")
     return words, rejects
 
 
+def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``parse_transcripts`` over files that hold one transcript each; the file's name is the stream."""
+    raw = spark.read.text(path, wholetext=True)
+    return parse_transcripts(raw.select(F.input_file_name().alias("stream_id"), F.col("value").alias("content")))
+
+
 def words_from_segments(segments: DataFrame) -> DataFrame:
     """Recogniser segments (``stream_id, seg_no, words``) to words; ids run after empties are dropped.
 

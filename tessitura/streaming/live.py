@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessitura.params import MAX_GAP_S
+from tessitura.plans.scan import shared_folder
 
 SPAN_SCHEMA = "stream_id string, kind string, start_s double, end_s double, n_words long, token_id long"
-SPAN_STATE = "start_s double, last_start double, last_end double, n_words long"
+SPAN_STATE = "start_s double, last_start double, last_end double, n_words long, zero_ms long"
 
 
 def chat_density(messages: DataFrame, window_s: float, lateness: str) -> DataFrame:
@@ -38,46 +38,57 @@ def live_spans(words: DataFrame, lateness_s: float = 5.0, max_gap_s: float = MAX
     ``words``: ``stream_id, token_id, start_s, end_s, ts`` with ``ts`` the word's start as event time.
     State per stream is one open span. It closes when a word starts more than the gap after the last
     end, or when the watermark passes that end by the gap and the lateness. A word that starts before
-    the last one already placed is reported as ``late`` instead of reopening a span.
+    the last one already placed, or behind the watermark, is reported as ``late``: every word is counted in one span or
+    told as late, none is lost.
+
+    The engine drops rows behind the watermark before an operator sees them. So each word comes twice: a tick whose
+    event time moves the watermark, and the word itself without one, which is never dropped.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         if state.hasTimedOut:
-            start, _, end, n = state.get
+            start, _, end, n, _ = state.get
             out.append((key[0], "span", start, end, n, None))
             state.remove()
         else:
-            rows = pd.concat(list(batches)).sort_values(["start_s", "end_s", "token_id"])
-            opened = list(state.get) if state.exists else None
-            for token, start, end, ts in rows[["token_id", "start_s", "end_s", "ts"]].itertuples(index=False):
-                offset = ts.timestamp() - start
-                if opened is not None and start < opened[1]:
-                    out.append((key[0], "late", start, end, 1, token))
+            rows = pd.concat(list(batches))
+            rows = rows[rows["token_id"].notna()].sort_values(["start_s", "end_s", "token_id"])
+            opened, passed = (list(state.get) if state.exists else None), state.getCurrentWatermarkMs()
+            for token, start, end, at_ms in rows[["token_id", "start_s", "end_s", "at_ms"]].itertuples(index=False):
+                if at_ms < passed or (opened is not None and start < opened[1]):
+                    out.append((key[0], "late", start, end, 1, int(token)))
                 elif opened is None or start - opened[2] > max_gap_s:
                     if opened is not None:
                         out.append((key[0], "span", opened[0], opened[2], opened[3], None))
-                    opened = [start, start, end, 1]
+                    opened = [start, start, end, 1, int(at_ms - round(start * 1000))]
                 else:
-                    opened = [opened[0], start, end, opened[3] + 1]
-            state.update(tuple(opened))
-            due = int((opened[2] + max_gap_s + lateness_s + offset) * 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+                    opened = [opened[0], start, end, opened[3] + 1, opened[4]]
+            if opened is not None:
+                state.update(tuple(opened))
+                due = int((opened[2] + max_gap_s + lateness_s) * 1000) + opened[4]
+                state.setTimeoutTimestamp(max(due, passed + 1))
         frame = pd.DataFrame(out, columns=["stream_id", "kind", "start_s", "end_s", "n_words", "token_id"])
         yield frame.astype({"n_words": "Int64", "token_id": "Int64"})
 
+    own = [F.col(c).alias(c) for c in ("token_id", "start_s", "end_s")]
+    word = F.struct(*own, F.unix_millis("ts").alias("at_ms"), F.lit(None).cast("timestamp").alias("clock"))
+    tick = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (("token_id", "long"), ("start_s", "double"), ("end_s", "double"), ("at_ms", "long"))], F.col("ts").alias("clock"))
+    typed = words.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("token_id").cast("long").alias("token_id"), "start_s", "end_s", "ts")
     return (
-        words.select(F.col("stream_id").cast("string"), "token_id", "start_s", "end_s", "ts")
-        .withWatermark("ts", f"{lateness_s:g} seconds")
+        typed.select("stream_id", F.explode(F.array(word, tick)).alias("r"))
+        .select("stream_id", "r.*")
+        .withWatermark("clock", f"{lateness_s:g} seconds")
         .groupBy("stream_id")
         .applyInPandasWithState(step, SPAN_SCHEMA, SPAN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def run_to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
-    """Runs a stream over what is there now and returns what it wrote, by way of the shared folder."""
-    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessitura-")
-    place = f"{root}/live-{uuid.uuid4().hex}"
+    """Runs a stream over what is there now and returns what it wrote, by way of the shared folder; removed when the driver ends."""
+    place = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     query = (
         stream.writeStream.format("parquet")
         .option("path", f"{place}/rows")

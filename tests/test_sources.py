@@ -88,3 +88,26 @@ def test_transcript_numbers_reject_booleans(spark, tmp_path):
     kept, rejects = words.read_transcripts(spark, f"{tmp_path}/t.json")
     assert kept.count() == 0
     assert rejects.select(F.col("reason")).first().reason == "word 0: start_s is not numeric"
+
+
+def test_transcripts_of_wrong_types_are_rejected(spark):
+    good = '{"start_s": 0, "end_s": "1.5", "text": "a", "confidence": 1e-1}'
+    cases = {
+        "ok": '{"words": [%s], "language": "es", "duration_s": " 2.5 "}' % good,
+        "empty": '{"words": []}',
+        "not JSON": '{"words": [',
+        "transcript is not an object": "[1]",
+        "transcript has no words": '{"duration_s": "abc"}',
+        "words is not a list": '{"words": {"start_s": 1}}',
+        "word 0 is not an object": '{"words": ["x", "y"]}',
+        "word 1 is not an object": '{"words": [%s, null]}' % good,
+        "word 1 has no text": '{"words": [%s, {"start_s": true, "end_s": 1, "confidence": 1}]}' % good,
+        "word 0: start_s is not numeric": '{"words": [{"start_s": false, "end_s": 1, "text": "x", "confidence": "y"}], "duration_s": []}',
+        "word 0: confidence is not numeric": '{"words": [{"start_s": 0, "end_s": 1, "text": "x", "confidence": null}]}',
+        "duration_s is not numeric": '{"words": [%s], "duration_s": "abc"}' % good,
+        "duration_s is not numeric ": '{"words": [%s], "duration_s": true}' % good,
+    }
+    rows, rejects = words.parse_transcripts(spark.createDataFrame(list(cases.items()), "stream_id string, content string"))
+    kept = rows.collect()
+    assert [(r.stream_id, r.token_id, r.start_s, r.end_s, r.text, r.confidence, r.language, r.duration_s) for r in kept] == [("ok", 0, 0.0, 1.5, "a", 0.1, "es", 2.5)]
+    assert {r.stream_id: r.reason for r in rejects.collect()} == {k: k.strip() for k in cases if k not in ("ok", "empty")}
