@@ -150,9 +150,13 @@ def severity() -> Column:
 
 
 def verdicts(pieces: DataFrame, checks: DataFrame) -> DataFrame:
-    """One verdict per piece. A piece without checks passes; a signature may only cover real validators."""
+    """One verdict per piece. A piece without checks passes; a signature may only cover real validators.
+
+    Checks without a ``tier`` stand in the order of their ``ordinal``.
+    """
     signable = (F.col("status") == PASS) | ((F.col("status") == MANUAL) & ~F.coalesce(F.col("reason") == UNVALIDATED, F.lit(False)))
-    open_checks = F.collect_list(F.when(F.col("status") != PASS, F.struct("tier", "ordinal", "rule_id")))
+    order = [c for c in ("tier", "ordinal") if c in checks.columns]
+    open_checks = F.collect_list(F.when(F.col("status") != PASS, F.struct(*order, "rule_id")))
     rolled = checks.groupBy("piece_id").agg(
         F.max(severity()).alias("_worst"),
         F.min(signable).alias("_signable"),

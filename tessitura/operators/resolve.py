@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.clock import spoken_clock
@@ -24,17 +24,26 @@ OTHER_WORDS = r"(?iuU)\b(?:durar|duracion|duración|duration|horario|schedule|ho
 CLAUSE_END = r"[\r\n;\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]+|(?<=\S)\.\s+"
 QUOTED_TIME = rf"(?U)\b((?:{TIME}|{SECONDS}))\b"
 QUOTED_NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+# The fields that may be in conflict, in the order in which they are walked; * is a platform, # an index.
 CONFLICT_FIELDS = (
-    "spelling_locks|prohibitions|audio_policy|hook_keyword|hook_window_seconds|brand_safety|brand_safety_required|brand_safety_citation|"
-    "min_views_for_payout|analytics_proof_required",
-    r"platforms\.[^.]+\.(?:audio_rule|required_hashtags|required_mentions|duration\.min_s|duration\.max_s|caption_rules\.must_mention|"
-    r"caption_rules\.first_line|caption_rules\.forbidden|attribution\.type|attribution\.value|link_rules\.link_in_bio)",
-    r"languages\.(?:subtitles|voice|language)|official_audio\.(?:tiktok_url|instagram_url)|"
-    r"watermark\.(?:required|asset_id|visible_full_video|position|scale_ratio|opacity|min_width_ratio)|rules\.(?:hard|recommended|manual_review)|"
-    r"geo_target\.(?:country|min_pct)",
-    r"assets\.(?:required|optional)\[\d+\]\.(?:asset_id|kind|uri|origin|license)",
-    r"unmapped\[\d+\]\.(?:rule|quote)",
-)
+    (
+        "spelling_locks", "prohibitions", "audio_policy", "hook_keyword", "hook_window_seconds", "brand_safety", "brand_safety_required", "brand_safety_citation",
+        "min_views_for_payout", "analytics_proof_required",
+    ),
+    (
+        "platforms.*.audio_rule", "platforms.*.required_hashtags", "platforms.*.required_mentions", "platforms.*.duration.min_s", "platforms.*.duration.max_s",
+        "platforms.*.caption_rules.must_mention", "platforms.*.caption_rules.first_line", "platforms.*.caption_rules.forbidden", "platforms.*.attribution.type",
+        "platforms.*.attribution.value", "platforms.*.link_rules.link_in_bio",
+    ),
+    (
+        "languages.subtitles", "languages.voice", "languages.language", "official_audio.tiktok_url", "official_audio.instagram_url", "watermark.required",
+        "watermark.asset_id", "watermark.visible_full_video", "watermark.position", "watermark.scale_ratio", "watermark.opacity", "watermark.min_width_ratio",
+        "rules.hard", "rules.recommended", "rules.manual_review", "geo_target.country", "geo_target.min_pct",
+    ),
+    ("assets.required[#].asset_id", "assets.required[#].kind", "assets.required[#].uri", "assets.required[#].origin", "assets.required[#].license"),
+    ("assets.optional[#].asset_id", "assets.optional[#].kind", "assets.optional[#].uri", "assets.optional[#].origin", "assets.optional[#].license"),
+    ("unmapped[#].rule", "unmapped[#].quote"),
+)
 PERSON_RULES = ("audio.own_clip", "audio.no_trending", "audio.policy", *[n for k, v in ALIASES.items() for n in (k, *v)])
 
 
@@ -70,17 +79,26 @@ def provenance(candidates: DataFrame, briefs: DataFrame) -> DataFrame:
     )
 
 
-def conflicts(candidates: DataFrame) -> DataFrame:
-    """One issue per conflicted field of the fixed list, in walk order."""
-    walk = F.lit(None).cast("int")
-    for number, shape in reversed(list(enumerate(CONFLICT_FIELDS))):
-        walk = F.when(F.col("field_path").rlike(rf"^(?:{shape})$"), number).otherwise(walk)
-    return (
+def conflicts(candidates: DataFrame, platforms: DataFrame | None = None) -> DataFrame:
+    """One issue per conflicted field of the fixed list; ``walk`` counts them per contract in walk order.
+
+    Sections follow each other; inside one, an item (a platform or a list entry) is walked through all its fields before
+    the next. Platforms come in the order of ``platforms(contract_id, platform, position)``, by name without it.
+    """
+    listed = [(template, section, place) for section, fields in enumerate(CONFLICT_FIELDS) for place, template in enumerate(fields)]
+    templates = candidates.sparkSession.createDataFrame(listed, "template string, section int, place int")
+    path = F.col("field_path")
+    shaped = F.regexp_replace(F.regexp_replace(path, r"^platforms\.[^.]+\.", "platforms.*."), r"\[\d+\]", "[#]")
+    found = (
         candidates.filter(F.col("confidence") == "conflict")
-        .withColumn("walk", walk)
-        .filter(F.col("walk").isNotNull())
-        .select("contract_id", F.lit("conflict").alias("code"), F.col("field_path").alias("field"), "walk")
-    )
+        .select("contract_id", F.col("field_path").alias("field"), shaped.alias("template"), F.regexp_extract(path, r"^platforms\.([^.]+)\.", 1).alias("platform"),
+                F.regexp_extract(path, r"\[(\d+)\]", 1).try_cast("long").alias("item"))
+        .join(templates, "template")
+    )
+    if platforms is not None:
+        found = found.join(platforms.select("contract_id", "platform", "position"), ["contract_id", "platform"], "left").withColumn("item", F.coalesce("item", F.col("position").cast("long")))
+    order = Window.partitionBy("contract_id").orderBy("section", "item", "platform", "place", "field")
+    return found.select("contract_id", F.lit("conflict").alias("code"), "field", (F.row_number().over(order) - 1).alias("walk"))
 
 
 def quoted_times(quote: Column) -> Column:

@@ -265,7 +265,7 @@ ORACLES = {
     "provenance": f"""WITH {_BR}, j AS (SELECT *, CASE WHEN quote IS NULL THEN NULL WHEN NOT contains(brief, quote) THEN 'fabricated'
             WHEN s IS NOT NULL AND (s < 0 OR e < s OR e > length(brief)) THEN 'out_of_range' WHEN s IS NOT NULL AND substring(brief, s::INT + 1, (e - s)::INT) <> quote THEN 'misaligned' END AS fault FROM fl)
         SELECT i AS contract_id, count(fault) AS n_faults, count(fault) = 0 AS accepted, arg_min(fault, n) FILTER (fault IS NOT NULL) AS first_fault FROM j GROUP BY i""",
-    "conflicts": f"WITH {_BR} SELECT i AS contract_id, 'conflict' AS code, path AS field, walk FROM cf",
+    "conflicts": f"WITH {_BR} SELECT i AS contract_id, 'conflict' AS code, path AS field, row_number() OVER (PARTITION BY i ORDER BY walk) - 1 AS walk FROM cf",
     "time_ranges": f"""WITH {_BR}, d AS (SELECT i, a, b, b + CASE WHEN i % 18 = 6 THEN 1 ELSE 0 END AS e2,
             CASE WHEN i % 36 = 18 THEN 'conflict' END AS c1, CASE WHEN i % 24 = 12 THEN 'invalid_contract' END AS c2 FROM br WHERE i % 6 = 0),
         dj AS (SELECT *, CASE WHEN c1 IS NULL AND c2 IS NULL AND (NOT a < e2 OR e2 <> b) THEN 'invalid_contract' END AS c3 FROM d),

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import clock, digest
 from tessitura.functions import text as tx
-from tessitura.operators import gate, rules
+from tessitura.operators import gate, resolve, rules
 from tessitura.params import SignalParams
 
 
@@ -70,3 +70,18 @@ def test_parameters_are_checked():
         SignalParams(window_s=0)
     with pytest.raises(ValueError):
         SignalParams(weights={"scene": -1.0})
+
+
+def test_conflicts_walk_items_field_by_field(spark):
+    fields = resolve.CONFLICT_FIELDS
+    want = list(fields[0])
+    for name in ("x", "tiktok"):
+        want += [f.replace("*", name) for f in fields[1]]
+    want += fields[2]
+    for section in fields[3:]:
+        want += [f.replace("#", str(i)) for i in (0, 2, 10) for f in section]
+    rows = [(c, f, "conflict") for c in (1, 2) for f in sorted(want)] + [(1, "notes.free", "conflict"), (1, "assets.required[0].size", "conflict"), (3, "hook_keyword", "explicit")]
+    frame = spark.createDataFrame(rows, "contract_id long, field_path string, confidence string")
+    order = spark.createDataFrame([(c, p, i) for c in (1, 2) for i, p in enumerate(("x", "tiktok"))], "contract_id long, platform string, position int")
+    got = resolve.conflicts(frame, order).orderBy("contract_id", "walk").collect()
+    assert [(r.contract_id, r.field, r.walk) for r in got] == [(c, f, i) for c in (1, 2) for i, f in enumerate(want)]
