@@ -1,18 +1,28 @@
 """Personal data in documents: strict patterns, and candidates chosen by gradient boosting.
 
 Generators of high recall propose spans that may overlap: the strict patterns without their checks, and looser forms
-(spelled-out addresses, numbers without a plus, long addresses of eight groups). Each candidate is described by its
-format and its surroundings in small whole numbers. Boosted trees learn to tell strict spans from the rest by these
-alone. The trees are fitted on the counts of all feature combinations over all documents, a table whose size the bins
-bound (``COMBINATIONS``), and become one SQL expression. For each kind the threshold is the lowest calibrated score
-from which on at least ``PRECISION`` of the candidates are strict ones; candidates at or above it that overlap no strict
-span are added. Strict spans always stay.
+(spelled-out addresses, long addresses of eight groups, card groups with other separators, numbers without a plus). Each
+candidate is described by its format and its surroundings in small whole numbers. Whether it is likely to be personal
+data is told by evidence that these numbers do not hold:
+
+* email: the last part of the domain is two letters or more;
+* ip: strict ones have parts of at most 255, of the eight groups one is longer than two characters;
+* card: 14 to 19 digits that pass Luhn;
+* phone: strict ones as they are; looser ones of 10 to 15 digits count if a cue stands before them or if their last nine
+  digits are those of a strict phone number in any document.
+
+Boosted trees learn the evidence from format and context. They are fitted on the counts of all feature combinations over
+all documents, a table whose size the bins bound (``COMBINATIONS``), and become one SQL expression. For each kind the
+threshold is calibrated on the looser candidates alone: the lowest score from which on at least ``PRECISION`` of them have
+evidence, among ``LEAST`` or more. Looser candidates at or above it that overlap no strict span are added, with or without
+evidence of their own. Strict spans always stay.
 
 Only DataFrame functions touch the documents. Positions are code points: pieces between matches are measured.
 
 Defined results: null text counts as empty; empty texts have no spans; every row gets its own result, repeated or not,
-with or without an id; without candidates nothing is fitted and nothing added; an empty table gives no rows. Columns
-other than the id and the text are not read.
+with or without an id; without candidates nothing is fitted and nothing added; an empty table gives no rows. Of added
+spans that overlap the earliest stays, and of those the longest, then the first kind. Columns other than the id and the
+text are not read.
 """
 
 from __future__ import annotations
@@ -35,17 +45,23 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Looser generators.
 SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++"
 GROUPS8 = r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
+GROUPED = r"(?<![0-9A-Za-z])[0-9]{4}[\x20._/-]{1,3}(?:[0-9]{4}[\x20._/-]{1,3}[0-9]{4}[\x20._/-]{1,3}[0-9]{2,7}|[0-9]{6}[\x20._/-]{1,3}[0-9]{4,5})(?![0-9A-Za-z])"
 PLAIN = r"(?<![0-9A-Za-z.+-])(?:\(?[0-9]{2,4}\)?[\x20.-]){2,4}[0-9]{2,5}(?![0-9])"
 CUES = (r"(?i)mail|contact|write|@", r"(?i)\bip\b|host|server|addr", r"(?i)card|visa|pay|credit", r"(?i)tel|phone|call|mobil|fax")
 PART = r"0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-FEATURES = ("kind", "digits", "length", "separators", "plus", "brackets", "before", "after", "cue")
+FEATURES = ("kind", "digits", "length", "groups", "longest", "before", "after", "cue")
 #: Bins of each feature, in the order of FEATURES.
-BINS = (4, 6, 5, 5, 2, 2, 5, 5, 2)
+BINS = (4, 6, 5, 4, 4, 5, 5, 2)
 COMBINATIONS = int(np.prod(BINS))
 PRECISION = 0.9
+LEAST = 20
 TREES = 24
 SHRINK = 0.3
-SPAN = "struct<kind:int,start:long,end:long,strict:boolean,digits:int,length:int,separators:int,plus:int,brackets:int,before:int,after:int,cue:int>"
+#: Characters before a span in which a cue counts.
+AROUND = 24
+#: Last digits by which a number without a plus is the same as one with it.
+TAIL = 9
+SPAN = "struct<kind:int,start:long,end:long,strict:boolean,check:boolean,tail:string,digits:int,length:int,groups:int,longest:int,before:int,after:int,cue:int>"
 
 
 def _digits(match: Column) -> Column:
@@ -64,6 +80,18 @@ def _valid(kind: int, match: Column) -> Column:
     return size.between(10, 15)
 
 
+def _plausible(kind: int, match: Column) -> Column:
+    """Whether a looser match holds what its kind asks for; phones need a cue or a strict twin besides."""
+    if kind == 0:
+        return F.regexp_like(match, F.lit(r"[A-Za-z]{2,}$"))
+    if kind == 1:
+        return F.regexp_like(match, F.lit("[0-9A-Fa-f]{3}")) & F.contains(match, F.lit(":"))
+    size = F.length(_digits(match))
+    if kind == 2:
+        return size.between(14, 19) & F.call_function("luhn_check", _digits(match))
+    return size.between(10, 15)
+
+
 def _kind_of_char(char: Column) -> Column:
     return F.when(char == "", 0).when(F.regexp_like(char, F.lit(r"^\s")), 1).when(F.regexp_like(char, F.lit(r"^[A-Za-z]")), 2).when(F.regexp_like(char, F.lit("^[0-9]")), 3).otherwise(4)
 
@@ -75,28 +103,32 @@ def _bin(value: Column, *limits: int) -> Column:
 def _matches(text: str, pattern: str, hint: Column, kind: int, strict: bool) -> Column:
     """Spans of a pattern with their features; ``hint`` is a cheap test without which nothing can match."""
     pieces, found = F.split(F.col(text), pattern, -1), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"), F.slice(pieces, 2, F.size(found)).alias("q"))
+    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"), F.slice(pieces, 2, F.size(found)).alias("q"), F.slice(found, 2, F.size(found)).alias("r"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["p"], F.lit(24)).alias("p"), F.left(x["q"], F.lit(1)).alias("q")))).alias("spans"))
+        before = F.right(F.concat(acc["before"], x["p"]), F.lit(AROUND))
+        after = F.left(F.concat(x["q"], F.coalesce(x["r"], F.lit(""))), F.lit(1))
+        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), before.alias("p"), after.alias("q"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, x["m"]), F.lit(AROUND)).alias("before"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string,p:string,q:string>>").alias("spans"))
+    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast("array<struct<start:int,end:int,m:string,p:string,q:string>>").alias("spans"))
     spans = F.aggregate(pairs, empty, step, lambda acc: acc["spans"])
 
     def described(s: Column) -> Column:
-        m = s["m"]
+        m, numbers = s["m"], F.regexp_extract_all(s["m"], F.lit("[0-9]+"), F.lit(0))
         return F.struct(
             F.lit(kind).alias("kind"),
             s["start"].cast("long").alias("start"),
             s["end"].cast("long").alias("end"),
             (_valid(kind, m) if strict else F.lit(False)).alias("strict"),
+            _plausible(kind, m).alias("check"),
+            (F.right(_digits(m), F.lit(TAIL)) if kind == 3 else F.lit(None).cast("string")).alias("tail"),
             _bin(F.length(_digits(m)), 1, 7, 10, 13, 16).alias("digits"),
             _bin(F.length(m), 8, 12, 16, 24).alias("length"),
-            _bin(F.length(F.regexp_replace(m, r"[^\x20.()\[\]:@-]", "")), 1, 2, 3, 5).alias("separators"),
-            F.when(F.startswith(m, F.lit("+")), 1).otherwise(0).alias("plus"),
-            F.when(F.regexp_like(m, F.lit(r"[()\[\]]")), 1).otherwise(0).alias("brackets"),
+            _bin(F.size(numbers), 2, 4, 5).alias("groups"),
+            _bin(F.coalesce(F.array_max(F.transform(numbers, F.length)), F.lit(0)), 4, 5, 8).alias("longest"),
             _kind_of_char(F.right(s["p"], F.lit(1))).alias("before"),
             _kind_of_char(s["q"]).alias("after"),
             F.when(F.regexp_like(s["p"], F.lit(CUES[kind])), 1).otherwise(0).alias("cue"),
@@ -117,6 +149,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         _matches("text", PHONE, has("+"), 3, True),
         _matches("text", SPELLED, has("(at)") | has("[at]"), 0, False),
         _matches("text", GROUPS8, has(":"), 1, False),
+        _matches("text", GROUPED, digits, 2, False),
         _matches("text", PLAIN, digits, 3, False),
     )
     rows = text.select("doc_id", proposed.alias("spans"))
@@ -152,7 +185,7 @@ def _best(x: np.ndarray, slope: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def boost(x: np.ndarray, yes: np.ndarray, n: np.ndarray, trees: int = TREES) -> tuple[float, list[Tree]]:
-    """Base margin and trees from feature rows, their strict counts and all counts, under logistic loss."""
+    """Base margin and trees from feature rows, their counts with evidence and all counts, under logistic loss."""
     base = float(np.log((yes.sum() + 1) / (n.sum() - yes.sum() + 1)))
     margin, out = np.full(len(x), base), []
     for _ in range(trees):
@@ -178,15 +211,15 @@ def margins(x: np.ndarray, base: float, trees: list[Tree]) -> np.ndarray:
     return out
 
 
-def thresholds(x: np.ndarray, yes: np.ndarray, n: np.ndarray, margin: np.ndarray, precision: float = PRECISION) -> list[float | None]:
-    """For each kind the lowest margin from which on at least ``precision`` of the candidates are strict, else None."""
+def thresholds(x: np.ndarray, yes: np.ndarray, n: np.ndarray, margin: np.ndarray, precision: float = PRECISION, least: int = LEAST) -> list[float | None]:
+    """For each kind the lowest margin from which on at least ``precision`` of ``least`` or more candidates have evidence, else None."""
     limits: list[float | None] = []
     for kind in range(len(KINDS)):
         own = x[:, 0] == kind
         limit = None
-        for m in np.unique(np.round(margin[own], 9)):
+        for m in np.unique(np.round(margin[own & (n > 0)], 9)):
             above = own & (margin >= m - 1e-9)
-            if (yes[above].sum() + 1) / (n[above].sum() + 2) >= precision:
+            if n[above].sum() >= least and yes[above].sum() >= precision * n[above].sum():
                 limit = float(m)
                 break
         limits.append(limit)
@@ -200,19 +233,35 @@ def _margin(span: Column, base: float, trees: list[Tree]) -> Column:
     return sum((F.when(span[FEATURES[t.first[0]]] >= t.first[1], leaf(t.right)).otherwise(leaf(t.left)) for t in trees), F.lit(base))
 
 
-def _chosen(found: DataFrame) -> Column:
-    """The loose spans that are added, as a column over ``found``."""
-    none = F.array().cast(f"array<{SPAN}>")
+def counts(found: DataFrame) -> DataFrame:
+    """Per combination of features: strict spans, looser ones (``n``) and looser ones with evidence (``yes``).
+
+    Spans are counted by features and last digits before they meet the strict numbers, so a frequent number is one row.
+    """
     spans = found.select(F.explode(F.concat("strict", "loose")).alias("s")).select("s.*")
-    rows = spans.groupBy(*FEATURES).agg(F.sum(F.col("strict").cast("long")).alias("yes"), F.count(F.lit(1)).alias("n")).collect()
-    if not rows:
-        return none
+    alike = spans.groupBy(*FEATURES, "strict", "check", "tail").agg(F.count(F.lit(1)).alias("size"))
+    known = spans.filter(F.col("strict") & (F.length("tail") == TAIL)).select("tail").distinct().withColumn("known", F.lit(True))
+    proven = F.col("check") & ((F.col("kind") != KINDS.index("phone")) | (F.col("cue") == 1) | F.coalesce("known", F.lit(False)))
+    sized = lambda test: F.sum(F.when(test, F.col("size")).otherwise(0))
+    return alike.join(known, "tail", "left").groupBy(*FEATURES).agg(sized(F.col("strict")).alias("strict"), sized(~F.col("strict")).alias("n"), sized(~F.col("strict") & proven).alias("yes"))
+
+
+def chooser(rows: list) -> tuple[float, list[Tree], list[float | None]]:
+    """Base margin, trees and thresholds from the rows of ``counts``."""
     x = np.array([[r[f] for f in FEATURES] for r in rows])
-    yes, n = (np.array([r[c] for r in rows], float) for c in ("yes", "n"))
+    strict, n, yes = (np.array([r[c] for r in rows], float) for c in ("strict", "n", "yes"))
     order = np.lexsort(x.T)
-    x, yes, n = x[order], yes[order], n[order]
-    base, trees = boost(x, yes, n)
-    limits = thresholds(x, yes, n, margins(x, base, trees))
+    x, strict, n, yes = x[order], strict[order], n[order], yes[order]
+    base, trees = boost(x, strict + yes, strict + n)
+    return base, trees, thresholds(x, yes, n, margins(x, base, trees))
+
+
+def _chosen(found: DataFrame) -> Column:
+    """The loose spans that are added, as a column over ``found``."""
+    rows = counts(found).collect()
+    if not rows:
+        return F.array().cast(f"array<{SPAN}>")
+    base, trees, limits = chooser(rows)
 
     def passes(s: Column) -> Column:
         ok = F.lit(False)
