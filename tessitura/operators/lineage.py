@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.functions.digest import digest, json_text
+from tessitura.functions.digest import canonical_text, digest, json_text
 from tessitura.functions.text import RESERVED_NAMES
 from tessitura.plans.scan import prefix_scan, row_block
 
@@ -13,6 +15,36 @@ from tessitura.plans.scan import prefix_scan, row_block
 SOURCE_STAGES = ("transcribe", "moments", "select", "reframe", "subtitles", "completed")
 AUDIO_STAGES = ("subtitles", "completed")
 MAX_NAME = 64
+INPUT_FIELDS = {
+    "audio": ("locked", "track_path", "track_url", "mix_ratio"),
+    "render": ("ffmpeg", "timeout_s", "nvenc_available", "target_aspect", "aspect_tolerance"),
+    "ranges": ("start_sec", "end_sec"),
+}
+CAPTION_STYLE = {
+    "capitalization": "original", "subtitle_language": "original",
+    "primary_color": "&H00FFFFFF", "highlight_color": "&H000000FF", "outline_color": "&H00000000", "back_color": "&H00000000",
+    "fontname": "Arial", "fontsize": 48, "outline": 2, "shadow": 0, "margin_v": 40, "alignment": 2,
+}
+#: Contract fields that count only where declared, with the JSON they have otherwise.
+UNSET = {
+    "languages.language": "null",
+    "audio_policy": "null",
+    "outputs": '[{"aspect":"9:16","index":0}]',
+    "hook_keyword": "null",
+    "unmapped": "[]",
+    "brand_safety_required": "false",
+    "brand_safety_citation": "null",
+    "timestamp_ranges": "[]",
+    "lyric_video": "null",
+    "split_screen": "null",
+    "caption_style": json.dumps(CAPTION_STYLE, sort_keys=True, separators=(",", ":")),
+    "layout_spec": "null",
+    "watermark.position": '"top_right"',
+    "watermark.scale_ratio": "0.2",
+    "watermark.opacity": "1.0",
+    "watermark.min_width_ratio": "0.05",
+}
+VOLATILE = frozenset({"assets.required.*.resolved_at", "assets.optional.*.resolved_at"})
 INTERRUPTED = "no_final_result"
 PRESETS = {"clean": (54, "&H00000000", 1), "bold": (62, "&H80000000", 1), "boxed": (54, "&H99000000", 3)}
 SIZES = {"small": 46, "large": 70}
@@ -51,9 +83,26 @@ def expired_temporaries(folders: DataFrame, cutoff: Column) -> DataFrame:
     return folders.filter(((F.size(parts) == 1) | nested) & temporary(leaf) & (F.col("modified") <= cutoff))
 
 
-def fingerprint(fields: dict[str, Column]) -> Column:
-    """Digest over an explicit field list; values are JSON texts."""
-    return digest(fields)
+def input_fingerprint(runs: DataFrame) -> DataFrame:
+    """``runs`` with the digest of everything that decides a run's result, and nothing else.
+
+    ``runs``: ``url, contract, face_model_path, audio, render, ranges, repost_mode, watermark, lyric_video, split_screen``;
+    ``contract`` is a digest, ``audio`` and ``render`` are structs of which only the listed fields count, ``ranges`` an
+    array of structs. Columns and fields beyond the list do not move the digest. The last two are left out where null.
+    """
+    picked = lambda name: F.struct(*[F.col(name)[f].alias(f) for f in INPUT_FIELDS[name]]).alias(name)
+    ranges = F.coalesce("ranges", F.array().cast(runs.schema["ranges"].dataType))
+    payload = F.struct(
+        F.lit("long_video").alias("pipeline"), "url", "contract", "face_model_path", picked("audio"), picked("render"),
+        F.struct(
+            F.transform(ranges, lambda r: F.struct(*[r[f].alias(f) for f in INPUT_FIELDS["ranges"]])).alias("timestamp_ranges"),
+            (F.size(ranges) > 0).alias("download_section_mode"),
+        ).alias("download"),
+        "repost_mode", "watermark", "lyric_video", "split_screen",
+    )
+    held = runs.withColumn("_payload", payload)
+    text = canonical_text(F.col("_payload"), held.schema["_payload"].dataType, {"lyric_video": "null", "split_screen": "null"})
+    return held.withColumn("fingerprint", F.sha2(text, 256)).drop("_payload")
 
 
 def stale_stages(changes: DataFrame) -> DataFrame:
@@ -95,10 +144,14 @@ def variant_revision(rows: DataFrame) -> DataFrame:
     return rows.withColumn("revision", digest(fields))
 
 
-def pruned_contract_digest(rows: DataFrame, required: list[str], optional: list[str]) -> Column:
-    """Contract digest without unset optional fields; the caller leaves volatile ones out."""
-    fields = {c: F.col(c) for c in (*required, *optional)}
-    return digest(fields, frozenset(optional))
+def contract_digest(contracts: DataFrame, column: str = "contract") -> DataFrame:
+    """``contracts`` with the digest of a nested contract column.
+
+    What was not declared is left out, so contracts written before a field existed keep their digest; times of resolution
+    never count.
+    """
+    text = canonical_text(F.col(column), contracts.schema[column].dataType, UNSET, VOLATILE)
+    return contracts.withColumn("digest", F.sha2(text, 256))
 
 
 def cache_hits(streams: DataFrame, cached: DataFrame, version: str) -> DataFrame:
@@ -253,6 +306,69 @@ def delete_positions(positions: DataFrame, edits: DataFrame) -> tuple[DataFrame,
     return kept, rejects
 
 
+def edited_positions(positions: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(positions, rejects) after all edits of every variant in the order of their numbers.
+
+    ``positions``: ``variant_id, ordinal, position_id, start_ms, end_ms``; ``edits``: ``variant_id, edit_no, kind, position_id,
+    at_ms, new_id, absorb`` with kind ``split`` or ``delete``. Each edit sees what the earlier ones left, so a position made by
+    a split can be edited again. A refused edit changes nothing and is a reject ``variant_id, edit_no, position_id, reason``:
+    ``unknown_edit``, ``not_found``, ``not_inside`` (splits are strictly inside), ``only_position`` or ``absorb_needed`` (the
+    first position is absorbed by its successor, the last by its predecessor, an interior one must say which). The second
+    half of a split keeps the ordinal of the first, whose geometry it shares. Of equal position ids the first is meant.
+
+    Only positions that an edit names, and their neighbours, enter the fold; all others pass by. A variant's edits are one
+    value, as each depends on the one before: they are decisions made by hand.
+    """
+    named = edits.select("variant_id", "position_id").distinct().withColumn("_named", F.lit(True))
+    marked = positions.join(named, ["variant_id", "position_id"], "left").withColumn("_named", F.coalesce("_named", F.lit(False)))
+    order, block = ["ordinal"], row_block(F.col("ordinal"))
+    marked = prefix_scan(marked, ["variant_id"], order, block, lasts={"_before": F.col("_named")})
+    marked = prefix_scan(marked, ["variant_id"], order, block, lasts={"_after": F.col("_named")}, reverse=True)
+    near = F.col("_named") | F.coalesce("_before", F.lit(False)) | F.coalesce("_after", F.lit(False))
+    columns = ("ordinal", "position_id", "start_ms", "end_ms")
+    touched = marked.filter(near).groupBy("variant_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_at"))
+    log = edits.groupBy("variant_id").agg(F.array_sort(F.collect_list(F.struct("edit_no", "kind", "position_id", "at_ms", "new_id", "absorb"))).alias("_log"))
+    place, fault = positions.select(F.array(F.struct(*columns))), edits.select(F.array(F.struct("edit_no", "position_id", F.lit("").alias("reason"))))
+    at_kind, fault_kind = (f.schema[0].dataType.simpleString() for f in (place, fault))
+
+    def applied(state: Column, e: Column) -> Column:
+        at = state["at"]
+        index = F.coalesce(F.array_position(F.transform(at, lambda p: p["position_id"]), e["position_id"]), F.lit(0)).cast("int")
+        bound = F.transform(F.array(index), lambda i: F.struct(i.alias("i"), F.get(at, i - 1).alias("p"), F.size(at).alias("n")))
+        return F.get(F.transform(bound, lambda b: _edit(state, at, e, b["i"], b["p"], b["n"])), F.lit(0))
+
+    def _edit(state: Column, at: Column, e: Column, i: Column, p: Column, n: Column) -> Column:
+        inside = F.coalesce((e["at_ms"] > p["start_ms"]) & (e["at_ms"] < p["end_ms"]), F.lit(False))
+        chosen = F.coalesce(e["absorb"].isin("previous", "next"), F.lit(False))
+        cut, drop = F.coalesce(e["kind"] == "split", F.lit(False)), F.coalesce(e["kind"] == "delete", F.lit(False))
+        reason = (
+            F.when(~cut & ~drop, "unknown_edit").when(i == 0, "not_found").when(cut & ~inside, "not_inside")
+            .when(drop & (n == 1), "only_position").when(drop & (i > 1) & (i < n) & ~chosen, "absorb_needed")
+        )
+        part = lambda key, start, end: F.struct(p["ordinal"].alias("ordinal"), key.alias("position_id"), start.alias("start_ms"), end.alias("end_ms"))
+        halves = F.array(part(p["position_id"], p["start_ms"], e["at_ms"]), part(e["new_id"], e["at_ms"], p["end_ms"]))
+        forward = (i == 1) | ((i < n) & F.coalesce(e["absorb"] == "next", F.lit(False)))
+        widened = F.transform(
+            at,
+            lambda q, j: F.struct(
+                q["ordinal"].alias("ordinal"), q["position_id"].alias("position_id"),
+                F.when(forward & (j == i), p["start_ms"]).otherwise(q["start_ms"]).alias("start_ms"),
+                F.when(~forward & (j == i - 2), p["end_ms"]).otherwise(q["end_ms"]).alias("end_ms"),
+            ),
+        )
+        head = lambda rows: F.slice(rows, F.lit(1), F.greatest(i - 1, F.lit(0)))
+        tail = lambda rows: F.slice(rows, i + 1, n)
+        left = F.when(reason.isNotNull(), at).when(cut, F.concat(head(at), halves, tail(at))).otherwise(F.concat(head(widened), tail(widened)))
+        refused = F.array(F.struct(e["edit_no"].alias("edit_no"), e["position_id"].alias("position_id"), reason.alias("reason")))
+        return F.struct(left.cast(at_kind).alias("at"), F.when(reason.isNull(), state["bad"]).otherwise(F.concat(state["bad"], refused)).cast(fault_kind).alias("bad"))
+
+    start = F.struct(F.coalesce("_at", F.array().cast(at_kind)).cast(at_kind).alias("at"), F.array().cast(fault_kind).alias("bad"))
+    done = log.join(touched, "variant_id", "left").select("variant_id", F.aggregate("_log", start, applied).alias("s"))
+    changed = done.select("variant_id", F.explode("s.at").alias("p")).select("variant_id", "p.*")
+    result = marked.filter(~near).select("variant_id", *columns).unionByName(changed)
+    return result, done.select("variant_id", F.explode("s.bad").alias("r")).select("variant_id", "r.*")
+
+
 def _lookup(table: dict, key: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key]
 

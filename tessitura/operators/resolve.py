@@ -142,7 +142,8 @@ def declared_ranges(items: DataFrame, briefs: DataFrame) -> tuple[DataFrame, Dat
     """(ranges, issues) of declared time ranges.
 
     ``items``: ``contract_id, idx`` and for both bounds ``value, quote, confidence`` (prefix ``start_``/``end_``).
-    Every fault of either bound's confidence and quote is an issue; later checks report the first.
+    A range without one of its bounds (value, quote and confidence all null) is one issue. Of bounds that are there every
+    fault of confidence and quote is an issue; later checks report the first.
     """
     s, e = spoken_clock(F.col("start_value")), spoken_clock(F.col("end_value"))
     brief = F.col("brief")
@@ -159,7 +160,9 @@ def declared_ranges(items: DataFrame, briefs: DataFrame) -> tuple[DataFrame, Dat
         .when(~(_near(quoted_times(F.col("start_quote")), s, 1e-3) & _near(quoted_times(F.col("end_quote")), e, 1e-3)), "invalid_contract")
         .when(shared & ~in_order(quoted_times(F.col("start_quote")), s, e), "invalid_contract")
     )
-    issues = F.when(F.size(bound_issues) > 0, bound_issues).otherwise(F.array_compact(F.array(late)))
+    gone = lambda side: F.coalesce(*[F.col(f"{side}_{c}").cast("string") for c in ("value", "quote", "confidence")]).isNull()
+    absent = F.when(gone("start") | gone("end"), F.array(F.lit("missing_required")))
+    issues = F.when(absent.isNotNull(), absent).when(F.size(bound_issues) > 0, bound_issues).otherwise(F.array_compact(F.array(late)))
     judged = items.join(briefs, "contract_id").withColumn("issues", issues).withColumn("start_s", s).withColumn("end_s", e)
     ranges = judged.filter(F.size("issues") == 0).select("contract_id", F.col("idx").cast("long").alias("idx"), "start_s", "end_s")
     return ranges, judged.select("contract_id", F.explode("issues").alias("code"), F.lit("timestamp_ranges").alias("field"))
@@ -181,7 +184,7 @@ def text_ranges(briefs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ranges = (
         found.filter(F.col("start_s") < F.col("end_s"))
         .groupBy("contract_id", "start_s", "end_s")
-        .agg(F.min(F.col("clause_no").cast("long") * 100000 + F.col("pair_no")).alias("idx"))
+        .agg(F.min(F.shiftleft(F.col("clause_no").cast("long"), 32) + F.col("pair_no")).alias("idx"))
         .select("contract_id", "idx", "start_s", "end_s")
     )
     issues = found.filter(F.col("start_s") >= F.col("end_s")).select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import digest as dg
@@ -129,6 +129,63 @@ def timeline_edits(spark: SparkSession, folder: str) -> DataFrame:
     return total(halves, "split").unionByName(total(kept, "delete")).unionByName(faults(split_rejects, "split:")).unionByName(faults(drop_rejects, "delete:"))
 
 
+def timeline_edit_log(spark: SparkSession, folder: str) -> DataFrame:
+    """Six edits of every order in turn, some of positions that earlier ones made or took; positions and rejects."""
+    v = F.col("variant_id")
+    places = positions(spark, folder)[0].filter((v % 25 != 3) & (v % 10 != 0))
+    second = places.filter("ordinal = 2").select("variant_id", F.col("start_ms").alias("a"))
+    absorb = F.when(v % 5 == 1, "previous").when(v % 5 == 2, "next")
+    edit = lambda no, kind, pid, at=None, new=None, side=None: F.struct(
+        F.lit(no).alias("edit_no"), F.lit(kind).alias("kind"), pid.cast("long").alias("position_id"),
+        (F.lit(None) if at is None else at).cast("long").alias("at_ms"), F.lit(new).cast("long").alias("new_id"), (F.lit(None) if side is None else side).cast("string").alias("absorb"),
+    )
+    log = F.array(
+        edit(1, "split", F.lit(2), F.col("a") + v % 20, 100), edit(2, "delete", v % 4 + 1, side=absorb), edit(3, "split", F.lit(100), F.col("a") + v % 20 + v % 7, 101),
+        edit(4, "delete", F.lit(100), side=F.lit("next")), edit(5, "delete", F.lit(2), side=F.lit("previous")), edit(6, "delete", F.lit(1)),
+    )
+    edits = places.select("variant_id").distinct().join(second, "variant_id", "left").select("variant_id", F.explode(log).alias("e")).select("variant_id", "e.*")
+    kept, rejects = op.edited_positions(places, edits)
+    return kept.select("variant_id", F.lit("kept").alias("kind"), "position_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b")).unionByName(
+        rejects.select("variant_id", F.col("reason").alias("kind"), "position_id", F.col("edit_no").cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
+    )
+
+
+def clerk(key: Column) -> Column:
+    return F.concat(F.lit("clerk "), key)
+
+
+def contract_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """A nested contract per order; what is not declared and the time of resolution do not count."""
+    o = F.col("o_orderkey")
+    asset = lambda key: F.struct(key.alias("asset_id"), F.col("o_orderdate").cast("string").alias("resolved_at"))
+    output = lambda aspect, no: F.struct(F.lit(aspect).alias("aspect"), F.lit(no).alias("index"))
+    limits = lambda low: F.struct(low.cast("double").alias("min_s"), F.when(o % 2 == 0, o * 2.5).cast("double").alias("max_s"))
+    contract = F.struct(
+        F.struct(F.when(o % 3 == 0, F.lit("es\n\"ñ")).alias("language"), F.array("o_orderstatus").alias("subtitles")).alias("languages"),
+        F.when(o % 4 == 0, "internal").alias("audio_policy"),
+        F.when(o % 5 == 0, F.array(output("1:1", 0), output("9:16", 1))).otherwise(F.array(output("9:16", 0))).alias("outputs"),
+        F.struct(F.array(asset(clerk(F.col("o_custkey")))).alias("required"), F.array().cast("array<struct<asset_id:string,resolved_at:string>>").alias("optional")).alias("assets"),
+        F.struct((o % 2 == 0).alias("required"), (o % 10 / 20).alias("scale_ratio"), F.when(o % 7 == 0, "center_bottom").otherwise("top_right").alias("position")).alias("watermark"),
+        F.create_map(F.lit("tiktok"), limits(o % 9), F.lit("reels"), limits(o % 8 / 1000000)).alias("platforms"),
+        (o % 6 == 0).alias("brand_safety_required"),
+    )
+    return op.contract_digest(table(spark, folder, "orders").select(o.alias("contract_id"), contract.alias("contract"))).select("contract_id", "digest")
+
+
+def input_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """One run per order; its note and thread count are not on the list."""
+    o = F.col("o_orderkey")
+    runs = table(spark, folder, "orders").select(
+        o.alias("run_id"), F.concat(F.lit("v/"), o % 50).alias("url"), F.sha2(clerk(F.col("o_custkey")), 256).alias("contract"), F.lit(None).cast("string").alias("face_model_path"),
+        F.struct((o % 2 == 0).alias("locked"), F.when(o % 3 == 0, clerk(F.col("o_custkey"))).alias("track_path"), F.lit(None).cast("string").alias("track_url"), (o % 5 / 4).alias("mix_ratio"), F.col("o_orderstatus").alias("note")).alias("audio"),
+        F.struct(F.lit("ffmpeg").alias("ffmpeg"), F.lit(600.0).alias("timeout_s"), F.lit(False).alias("nvenc_available"), F.lit(0.5625).alias("target_aspect"), F.lit(0.01).alias("aspect_tolerance"), o.alias("threads")).alias("render"),
+        F.when(o % 4 == 1, F.array(F.struct((o % 30).cast("double").alias("start_sec"), (o % 30 + 4.5).cast("double").alias("end_sec"), F.lit("q").alias("quote")))).alias("ranges"),
+        (o % 2 == 1).alias("repost_mode"), F.lit(None).cast("string").alias("watermark"),
+        F.when(o % 6 == 0, F.struct(F.lit("line").alias("text"))).alias("lyric_video"), F.when(o % 8 == 0, F.lit("wide")).alias("split_screen"),
+    )
+    return op.input_fingerprint(runs).select("run_id", "fingerprint")
+
+
 def stage_durations(spark: SparkSession, folder: str) -> DataFrame:
     stages = F.array(*[F.lit(s) for s in ("download", *op.SOURCE_STAGES)])
     events = table(spark, folder, "orders").select(
@@ -239,7 +296,8 @@ def expired_folders(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "desired_centres": desired_centres, "crop_track": crop_track, "crop_track_tall": crop_track_tall, "track_position": track_position, "geometry": geometry, "band_heights": band_heights,
-    "caption_styles": caption_styles, "timeline_tiling": timeline_tiling, "timeline_edits": timeline_edits, "stage_durations": stage_durations,
+    "caption_styles": caption_styles, "timeline_tiling": timeline_tiling, "timeline_edits": timeline_edits, "timeline_edit_log": timeline_edit_log, "contract_digests": contract_digests,
+    "input_fingerprints": input_fingerprints, "stage_durations": stage_durations,
     "job_faults": job_faults, "queue_summary": queue_summary, "job_readiness": job_readiness, "stale_stages": stale_stages, "segment_reuse": segment_reuse,
     "evidence_review": evidence_review, "revisions": revisions, "cache_hits": cache_hits, "brief_digests": brief_digests, "names": names,
     "expired_folders": expired_folders,
@@ -315,6 +373,36 @@ ORACLES = {
         UNION ALL SELECT 'delete', variant_id, count(*) - (any_value(variant_id) IN (SELECT variant_id FROM dv WHERE reason IS NULL))::INT, sum(b - a)::BIGINT FROM d GROUP BY variant_id
         UNION ALL SELECT 'split:not_inside', -1, count(*), 0 FROM s WHERE asked AND NOT ok HAVING count(*) > 0
         UNION ALL SELECT 'delete:' || reason, -1, count(*), 0 FROM dv WHERE reason IS NOT NULL GROUP BY reason""",
+    "timeline_edit_log": f"""WITH RECURSIVE {_POS}, q AS (SELECT variant_id, list(struct_pack(pid := position_id::BIGINT, a := a::BIGINT, b := b::BIGINT) ORDER BY ordinal) AS ps, max(a) FILTER (ordinal = 2) AS s
+            FROM pos WHERE variant_id % 25 <> 3 AND variant_id % 10 <> 0 GROUP BY 1),
+        ed AS (SELECT variant_id, 1 AS no, true AS cut, 2 AS pid, s + variant_id % 20 AS x, 100 AS fresh, NULL AS side FROM q
+            UNION ALL SELECT variant_id, 2, false, variant_id % 4 + 1, NULL, NULL, CASE variant_id % 5 WHEN 1 THEN 'previous' WHEN 2 THEN 'next' END FROM q
+            UNION ALL SELECT variant_id, 3, true, 100, s + variant_id % 20 + variant_id % 7, 101, NULL FROM q
+            UNION ALL SELECT variant_id, 4, false, 100, NULL, NULL, 'next' FROM q UNION ALL SELECT variant_id, 5, false, 2, NULL, NULL, 'previous' FROM q
+            UNION ALL SELECT variant_id, 6, false, 1, NULL, NULL, NULL FROM q),
+        st AS (SELECT variant_id, 0 AS no, ps, NULL::VARCHAR AS reason, NULL::BIGINT AS bad FROM q
+            UNION ALL SELECT variant_id, no, CASE WHEN reason IS NOT NULL THEN ps
+                    WHEN cut THEN list_concat(list_concat(ps[:i - 1], [struct_pack(pid := p.pid, a := p.a, b := x::BIGINT), struct_pack(pid := fresh::BIGINT, a := x::BIGINT, b := p.b)]), ps[i + 1:])
+                    WHEN i = 1 OR (i < n AND side = 'next') THEN list_concat(list_concat(ps[:i - 1], [struct_pack(pid := ps[i + 1].pid, a := p.a, b := ps[i + 1].b)]), ps[i + 2:])
+                    ELSE list_concat(list_concat(ps[:i - 2], [struct_pack(pid := ps[i - 1].pid, a := ps[i - 1].a, b := p.b)]), ps[i + 1:]) END, reason, pid
+                FROM (SELECT *, CASE WHEN i = 0 THEN 'not_found' WHEN cut AND NOT coalesce(x > p.a AND x < p.b, false) THEN 'not_inside' WHEN NOT cut AND n = 1 THEN 'only_position'
+                    WHEN NOT cut AND i > 1 AND i < n AND side IS NULL THEN 'absorb_needed' END AS reason
+                    FROM (SELECT *, ps[i] AS p FROM (SELECT st.variant_id, ed.no, st.ps, ed.cut, ed.pid::BIGINT AS pid, ed.x, ed.fresh, ed.side, len(st.ps) AS n,
+                        coalesce(list_position(list_transform(st.ps, lambda z: z.pid), ed.pid::BIGINT), 0) AS i FROM st JOIN ed ON ed.variant_id = st.variant_id AND ed.no = st.no + 1))))
+        SELECT variant_id, 'kept' AS kind, r.pid AS position_id, r.a AS a, r.b AS b FROM (SELECT variant_id, unnest(ps) AS r FROM st WHERE no = 6)
+        UNION ALL SELECT variant_id, reason, bad, no, NULL FROM st WHERE reason IS NOT NULL""",
+    "contract_digests": """WITH c AS (SELECT *, 'clerk ' || o_custkey AS o_clerk, o_orderkey AS o, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey * 2.5)::DOUBLE::VARCHAR ELSE 'null' END AS hi FROM orders)
+        SELECT o AS contract_id, sha256('{"assets":{"optional":[],"required":[{"asset_id":"' || o_clerk || '"}]}' || CASE WHEN o % 4 = 0 THEN ',"audio_policy":"internal"' ELSE '' END
+            || CASE WHEN o % 6 = 0 THEN ',"brand_safety_required":true' ELSE '' END || ',"languages":{' || CASE WHEN o % 3 = 0 THEN '"language":"es\\n\\"ñ",' ELSE '' END || '"subtitles":["' || o_orderstatus || '"]}'
+            || CASE WHEN o % 5 = 0 THEN ',"outputs":[{"aspect":"1:1","index":0},{"aspect":"9:16","index":1}]' ELSE '' END
+            || ',"platforms":{"reels":{"max_s":' || hi || ',"min_s":' || (o % 8 / 1000000)::DOUBLE::VARCHAR || '},"tiktok":{"max_s":' || hi || ',"min_s":' || (o % 9)::DOUBLE::VARCHAR || '}}'
+            || ',"watermark":{' || CASE WHEN o % 7 = 0 THEN '"position":"center_bottom",' ELSE '' END || '"required":' || (o % 2 = 0)::VARCHAR || CASE WHEN o % 10 <> 4 THEN ',"scale_ratio":' || (o % 10 / 20)::DOUBLE::VARCHAR ELSE '' END || '}}') AS digest FROM c""",
+    "input_fingerprints": """WITH c AS (SELECT *, 'clerk ' || o_custkey AS o_clerk, o_orderkey AS o FROM orders)
+        SELECT o AS run_id, sha256('{"audio":{"locked":' || (o % 2 = 0)::VARCHAR || ',"mix_ratio":' || (o % 5 / 4)::DOUBLE::VARCHAR || ',"track_path":' || CASE WHEN o % 3 = 0 THEN '"' || o_clerk || '"' ELSE 'null' END || ',"track_url":null}'
+            || ',"contract":"' || sha256(o_clerk) || '","download":{"download_section_mode":' || (o % 4 = 1)::VARCHAR || ',"timestamp_ranges":['
+            || CASE WHEN o % 4 = 1 THEN '{"end_sec":' || (o % 30 + 4.5)::DOUBLE::VARCHAR || ',"start_sec":' || (o % 30)::DOUBLE::VARCHAR || '}' ELSE '' END || ']},"face_model_path":null'
+            || CASE WHEN o % 6 = 0 THEN ',"lyric_video":{"text":"line"}' ELSE '' END || ',"pipeline":"long_video","render":{"aspect_tolerance":0.01,"ffmpeg":"ffmpeg","nvenc_available":false,"target_aspect":0.5625,"timeout_s":600.0}'
+            || ',"repost_mode":' || (o % 2 = 1)::VARCHAR || CASE WHEN o % 8 = 0 THEN ',"split_screen":"wide"' ELSE '' END || ',"url":"v/' || o % 50 || '","watermark":null}') AS fingerprint FROM c""",
     "stage_durations": """WITH e AS (SELECT o_custkey AS run_id, ['download', 'transcribe', 'moments', 'select', 'reframe', 'subtitles', 'completed'][o_orderkey % 7 + 1] AS stage, o_orderkey % 3 AS process,
             floor(o_totalprice)::BIGINT AS ms FROM orders), m AS (SELECT *, max(process) OVER (PARTITION BY run_id, stage) AS top FROM e)
         SELECT run_id, stage, sum(ms)::BIGINT AS elapsed_ms, any_value(process) AS process FROM m WHERE process = top GROUP BY 1, 2""",

@@ -60,14 +60,15 @@ def conflicts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def range_items(spark: SparkSession, folder: str) -> DataFrame:
-    """One declared range per contract divisible by six, quoting the brief's cut line."""
+    """One declared range per contract divisible by six, quoting the brief's cut line; every ninth of them has no end."""
     i = F.col("contract_id")
+    ends = i % 54 != 0
     a, b = i * 7 % 200, i * 7 % 200 + i % 5 * 10
     shared = F.concat(clock(a), F.lit(" - "), clock(b))
     return briefs(spark, folder).filter(i % 6 == 0).select(
-        "contract_id", F.lit(0).alias("idx"), clock(a).alias("start_value"), clock(b + F.when(i % 18 == 6, 1).otherwise(0)).alias("end_value"),
-        shared.alias("start_quote"), F.when(i % 24 == 12, "nowhere 9:99").otherwise(shared).alias("end_quote"),
-        F.when(i % 36 == 18, "CONFLICT").otherwise("explicit").alias("start_confidence"), F.lit("inferred").alias("end_confidence"),
+        "contract_id", F.lit(0).alias("idx"), clock(a).alias("start_value"), F.when(ends, clock(b + F.when(i % 18 == 6, 1).otherwise(0))).alias("end_value"),
+        shared.alias("start_quote"), F.when(ends, F.when(i % 24 == 12, "nowhere 9:99").otherwise(shared)).alias("end_quote"),
+        F.when(i % 36 == 18, "CONFLICT").otherwise("explicit").alias("start_confidence"), F.when(ends, F.lit("inferred")).alias("end_confidence"),
     )
 
 
@@ -267,7 +268,7 @@ ORACLES = {
         SELECT i AS contract_id, count(fault) AS n_faults, count(fault) = 0 AS accepted, arg_min(fault, n) FILTER (fault IS NOT NULL) AS first_fault FROM j GROUP BY i""",
     "conflicts": f"WITH {_BR} SELECT i AS contract_id, 'conflict' AS code, path AS field, row_number() OVER (PARTITION BY i ORDER BY walk) - 1 AS walk FROM cf",
     "time_ranges": f"""WITH {_BR}, d AS (SELECT i, a, b, b + CASE WHEN i % 18 = 6 THEN 1 ELSE 0 END AS e2,
-            CASE WHEN i % 36 = 18 THEN 'conflict' END AS c1, CASE WHEN i % 24 = 12 THEN 'invalid_contract' END AS c2 FROM br WHERE i % 6 = 0),
+            CASE WHEN i % 54 = 0 THEN 'missing_required' WHEN i % 36 = 18 THEN 'conflict' END AS c1, CASE WHEN i % 54 <> 0 AND i % 24 = 12 THEN 'invalid_contract' END AS c2 FROM br WHERE i % 6 = 0),
         dj AS (SELECT *, CASE WHEN c1 IS NULL AND c2 IS NULL AND (NOT a < e2 OR e2 <> b) THEN 'invalid_contract' END AS c3 FROM d),
         fr AS (SELECT * FROM br WHERE i % 3 = 0 AND i % 6 <> 0 AND NOT (i % 15 = 0 AND i IN (SELECT i FROM cf)))
         SELECT i AS contract_id, 'range' AS kind, a::DOUBLE AS start_s, e2::DOUBLE AS end_s FROM dj WHERE c1 IS NULL AND c2 IS NULL AND c3 IS NULL
