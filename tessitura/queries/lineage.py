@@ -130,9 +130,9 @@ def timeline_edits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def timeline_edit_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Six edits of every order in turn, some of positions that earlier ones made or took; positions and rejects."""
+    """Six edits of every order in turn, some of positions that earlier ones made or took, also where ids repeat or times break."""
     v = F.col("variant_id")
-    places = positions(spark, folder)[0].filter((v % 25 != 3) & (v % 10 != 0))
+    places = positions(spark, folder)[0]
     second = places.filter("ordinal = 2").select("variant_id", F.col("start_ms").alias("a"))
     absorb = F.when(v % 5 == 1, "previous").when(v % 5 == 2, "next")
     edit = lambda no, kind, pid, at=None, new=None, side=None: F.struct(
@@ -374,7 +374,7 @@ ORACLES = {
         UNION ALL SELECT 'split:not_inside', -1, count(*), 0 FROM s WHERE asked AND NOT ok HAVING count(*) > 0
         UNION ALL SELECT 'delete:' || reason, -1, count(*), 0 FROM dv WHERE reason IS NOT NULL GROUP BY reason""",
     "timeline_edit_log": f"""WITH RECURSIVE {_POS}, q AS (SELECT variant_id, list(struct_pack(pid := position_id::BIGINT, a := a::BIGINT, b := b::BIGINT) ORDER BY ordinal) AS ps, max(a) FILTER (ordinal = 2) AS s
-            FROM pos WHERE variant_id % 25 <> 3 AND variant_id % 10 <> 0 GROUP BY 1),
+            FROM pos GROUP BY 1),
         ed AS (SELECT variant_id, 1 AS no, true AS cut, 2 AS pid, s + variant_id % 20 AS x, 100 AS fresh, NULL AS side FROM q
             UNION ALL SELECT variant_id, 2, false, variant_id % 4 + 1, NULL, NULL, CASE variant_id % 5 WHEN 1 THEN 'previous' WHEN 2 THEN 'next' END FROM q
             UNION ALL SELECT variant_id, 3, true, 100, s + variant_id % 20 + variant_id % 7, 101, NULL FROM q
