@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessitura.operators import audit, captions, segments, spans, track
 from tessitura.params import SegmentParams
+from tessitura.plans import scan
 
 WORDS = "stream_id long, token_id long, start_s double, end_s double, text string, confidence double"
 
@@ -289,3 +290,30 @@ def test_crop_sizes(spark):
     got = frame.select(track.crop_size(F.col("w"), F.col("h")).alias("c")).collect()
     assert [(r.c.width, r.c.height) for r in got[:3]] == [(608, 1080), (404, 720), (1080, 1920)]
     assert got[3].c.reason == "source_too_small"
+
+
+def test_short_clips_share_calls_and_batches(spark):
+    rows = make_words(3, streams=5)
+    frame = spark.createDataFrame(rows, WORDS).withColumnRenamed("token_id", "seq")
+    want = {(s, line[0][1], len(line)) for s in range(5) for line in lines_of([r for r in rows if r[0] == s])}
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        lined = captions.caption_lines(frame, ["stream_id"])
+        plan = lined._jdf.queryExecution().toString()
+        assert "FlatMapGroupsInPandas" not in plan and "MapInArrow" in plan
+        got = lined.groupBy("stream_id", "line_seq").count().collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert {(r.stream_id, r.line_seq, r["count"]) for r in got} == want
+
+
+def test_carries_of_few_and_of_many_blocks_agree(spark, monkeypatch):
+    rows = make_words(4, streams=3, n=300)
+    frame = spark.createDataFrame(rows, WORDS)
+    found = []
+    for limit in (64, 0):
+        monkeypatch.setattr(scan, "KEY_BLOCKS", limit)
+        linked = segments.linked_words(frame, [2.0], ["token_id"], F.floor(F.col("token_id") / 16).cast("long"))
+        found.append(sorted(linked.select("stream_id", "seq", "prev_start_s", "prev_end_s", "island_0").collect(), key=lambda r: (r[0], r[1])))
+    assert found[0] == found[1] and len(found[0]) == len(rows)
