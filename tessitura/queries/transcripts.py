@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessitura.operators.spans import as_ms, ordered_text
 from tessitura.queries.common_sql import with_words
 from tessitura.sources.tables import table, words
-from tessitura.sources.words import parse_transcripts
+from tessitura.sources.words import judged_words
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,13 +33,12 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 def transcript_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Words and their times of every sound transcript, the first fault of every other."""
-    kept, rejects = parse_transcripts(files(spark, folder))
-    sums = kept.groupBy("stream_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(as_ms(F.col("start_s")) + as_ms(F.col("end_s"))).alias("sum_ms"), F.sum(F.length("text")).alias("n_chars"),
-        F.max(F.concat_ws(":", "language", F.col("duration_s").cast("string"))).alias("reason"),
+    judged = judged_words(files(spark, folder)).filter(F.col("w").isNotNull() | F.col("reason").isNotNull())
+    times = as_ms(F.col("w.start_s")) + as_ms(F.col("w.end_s"))
+    return judged.groupBy("stream_id").agg(
+        F.count("w").alias("n"), F.coalesce(F.sum(times), F.lit(0)).alias("sum_ms"), F.coalesce(F.sum(F.length("w.text")), F.lit(0)).alias("n_chars"),
+        F.max(F.coalesce("reason", F.concat_ws(":", "language", F.col("duration_s").cast("string")))).alias("reason"),
     )
-    none = [F.lit(0).cast("long").alias(c) for c in ("n", "sum_ms", "n_chars")]
-    return sums.unionByName(rejects.select("stream_id", *none, "reason"))
 
 
 QUERIES = {"transcript_scan": transcript_scan}

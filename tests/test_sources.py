@@ -111,3 +111,16 @@ def test_transcripts_of_wrong_types_are_rejected(spark):
     kept = rows.collect()
     assert [(r.stream_id, r.token_id, r.start_s, r.end_s, r.text, r.confidence, r.language, r.duration_s) for r in kept] == [("ok", 0, 0.0, 1.5, "a", 0.1, "es", 2.5)]
     assert {r.stream_id: r.reason for r in rejects.collect()} == {k: k.strip() for k in cases if k not in ("ok", "empty")}
+
+
+def test_transcripts_are_judged_in_their_own_rows(spark):
+    whole = '{"words":[{"start_s":"0","end_s":1.5,"text":{"a":1},"confidence":0.5}]}'
+    files = [("a", whole), ("b", whole.replace("1.5", "[1.5]")), ("c", whole.replace('"0"', "null")), ("d", '{"words":[]}'), ("e", "3"), ("f", '{"words":"[1]"}')]
+    kept, rejects = words.parse_transcripts(spark.createDataFrame(files, "stream_id string, content string"))
+    for frame in (kept, rejects):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+    assert [(r.stream_id, r.token_id, r.start_s, r.end_s, r.text) for r in kept.collect()] == [("a", 0, 0.0, 1.5, '{"a":1}')]
+    assert sorted(map(tuple, rejects.collect())) == [
+        ("b", "word 0: end_s is not numeric"), ("c", "word 0: start_s is not numeric"), ("e", "transcript is not an object"), ("f", "words is not a list"),
+    ]
