@@ -96,27 +96,39 @@ def caption_segments(files: DataFrame) -> DataFrame:
     )
 
 
-def caption_events_strict(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, rejects): any malformed line fails its whole file; overrides stay in the text."""
-    rows = _dialogue(files, True).select(
-        "file_id",
-        "line_no",
-        strict_caption_clock(F.get("fields", F.lit(1))).alias("start_s"),
-        strict_caption_clock(F.get("fields", F.lit(2))).alias("end_s"),
-        trimmed(F.get("fields", F.lit(9))).alias("text"),
-        (F.size("fields") < 10).alias("short"),
+def judged_scripts(files: DataFrame) -> DataFrame:
+    """``file_id, events, line, reason``: the dialogue of each file, or its first fault and null ``events``; each file in its own row."""
+    lines = F.transform(F.split("content", LINE_END), lambda x, i: F.struct(i.alias("line_no"), trimmed(x).alias("line")))
+    spoken = F.filter(lines, lambda x: x["line"].startswith(DIALOGUE))
+    split = F.transform(spoken, lambda x: F.struct(x["line_no"].alias("line_no"), F.split(x["line"], ",", 10).alias("f")))
+    read = F.transform(
+        split,
+        lambda x: F.struct(
+            x["line_no"].alias("line_no"),
+            strict_caption_clock(F.get(x["f"], F.lit(1))).alias("start_s"),
+            strict_caption_clock(F.get(x["f"], F.lit(2))).alias("end_s"),
+            trimmed(F.get(x["f"], F.lit(9))).alias("text"),
+            (F.size(x["f"]) < 10).alias("short"),
+        ),
     )
-    fault = F.when(F.col("short"), "malformed_dialogue").when(
-        F.col("start_s").isNull() | F.col("end_s").isNull() | (F.col("end_s") <= F.col("start_s")), "bad_time"
-    )
-    judged = rows.withColumn("fault", fault)
-    rejects = (
-        judged.filter(F.col("fault").isNotNull())
-        .groupBy("file_id")
-        .agg(F.min(F.struct((F.col("line_no") + 1).alias("line"), "fault")).alias("f"))
-        .select("file_id", "f.line", F.col("f.fault").alias("reason"))
+
+    def faulty(x: Column) -> Column:
+        return x["short"] | x["start_s"].isNull() | x["end_s"].isNull() | (x["end_s"] <= x["start_s"])
+
+    found = files.select("file_id", read.alias("events")).withColumn("_bad", F.get(F.filter("events", faulty), F.lit(0)))
+    return found.select(
+        "file_id",
+        F.when(F.col("_bad").isNull(), F.col("events")).alias("events"),
+        (F.col("_bad.line_no") + 1).alias("line"),
+        F.when(F.col("_bad.short"), "malformed_dialogue").when(F.col("_bad").isNotNull(), "bad_time").alias("reason"),
     )
-    events = judged.join(rejects.select("file_id"), "file_id", "left_anti").select("file_id", "line_no", "start_s", "end_s", "text")
+
+
+def caption_events_strict(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, rejects): any malformed line fails its whole file; overrides stay in the text."""
+    judged = judged_scripts(files)
+    rejects = judged.filter(F.col("reason").isNotNull()).select("file_id", "line", "reason")
+    events = judged.select("file_id", F.explode("events").alias("e")).select("file_id", *[F.col("e")[c].alias(c) for c in ("line_no", "start_s", "end_s", "text")])
     return events, rejects
 
 

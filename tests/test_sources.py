@@ -124,3 +124,13 @@ def test_transcripts_are_judged_in_their_own_rows(spark):
     assert sorted(map(tuple, rejects.collect())) == [
         ("b", "word 0: end_s is not numeric"), ("c", "word 0: start_s is not numeric"), ("e", "transcript is not an object"), ("f", "words is not a list"),
     ]
+
+
+def test_scripts_are_judged_in_their_own_rows(spark):
+    good = "Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,a, b"
+    files = [("a", f"x\n{good}\n  {good}\n"), ("b", f"{good}\nDialogue: 0,1\n{good.replace('02', '00')}"), ("c", good.replace("02", "00")), ("d", "x")]
+    events, rejects = timed_text.caption_events_strict(spark.createDataFrame(files, "file_id string, content string"))
+    for frame in (events, rejects):
+        assert "Join" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, events.collect())) == [("a", 1, 1.0, 2.0, "a, b"), ("a", 2, 1.0, 2.0, "a, b")]
+    assert sorted(map(tuple, rejects.collect())) == [("b", 2, "malformed_dialogue"), ("c", 1, "bad_time")]
