@@ -317,3 +317,13 @@ def test_carries_of_few_and_of_many_blocks_agree(spark, monkeypatch):
         linked = segments.linked_words(frame, [2.0], ["token_id"], F.floor(F.col("token_id") / 16).cast("long"))
         found.append(sorted(linked.select("stream_id", "seq", "prev_start_s", "prev_end_s", "island_0").collect(), key=lambda r: (r[0], r[1])))
     assert found[0] == found[1] and len(found[0]) == len(rows)
+
+
+def test_short_spans_share_calls(spark):
+    rows = make_words(6, streams=4, n=400)
+    frame = spark.createDataFrame(rows, WORDS)
+    for origin in ("span", "absolute"):
+        pieces = segments.speech_pieces(frame, SegmentParams(split_origin=origin, max_clip_s=20.0))
+        assert "FlatMapGroupsInPandas" not in pieces._jdf.queryExecution().toString()
+        want = {(s, p[0][2], p[-1][3]) for s in range(4) for i in islands_of([r for r in rows if r[0] == s], 2.0) for p in cut_span(i, 20.0, origin != "absolute")}
+        assert {(r.stream_id, r.start_s, r.end_s) for r in pieces.collect()} == want
