@@ -109,18 +109,22 @@ def phrase_positions(words: DataFrame, phrases: Sequence[str] = STOCK_PHRASES) -
     needs no carry. ``token_id`` must be dense.
     """
     longest = max(len(p.split(" ")) for p in phrases)
+    known = sorted({part for p in phrases for part in p.split(" ")})
     block = row_block(F.col("token_id"))
-    lapped = words.select(
-        "stream_id",
-        "token_id",
-        "start_s",
-        "confidence",
-        normal_token(F.col("text")).alias("token"),
-        block.alias("own"),
-        F.explode(F.array_distinct(F.array(row_block(F.greatest(F.col("token_id") - (longest - 1), F.lit(0))), block))).alias("block"),
+    # Only words of some phrase can be part of one, so the others are never copied, shuffled or sorted.
+    lapped = (
+        words.select("stream_id", "token_id", "start_s", "confidence", normal_token(F.col("text")).alias("token"))
+        .filter(F.col("token").isin(*known))
+        .select(
+            "*",
+            block.alias("own"),
+            F.explode(F.array_distinct(F.array(row_block(F.greatest(F.col("token_id") - (longest - 1), F.lit(0))), block))).alias("block"),
+        )
     )
     window = Window.partitionBy("stream_id", "block").orderBy("token_id")
-    tokens = [F.col("token"), *[F.lead("token", k).over(window) for k in range(1, longest)]]
+    # Ids are dense, so k rows on is k words on only where the id is k higher; else a word between was left out.
+    ahead = [F.when(F.lead("token_id", k).over(window) == F.col("token_id") + k, F.lead("token", k).over(window)) for k in range(1, longest)]
+    tokens = [F.col("token"), *ahead]
     spread = lapped.select("*", *[t.alias(f"t{k}") for k, t in enumerate(tokens)]).filter(F.col("own") == F.col("block"))
     hits = []
     for number, phrase in enumerate(phrases):

@@ -1,9 +1,15 @@
 """Steps whose work must grow no faster than their rows."""
 
-from tessitura.operators import spans
+import random
+
+from tessitura.operators import audit, spans
 from tests.test_folds import WORDS
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_span_costs_the_same_however_long_it_is(spark):
     words = spark.createDataFrame([(1, k, k * 50.0, k * 50.0 + 1, "w", 0.5) for k in range(40)], WORDS)
     # Two variants of the stream, then more than meet by key alone.
@@ -24,3 +30,16 @@ def test_corrections_of_a_stream_hold_for_each_of_its_variants(spark):
     want = spans.corrected_words(clipped.drop("stream_id"), each, variants.drop("stream_id")).select(*names).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert {r.variant_id for r in got if r.text == "new"} == {10, 11} and {r.variant_id for r in got if r.text == "old"} == {20}
+
+
+def test_phrases_look_only_at_words_of_phrases(spark):
+    rng = random.Random(4)
+    rows = [(s, k, float(k), k + 0.5, rng.choice(["a", "b", "c", "x", "Y.", "z"]), 0.5) for s in range(2) for k in range(9000)]
+    phrases = ("a b c a b", "a a", "b", "c b")
+    got = audit.phrase_positions(spark.createDataFrame(rows, WORDS), phrases)
+    want = set()
+    for s in range(2):
+        texts = [r[4] for r in rows if r[0] == s]
+        want |= {(s, k, p) for p in phrases for k in range(len(texts)) if texts[k : k + len(p.split())] == p.split()}
+    assert {(r.stream_id, r.token_id, r.phrase) for r in got.collect()} == want
+    assert " IN (a,b,c)" in plan_of(got).split("Window", 1)[1]
