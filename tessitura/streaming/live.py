@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,8 @@ from tessitura.params import MAX_GAP_S
 from tessitura.plans.scan import shared_folder
 
 SPAN_SCHEMA = "stream_id string, kind string, start_s double, end_s double, n_words long, token_id long"
-SPAN_STATE = "start_s double, last_start double, last_end double, n_words long, zero_ms long"
+SPAN_STATE = "opened string"
+BUCKETS = 2048
 
 
 def chat_density(messages: DataFrame, window_s: float, lateness: str) -> DataFrame:
@@ -32,42 +35,66 @@ def chat_density(messages: DataFrame, window_s: float, lateness: str) -> DataFra
     )
 
 
-def live_spans(words: DataFrame, lateness_s: float = 5.0, max_gap_s: float = MAX_GAP_S) -> DataFrame:
+def place_words(rows: pd.DataFrame, opened: dict, passed: int, max_gap_s: float) -> list[tuple]:
+    """Closed spans and late words of one batch; ``opened`` (stream: start, last start, last end, words, clock's zero) is moved on."""
+    rows = rows.sort_values(["start_s", "end_s", "token_id"], kind="stable")
+    codes, streams = pd.factorize(rows["stream_id"], use_na_sentinel=False)
+    order = np.argsort(codes, kind="stable")
+    code, rows = codes[order], rows.iloc[order]
+    start, end, at_ms, token = (rows[c].to_numpy() for c in ("start_s", "end_s", "at_ms", "token_id"))
+    names = [None if pd.isna(s) else s for s in streams]
+    nothing = (np.nan, np.nan, np.nan)
+    last_start, last_end = (np.array([opened.get(s, nothing)[i] for s in names], dtype=float) for i in (1, 2))
+    known = np.array([s in opened for s in names], dtype=bool)
+    late = (at_ms < passed) | (start < last_start[code])
+    out = [(names[c], "late", a, b, 1, int(t)) for c, a, b, t in zip(code[late].tolist(), start[late].tolist(), end[late].tolist(), token[late].tolist(), strict=True)]
+    code, start, end, at_ms = (x[~late] for x in (code, start, end, at_ms))
+    if not len(code):
+        return out
+    first = np.append(True, code[1:] != code[:-1])
+    silence = start - np.where(first, last_end[code], np.append(np.nan, end[:-1]))
+    opens = (silence > max_gap_s) | (first & ~known[code])
+    heads = np.flatnonzero(opens | first)
+    tails = np.append(heads[1:], len(code)) - 1
+    zero = at_ms[heads].astype("int64") - np.rint(start[heads] * 1000).astype("int64")
+    found = zip(code[heads].tolist(), opens[heads].tolist(), start[heads].tolist(), start[tails].tolist(), end[tails].tolist(), (tails - heads + 1).tolist(), zero.tolist(), strict=True)
+    for c, fresh, begin, newest, upto, n, zero_ms in found:
+        old = opened.get(names[c])
+        if fresh and old is not None:
+            out.append((names[c], "span", old[0], old[2], old[3], None))
+        opened[names[c]] = [begin, newest, upto, n, zero_ms] if fresh else [old[0], newest, upto, old[3] + n, old[4]]
+    return out
+
+
+def live_spans(words: DataFrame, lateness_s: float = 5.0, max_gap_s: float = MAX_GAP_S, buckets: int = BUCKETS) -> DataFrame:
     """Silence islands of live word streams, plus the words that came too late to place.
 
     ``words``: ``stream_id, token_id, start_s, end_s, ts`` with ``ts`` the word's start as event time.
-    State per stream is one open span. It closes when a word starts more than the gap after the last
+    Each stream has one open span. It closes when a word starts more than the gap after the last
     end, or when the watermark passes that end by the gap and the lateness. A word that starts before
     the last one already placed, or behind the watermark, is reported as ``late``: every word is counted in one span or
     told as late, none is lost.
 
+    A call per stream and batch costs milliseconds however few its words, so streams are dealt over ``buckets`` and one state
+    holds the open spans of a bucket's streams; its timer is the earliest of theirs. The number holds for a query's whole life.
+
     The engine drops rows behind the watermark before an operator sees them. So each word comes twice: a tick whose
     event time moves the watermark, and the word itself without one, which is never dropped.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            start, _, end, n, _ = state.get
-            out.append((key[0], "span", start, end, n, None))
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        passed = state.getCurrentWatermarkMs()
+        opened = {stream: span for stream, *span in json.loads(state.get[0])} if state.exists else {}
+        out = [] if state.hasTimedOut else place_words(pd.concat([b[b["token_id"].notna()] for b in batches]), opened, passed, max_gap_s)
+        due = {stream: int((span[2] + max_gap_s + lateness_s) * 1000) + span[4] for stream, span in opened.items()}
+        for stream in [s for s, at in due.items() if at < passed]:
+            start, _, end, n, _ = opened.pop(stream)
+            out.append((stream, "span", start, end, n, None))
+        if opened:
+            state.update((json.dumps([[stream, *span] for stream, span in opened.items()]),))
+            state.setTimeoutTimestamp(max(min(due[stream] for stream in opened), passed + 1))
+        elif state.exists:
             state.remove()
-        else:
-            rows = pd.concat(list(batches))
-            rows = rows[rows["token_id"].notna()].sort_values(["start_s", "end_s", "token_id"])
-            opened, passed = (list(state.get) if state.exists else None), state.getCurrentWatermarkMs()
-            for token, start, end, at_ms in rows[["token_id", "start_s", "end_s", "at_ms"]].itertuples(index=False):
-                if at_ms < passed or (opened is not None and start < opened[1]):
-                    out.append((key[0], "late", start, end, 1, int(token)))
-                elif opened is None or start - opened[2] > max_gap_s:
-                    if opened is not None:
-                        out.append((key[0], "span", opened[0], opened[2], opened[3], None))
-                    opened = [start, start, end, 1, int(at_ms - round(start * 1000))]
-                else:
-                    opened = [opened[0], start, end, opened[3] + 1, opened[4]]
-            if opened is not None:
-                state.update(tuple(opened))
-                due = int((opened[2] + max_gap_s + lateness_s) * 1000) + opened[4]
-                state.setTimeoutTimestamp(max(due, passed + 1))
         frame = pd.DataFrame(out, columns=["stream_id", "kind", "start_s", "end_s", "n_words", "token_id"])
         yield frame.astype({"n_words": "Int64", "token_id": "Int64"})
 
@@ -77,9 +104,9 @@ def live_spans(words: DataFrame, lateness_s: float = 5.0, max_gap_s: float = MAX
     typed = words.select(F.col("stream_id").cast("string").alias("stream_id"), F.col("token_id").cast("long").alias("token_id"), "start_s", "end_s", "ts")
     return (
         typed.select("stream_id", F.explode(F.array(word, tick)).alias("r"))
-        .select("stream_id", "r.*")
+        .select("stream_id", "r.*", F.pmod(F.xxhash64("stream_id"), F.lit(buckets)).alias("bucket"))
         .withWatermark("clock", f"{lateness_s:g} seconds")
-        .groupBy("stream_id")
+        .groupBy("bucket")
         .applyInPandasWithState(step, SPAN_SCHEMA, SPAN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
 

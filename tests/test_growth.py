@@ -1,9 +1,12 @@
 """Steps whose work must grow no faster than their rows."""
 
 import random
+from datetime import timedelta
 
-from tessitura.operators import audit, spans
-from tests.test_folds import WORDS
+from tessitura.operators import audit, segments, spans
+from tessitura.streaming import live
+from tests.test_folds import WORDS, make_words
+from tests.test_streaming import EPOCH
 
 
 def plan_of(frame):
@@ -43,3 +46,17 @@ def test_phrases_look_only_at_words_of_phrases(spark):
         want |= {(s, k, p) for p in phrases for k in range(len(texts)) if texts[k : k + len(p.split())] == p.split()}
     assert {(r.stream_id, r.token_id, r.phrase) for r in got.collect()} == want
     assert " IN (a,b,c)" in plan_of(got).split("Window", 1)[1]
+
+
+def test_streams_that_share_a_state_keep_their_own_spans(spark, tmp_path):
+    rows = make_words(9, streams=30, n=60)
+    schema = "stream_id string, token_id long, start_s double, end_s double, ts timestamp"
+    timed = sorted([(str(r[0]), r[1], r[2], r[3], EPOCH + timedelta(seconds=r[2])) for r in rows], key=lambda r: r[4])
+    far = [("end", 0, 9e5, 9e5 + 1, EPOCH + timedelta(seconds=9e5))]
+    for n, part in enumerate((timed[:700], timed[700:1200], timed[1200:], far)):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/p{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = live.run_to_table(live.live_spans(stream, buckets=3), spark).filter("stream_id <> 'end'").collect()
+    want = segments.span_rows(segments.gap_islands(spark.createDataFrame(rows, WORDS), 2.0)).collect()
+    assert {r.kind for r in got} == {"span"}
+    assert {(r.stream_id, r.start_s, r.end_s, r.n_words) for r in got} == {(str(r.stream_id), r.start_s, r.end_s, r.n_words) for r in want}
