@@ -3,7 +3,10 @@
 import random
 from datetime import timedelta
 
+from pyspark.sql import functions as F
+
 from tessitura.operators import audit, segments, spans
+from tessitura.sources.words import words_from_documents
 from tessitura.streaming import live
 from tests.test_folds import WORDS, make_words
 from tests.test_streaming import EPOCH
@@ -60,3 +63,18 @@ def test_streams_that_share_a_state_keep_their_own_spans(spark, tmp_path):
     want = segments.span_rows(segments.gap_islands(spark.createDataFrame(rows, WORDS), 2.0)).collect()
     assert {r.kind for r in got} == {"span"}
     assert {(r.stream_id, r.start_s, r.end_s, r.n_words) for r in got} == {(str(r.stream_id), r.start_s, r.end_s, r.n_words) for r in want}
+
+
+def test_sweeps_leave_closes_with_their_stream(spark):
+    documents = spark.createDataFrame([(d, "en", "One two. Three, four! Five six seven? " * 9) for d in range(6)], "doc_id long, lang string, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stream = words_from_documents(documents)
+        bounds = stream.groupBy("stream_id").agg(F.lit(0.0).alias("from_s"), F.max("end_s").alias("to_s"))
+        found = audit.cut_spans(audit.in_file_order(stream, [0.6, 1.0]), bounds, [(0.6, "island_0"), (1.0, "island_1")], (10.0, None))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not [line for line in moved if "island" in line.split("ENSURE")[0]]
