@@ -450,7 +450,7 @@ def cut_spans(
     options = F.explode(F.array(*[F.struct(F.lit(i).alias("window_no"), F.lit(never if w is None else float(w)).alias("window_s")) for i, w in folded_windows]))
     shown_window = F.when(F.col("window_s") < never, F.col("window_s")).alias("window_s")
     small = edged if no_large else edged.join(large_keys, keys, "left_anti")
-    ends = F.transform(F.array_sort(F.collect_list("close")), lambda c: c["end_s"]).alias("ends")
+    ends = F.transform(F.sort_array(F.collect_list("close")), lambda c: c["end_s"]).alias("ends")
     groups = extents(small, ends).select("*", options.alias("w")).select("*", "w.window_no", "w.window_s")
     folded = _fold_cuts(groups).select(*keys, "window_no", "window_s", F.explode("spans").alias("s"))
     results.append(folded.select(*keys, "window_no", shown_window, "s.start_s", "s.end_s"))

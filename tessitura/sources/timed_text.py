@@ -21,15 +21,17 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_id"), F.col("value").alias("content"))
 
 
-def file_lines(files: DataFrame) -> DataFrame:
-    """``file_id, line_no, line`` in file order."""
-    return files.select("file_id", F.posexplode(F.split("content", LINE_END)).alias("line_no", "line"))
+def file_lines(files: DataFrame, outer: bool = False) -> DataFrame:
+    """``file_id, line_no, line`` in file order; with ``outer`` one row without a line for a file without content."""
+    explode = F.posexplode_outer if outer else F.posexplode
+    return files.select("file_id", explode(F.split("content", LINE_END)).alias("line_no", "line"))
 
 
 def parse_synced_lyrics(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, rejects). A line with k tags gives k rows; an offset holds for the lines after it.
 
-    One malformed tag fails its file, as does a file without any timed text.
+    One malformed tag fails its file, as does a file without any timed text. Both are read off the file's own rows, so
+    neither result scans the files twice.
     """
     line = trimmed(F.col("line"))
     tags = F.regexp_extract_all(line, F.lit(TIME_TAG), 1)
@@ -37,32 +39,34 @@ def parse_synced_lyrics(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     text = trimmed(F.regexp_extract(line, r"(?s)^.*\[[0-9:.]+\](.*)$", 1))
     offset = F.regexp_extract(line, OFFSET_TAG, 1)
     ordered = Window.partitionBy("file_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    scanned = file_lines(files).select(
+    scanned = file_lines(files, outer=True).select(
         "file_id",
         "line_no",
         F.last(F.when(offset != "", offset.try_cast("double") / 1000.0), ignorenulls=True).over(ordered).alias("offset_s"),
         F.when(offset == "", tags).alias("tags"),
         text.alias("text"),
     )
-    timed = (
-        scanned.filter((F.size("tags") > 0) & (F.col("text") != ""))
-        .select("file_id", "line_no", "text", F.coalesce("offset_s", F.lit(0.0)).alias("offset_s"), F.posexplode("tags").alias("tag_no", "tag"))
-        .withColumn("raw_s", lyric_clock(F.col("tag")))
-    )
-    bad = (
+    # Files without a tag keep a row, so that they are told.
+    held = F.when((F.size("tags") > 0) & (F.col("text") != ""), F.col("tags"))
+    timed = scanned.select(
+        "file_id", "line_no", "text", F.coalesce("offset_s", F.lit(0.0)).alias("offset_s"), F.posexplode_outer(held).alias("tag_no", "tag")
+    ).withColumn("raw_s", lyric_clock(F.col("tag")))
+    tagged = F.col("tag").isNotNull()
+    wrong = tagged & F.col("raw_s").isNull()
+    rejects = (
         timed.groupBy("file_id")
-        .agg(F.min_by("tag", F.when(F.col("raw_s").isNull(), F.struct("line_no", "tag_no"))).alias("tag"), F.max(F.col("raw_s").isNull()).alias("_bad"))
-        .filter("_bad")
-        .select("file_id", F.concat(F.lit("bad_time_tag:"), F.col("tag")).alias("reason"))
+        .agg(F.min_by("tag", F.when(wrong, F.struct("line_no", "tag_no"))).alias("tag"), F.max(tagged).alias("_timed"))
+        .select("file_id", F.when(tagged, F.concat(F.lit("bad_time_tag:"), F.col("tag"))).when(~F.col("_timed"), "no_timed_lines").alias("reason"))
+        .filter(F.col("reason").isNotNull())
     )
-    silent = files.join(timed.select("file_id").distinct(), "file_id", "left_anti").select("file_id", F.lit("no_timed_lines").alias("reason"))
     rank = Window.partitionBy("file_id").orderBy("start_s", "line_no", "tag_no")
     lines = (
-        timed.join(bad.select("file_id"), "file_id", "left_anti")
+        timed.withColumn("_bad", F.max(wrong).over(Window.partitionBy("file_id")))
+        .filter(tagged & ~F.col("_bad"))
         .withColumn("start_s", F.greatest(F.lit(0.0), F.col("raw_s") + F.col("offset_s")))
         .select("file_id", (F.row_number().over(rank) - 1).cast("long").alias("line_no"), "start_s", F.lit(None).cast("double").alias("end_s"), "text")
     )
-    return lines, bad.unionByName(silent)
+    return lines, rejects
 
 
 def _dialogue(files: DataFrame, strip_line: bool) -> DataFrame:
@@ -134,12 +138,8 @@ def caption_events_strict(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def caption_text(files: DataFrame) -> DataFrame:
     """All dialogue text of each file joined by spaces; null when there is none."""
-    texts = (
-        _dialogue(files, False)
-        .filter(F.size("fields") == 10)
-        .select("file_id", "line_no", clean_dialogue(F.col("fields")[9]).alias("text"))
-        .filter(F.col("text") != "")
-        .groupBy("file_id")
-        .agg(ordered_text(["line_no"], F.col("text")).alias("text"))
-    )
-    return files.select("file_id").join(texts, "file_id", "left")
+    fields = F.split("line", ",", 10)
+    spoken = F.when(F.col("line").startswith(DIALOGUE) & (F.size("fields") == 10), clean_dialogue(F.col("fields")[9]))
+    # Other lines keep a row without text, so that every file keeps one without another scan.
+    texts = file_lines(files, outer=True).withColumn("fields", fields).select("file_id", "line_no", spoken.alias("text"))
+    return texts.groupBy("file_id").agg(ordered_text(["line_no"], F.when(F.col("text") != "", F.col("text"))).alias("text"))

@@ -1,11 +1,13 @@
 """Steps whose work must grow no faster than their rows."""
 
 import random
+import re
 from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from tessitura.operators import audit, segments, spans
+from tessitura.sources import timed_text
 from tessitura.sources.words import words_from_documents
 from tessitura.streaming import live
 from tests.test_folds import WORDS, make_words
@@ -78,3 +80,18 @@ def test_sweeps_leave_closes_with_their_stream(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert moved and not [line for line in moved if "island" in line.split("ENSURE")[0]]
+
+
+def test_lyrics_and_captions_read_their_files_once(spark):
+    rows = [("a", "[00:01.00]x\n[00:75.10]y"), ("b", "no tags"), ("c", None), ("d", "[00:02.00][00:01.00]z"), ("e", "")]
+    files = spark.createDataFrame(rows, "file_id string, content string").withColumn("content", F.concat("content", F.lit("")))
+    lines, rejects = timed_text.parse_synced_lyrics(files)
+    assert [(r.file_id, r.line_no, r.start_s, r.text) for r in lines.orderBy("line_no").collect()] == [("d", 0, 1.0, "z"), ("d", 1, 2.0, "z")]
+    assert {r.file_id: r.reason for r in rejects.collect()} == {"a": "bad_time_tag:00:75.10", **dict.fromkeys("bce", "no_timed_lines")}
+    spoken = "Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,"
+    scripts = spark.createDataFrame([("a", f"{spoken}one\nx\n{spoken}{{\\b1}}\n{spoken}two"), ("b", "x"), ("c", None)], "file_id string, content string")
+    scripts = scripts.withColumn("content", F.concat("content", F.lit("")))
+    texts = timed_text.caption_text(scripts)
+    assert {r.file_id: r.text for r in texts.collect()} == {"a": "one two", "b": None, "c": None}
+    for frame in (lines, rejects, texts):
+        assert len(re.findall("LogicalRDD|LocalRelation|Scan", plan_of(frame))) == 1
