@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessitura.functions.digest import canonical_text, digest, json_text
 from tessitura.functions.text import RESERVED_NAMES
-from tessitura.plans.scan import prefix_scan, row_block
+from tessitura.plans.chain import FOLD_ROWS, fold_runs
+from tessitura.plans.scan import prefix_scan, row_block, summary
 
 # Fixed values.
 SOURCE_STAGES = ("transcribe", "moments", "select", "reframe", "subtitles", "completed")
@@ -306,6 +311,87 @@ def delete_positions(positions: DataFrame, edits: DataFrame) -> tuple[DataFrame,
     return kept, rejects
 
 
+def _edited(at: list[list], log: list[tuple], bad: list[tuple]) -> None:
+    """Applies a variant's edits to its positions ``[ordinal, id, start, end]``, in place; refused ones go to ``bad``."""
+    for no, kind, asked, cut_at, new_id, absorb in log:
+        for i, place in enumerate(at):
+            if asked is not None and place[1] == asked:
+                break
+        else:
+            i = -1
+        last = len(at) - 1
+        if kind not in ("split", "delete"):
+            bad.append((no, asked, "unknown_edit"))
+        elif i < 0:
+            bad.append((no, asked, "not_found"))
+        elif kind == "split":
+            ordinal, own, start, end = at[i]
+            if None in (cut_at, start, end) or not start < cut_at < end:
+                bad.append((no, asked, "not_inside"))
+            else:
+                at[i : i + 1] = [[ordinal, own, start, cut_at], [ordinal, new_id, cut_at, end]]
+        elif last == 0:
+            bad.append((no, asked, "only_position"))
+        elif 0 < i < last and absorb not in ("previous", "next"):
+            bad.append((no, asked, "absorb_needed"))
+        else:
+            if i == 0 or (i < last and absorb == "next"):
+                at[i + 1][2] = at[i][2]
+            else:
+                at[i - 1][3] = at[i][3]
+            del at[i]
+
+
+def edit_outcomes(positions: DataFrame, edits: DataFrame) -> DataFrame:
+    """Positions and rejects after all edits, in one frame: rejects are the rows with a ``reason``.
+
+    Both sides are those of ``edited_positions``; a reject has ``edit_no``, ``asked_id`` and ``reason``, a position the rest.
+    Many variants are folded in one Arrow call. Of a variant with more than ``FOLD_ROWS`` positions, only those that an edit
+    names, and their neighbours, enter the fold; all others pass by.
+    """
+    columns = ["ordinal", "position_id", "start_ms", "end_ms"]
+    asked = ["edit_no", "kind", "asked_id", "at_ms", "new_id", "absorb"]
+    large = summary(positions.groupBy("variant_id").count().filter(F.col("count") > FOLD_ROWS).select("variant_id"))
+    touched, passed = positions, None
+    if not large.isEmpty():
+        named = edits.select("variant_id", "position_id").distinct().withColumn("_named", F.lit(True))
+        marked = positions.join(large, "variant_id", "left_semi").join(named, ["variant_id", "position_id"], "left").withColumn("_named", F.coalesce("_named", F.lit(False)))
+        order, block = ["ordinal"], row_block(F.col("ordinal"))
+        marked = prefix_scan(marked, ["variant_id"], order, block, lasts={"_before": F.col("_named")})
+        marked = prefix_scan(marked, ["variant_id"], order, block, lasts={"_after": F.col("_named")}, reverse=True)
+        near = F.col("_named") | F.coalesce("_before", F.lit(False)) | F.coalesce("_after", F.lit(False))
+        touched = positions.join(large, "variant_id", "left_anti").unionByName(marked.filter(near).select("variant_id", *columns))
+        passed = marked.filter(~near).select("variant_id", *columns)
+    log = edits.withColumnRenamed("position_id", "asked_id").select("variant_id", *asked)
+    rows = touched.select("variant_id", *columns, F.lit(False).alias("is_edit")).unionByName(log.withColumn("is_edit", F.lit(True)), allowMissingColumns=True)
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = StructType([StructField(c, StringType() if c == "reason" else kinds[c]) for c in ["variant_id", *columns, "edit_no", "asked_id", "reason"]])
+
+    def fold(table: pa.Table, edges: list[int]) -> pa.Table:
+        is_edit, variants = table["is_edit"].to_numpy(), table["variant_id"].take(edges[:-1])
+        n_log = np.add.reduceat(is_edit.astype(np.int64), edges[:-1])
+        wanted, places = (list(zip(*[table[c].filter(m).to_pylist() for c in names], strict=True)) for names, m in ((asked, is_edit), (columns, ~is_edit)))
+        kept, bad, n_kept, n_bad, p, e = [], [], [], [], 0, 0
+        for n_at, n_edits in zip((np.diff(edges) - n_log).tolist(), n_log.tolist(), strict=True):
+            at, known = list(map(list, places[p : p + n_at])), len(bad)
+            _edited(at, wanted[e : e + n_edits], bad)
+            p, e = p + n_at, e + n_edits
+            kept += at
+            n_kept.append(len(at))
+            n_bad.append(len(bad) - known)
+
+        def side(rows: list, counts: list[int], names: list[str]) -> pa.Table:
+            values = dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {}
+            keys = variants.take(np.repeat(np.arange(len(counts)), counts))
+            return pa.table([keys if f.name == "variant_id" else pa.array(values[f.name], f.type) if f.name in values else pa.nulls(len(rows), f.type) for f in arrow], schema=arrow)
+
+        return pa.concat_tables([side(kept, n_kept, columns), side(bad, n_bad, ["edit_no", "asked_id", "reason"])])
+
+    arrow = to_arrow_schema(schema)
+    done = fold_runs(rows, ["variant_id"], ["is_edit", *columns, *asked], fold, schema)
+    return done if passed is None else done.unionByName(passed, allowMissingColumns=True)
+
+
 def edited_positions(positions: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(positions, rejects) after all edits of every variant in the order of their numbers.
 
@@ -316,57 +402,12 @@ def edited_positions(positions: DataFrame, edits: DataFrame) -> tuple[DataFrame,
     first position is absorbed by its successor, the last by its predecessor, an interior one must say which). The second
     half of a split keeps the ordinal of the first, whose geometry it shares. Of equal position ids the first is meant.
 
-    Only positions that an edit names, and their neighbours, enter the fold; all others pass by. A variant's edits are one
-    value, as each depends on the one before: they are decisions made by hand.
+    A variant's edits are one value, as each depends on the one before: they are decisions made by hand. Who needs both
+    sides takes ``edit_outcomes``, which folds once.
     """
-    named = edits.select("variant_id", "position_id").distinct().withColumn("_named", F.lit(True))
-    marked = positions.join(named, ["variant_id", "position_id"], "left").withColumn("_named", F.coalesce("_named", F.lit(False)))
-    order, block = ["ordinal"], row_block(F.col("ordinal"))
-    marked = prefix_scan(marked, ["variant_id"], order, block, lasts={"_before": F.col("_named")})
-    marked = prefix_scan(marked, ["variant_id"], order, block, lasts={"_after": F.col("_named")}, reverse=True)
-    near = F.col("_named") | F.coalesce("_before", F.lit(False)) | F.coalesce("_after", F.lit(False))
-    columns = ("ordinal", "position_id", "start_ms", "end_ms")
-    touched = marked.filter(near).groupBy("variant_id").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_at"))
-    log = edits.groupBy("variant_id").agg(F.array_sort(F.collect_list(F.struct("edit_no", "kind", "position_id", "at_ms", "new_id", "absorb"))).alias("_log"))
-    place, fault = positions.select(F.array(F.struct(*columns))), edits.select(F.array(F.struct("edit_no", "position_id", F.lit("").alias("reason"))))
-    at_kind, fault_kind = (f.schema[0].dataType.simpleString() for f in (place, fault))
-
-    def applied(state: Column, e: Column) -> Column:
-        at = state["at"]
-        index = F.coalesce(F.array_position(F.transform(at, lambda p: p["position_id"]), e["position_id"]), F.lit(0)).cast("int")
-        bound = F.transform(F.array(index), lambda i: F.struct(i.alias("i"), F.get(at, i - 1).alias("p"), F.size(at).alias("n")))
-        return F.get(F.transform(bound, lambda b: _edit(state, at, e, b["i"], b["p"], b["n"])), F.lit(0))
-
-    def _edit(state: Column, at: Column, e: Column, i: Column, p: Column, n: Column) -> Column:
-        inside = F.coalesce((e["at_ms"] > p["start_ms"]) & (e["at_ms"] < p["end_ms"]), F.lit(False))
-        chosen = F.coalesce(e["absorb"].isin("previous", "next"), F.lit(False))
-        cut, drop = F.coalesce(e["kind"] == "split", F.lit(False)), F.coalesce(e["kind"] == "delete", F.lit(False))
-        reason = (
-            F.when(~cut & ~drop, "unknown_edit").when(i == 0, "not_found").when(cut & ~inside, "not_inside")
-            .when(drop & (n == 1), "only_position").when(drop & (i > 1) & (i < n) & ~chosen, "absorb_needed")
-        )
-        part = lambda key, start, end: F.struct(p["ordinal"].alias("ordinal"), key.alias("position_id"), start.alias("start_ms"), end.alias("end_ms"))
-        halves = F.array(part(p["position_id"], p["start_ms"], e["at_ms"]), part(e["new_id"], e["at_ms"], p["end_ms"]))
-        forward = (i == 1) | ((i < n) & F.coalesce(e["absorb"] == "next", F.lit(False)))
-        widened = F.transform(
-            at,
-            lambda q, j: F.struct(
-                q["ordinal"].alias("ordinal"), q["position_id"].alias("position_id"),
-                F.when(forward & (j == i), p["start_ms"]).otherwise(q["start_ms"]).alias("start_ms"),
-                F.when(~forward & (j == i - 2), p["end_ms"]).otherwise(q["end_ms"]).alias("end_ms"),
-            ),
-        )
-        head = lambda rows: F.slice(rows, F.lit(1), F.greatest(i - 1, F.lit(0)))
-        tail = lambda rows: F.slice(rows, i + 1, n)
-        left = F.when(reason.isNotNull(), at).when(cut, F.concat(head(at), halves, tail(at))).otherwise(F.concat(head(widened), tail(widened)))
-        refused = F.array(F.struct(e["edit_no"].alias("edit_no"), e["position_id"].alias("position_id"), reason.alias("reason")))
-        return F.struct(left.cast(at_kind).alias("at"), F.when(reason.isNull(), state["bad"]).otherwise(F.concat(state["bad"], refused)).cast(fault_kind).alias("bad"))
-
-    start = F.struct(F.coalesce("_at", F.array().cast(at_kind)).cast(at_kind).alias("at"), F.array().cast(fault_kind).alias("bad"))
-    done = log.join(touched, "variant_id", "left").select("variant_id", F.aggregate("_log", start, applied).alias("s"))
-    changed = done.select("variant_id", F.explode("s.at").alias("p")).select("variant_id", "p.*")
-    result = marked.filter(~near).select("variant_id", *columns).unionByName(changed)
-    return result, done.select("variant_id", F.explode("s.bad").alias("r")).select("variant_id", "r.*")
+    done = edit_outcomes(positions, edits)
+    kept = done.filter("reason IS NULL").select("variant_id", "ordinal", "position_id", "start_ms", "end_ms")
+    return kept, done.filter("reason IS NOT NULL").select("variant_id", "edit_no", F.col("asked_id").alias("position_id"), "reason")
 
 
 def _lookup(table: dict, key: Column) -> Column:

@@ -133,7 +133,7 @@ def timeline_edit_log(spark: SparkSession, folder: str) -> DataFrame:
     """Six edits of every order in turn, some of positions that earlier ones made or took, also where ids repeat or times break."""
     v = F.col("variant_id")
     places = positions(spark, folder)[0]
-    second = places.filter("ordinal = 2").select("variant_id", F.col("start_ms").alias("a"))
+    second = places.groupBy("variant_id").agg(F.max(F.when(F.col("ordinal") == 2, F.col("start_ms"))).alias("a"))
     absorb = F.when(v % 5 == 1, "previous").when(v % 5 == 2, "next")
     edit = lambda no, kind, pid, at=None, new=None, side=None: F.struct(
         F.lit(no).alias("edit_no"), F.lit(kind).alias("kind"), pid.cast("long").alias("position_id"),
@@ -143,11 +143,11 @@ def timeline_edit_log(spark: SparkSession, folder: str) -> DataFrame:
         edit(1, "split", F.lit(2), F.col("a") + v % 20, 100), edit(2, "delete", v % 4 + 1, side=absorb), edit(3, "split", F.lit(100), F.col("a") + v % 20 + v % 7, 101),
         edit(4, "delete", F.lit(100), side=F.lit("next")), edit(5, "delete", F.lit(2), side=F.lit("previous")), edit(6, "delete", F.lit(1)),
     )
-    edits = places.select("variant_id").distinct().join(second, "variant_id", "left").select("variant_id", F.explode(log).alias("e")).select("variant_id", "e.*")
-    kept, rejects = op.edited_positions(places, edits)
-    return kept.select("variant_id", F.lit("kept").alias("kind"), "position_id", F.col("start_ms").alias("a"), F.col("end_ms").alias("b")).unionByName(
-        rejects.select("variant_id", F.col("reason").alias("kind"), "position_id", F.col("edit_no").cast("long").alias("a"), F.lit(None).cast("long").alias("b"))
-    )
+    edits = second.select("variant_id", F.explode(log).alias("e")).select("variant_id", "e.*")
+    return op.edit_outcomes(places, edits).select(
+        "variant_id", F.coalesce("reason", F.lit("kept")).alias("kind"), F.when(F.col("reason").isNull(), F.col("position_id")).otherwise(F.col("asked_id")).alias("position_id"),
+        F.when(F.col("reason").isNull(), F.col("start_ms")).otherwise(F.col("edit_no").cast("long")).alias("a"), F.col("end_ms").alias("b"),
+    )
 
 
 def clerk(key: Column) -> Column:

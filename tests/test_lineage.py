@@ -97,3 +97,25 @@ def test_edit_logs_in_order(spark):
     assert sorted(map(tuple, rejects.collect())) == sorted(want_bad)
     kept, rejects = lineage.edited_positions(spark.createDataFrame([], kinds[0]), spark.createDataFrame([], kinds[1]))
     assert kept.count() == rejects.count() == 0
+
+
+def test_edit_log_folds_once_and_large_variants_agree(spark, monkeypatch):
+    """Both sides come from one fold; of a large variant only what edits touch enters it, with the same result."""
+    places = [(v, o, o if v else 7, o * 10, o * 10 + 10) for v in range(3) for o in range(40)]
+    edits = [
+        (v, *e)
+        for v in (0, 1, 3)
+        for e in ((1, "split", 20, 205, 100, None), (2, "delete", 100, None, None, "next"), (3, "delete", 0, None, None, None), (4, "delete", 7, None, None, None), (5, "move", 9, None, None, None))
+    ]
+    kinds = "variant_id long, ordinal long, position_id long, start_ms long, end_ms long", "variant_id long, edit_no int, kind string, position_id long, at_ms long, new_id long, absorb string"
+    frames = [spark.createDataFrame(rows, kind) for rows, kind in zip((places, edits), kinds)]
+    done = lineage.edit_outcomes(*frames)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = sorted(done.collect(), key=str)
+    monkeypatch.setattr(lineage, "FOLD_ROWS", 10)
+    large = lineage.edit_outcomes(*frames)
+    assert sorted((tuple(r[c] for c in done.columns) for r in large.collect()), key=str) == sorted(map(tuple, want), key=str)
+    assert {(r.variant_id, r.edit_no, r.reason) for r in want if r.reason} == {
+        (0, 1, "not_found"), (0, 2, "not_found"), (0, 3, "not_found"), (0, 5, "unknown_edit"), (1, 4, "absorb_needed"), (1, 5, "unknown_edit"),
+        *((3, no, "not_found") for no in (1, 2, 3, 4)), (3, 5, "unknown_edit"),
+    }
