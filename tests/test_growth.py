@@ -82,6 +82,28 @@ def test_sweeps_leave_closes_with_their_stream(spark):
     assert moved and not [line for line in moved if "island" in line.split("ENSURE")[0]]
 
 
+def test_silences_and_closes_pass_over_the_words_once_more(spark):
+    """After the summary of their blocks, words are laid out once: extents and sizes come from that summary."""
+    text = "One two. Three, four! Five six seven? " * 9
+    stream = words_from_documents(spark.createDataFrame([(d, "en", text * (d + 1)) for d in range(3)] + [(7, "en", "no close"), (8, "en", "")], "doc_id long, lang string, text string"))
+    bounds = stream.groupBy("stream_id").agg(F.lit(0.0).alias("from_s"), F.max("end_s").alias("to_s"))
+    linked, extent = audit.with_extent(stream, [0.6])
+    assert sorted(map(tuple, extent.select(*bounds.columns).collect())) == sorted(map(tuple, bounds.collect()))
+    assert {r.stream_id: r.n_closes for r in extent.collect()} == {0: 27, 1: 54, 2: 81, 7: 0}
+    spans = audit.silence_spans(linked, extent)
+    assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, audit.silence_spans(linked, bounds).collect()))
+    assert "Generate" not in plan_of(audit.span_summary(spans, ["stream_id"]))
+    island = linked.withColumn("island_0", F.lit(0).cast("long"))
+    rows = lambda f: sorted(((r.stream_id, r.window_no, r.window_s, r.start_s, r.end_s) for r in f.collect()), key=str)
+    cut = lambda ends, limit: audit.cut_spans(island, ends, [(float("inf"), "island_0")], (10.0, None), null_cuts_every_close=True, fold_rows=limit)
+    want = rows(cut(bounds, 4096))
+    assert {r[2] for r in want} == {10.0, None} and len([r for r in want if r[1] == 1]) == 27 + 54 + 81 + 1
+    assert plan_of(cut(extent, 4096)).count("Generate posexplode") == 1
+    # All islands by their array, some by the walk, all with a close by the walk; then without sizes.
+    for ends, limit in ((extent, 4096), (extent, 60), (extent, 0), (bounds, 60)):
+        assert rows(cut(ends, limit)) == want, limit
+
+
 def test_lyrics_and_captions_read_their_files_once(spark):
     rows = [("a", "[00:01.00]x\n[00:75.10]y"), ("b", "no tags"), ("c", None), ("d", "[00:02.00][00:01.00]z"), ("e", "")]
     files = spark.createDataFrame(rows, "file_id string, content string").withColumn("content", F.concat("content", F.lit("")))
