@@ -22,9 +22,20 @@ def _bare(char: str) -> str:
     return char if char == ENYE else "".join(part for part in unicodedata.normalize("NFKD", char) if not unicodedata.combining(part))
 
 
+class _BareForms(dict):
+    """Bare forms by code point, each made when it is first met."""
+
+    def __missing__(self, point: int) -> str:
+        self[point] = found = _bare(chr(point))
+        return found
+
+
+_BARE = _BareForms()
+
+
 def fold(text: str) -> str:
     """Case-folded text without accents, ñ kept apart from n, white space collapsed."""
-    return " ".join("".join(map(_bare, unicodedata.normalize("NFC", text).casefold())).split())
+    return " ".join(unicodedata.normalize("NFC", text).casefold().translate(_BARE).split())
 
 
 def fold_mentions(text: str) -> str:

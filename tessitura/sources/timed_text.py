@@ -131,9 +131,12 @@ def judged_scripts(files: DataFrame) -> DataFrame:
 def caption_events_strict(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, rejects): any malformed line fails its whole file; overrides stay in the text."""
     judged = judged_scripts(files)
-    rejects = judged.filter(F.col("reason").isNotNull()).select("file_id", "line", "reason")
-    events = judged.select("file_id", F.explode("events").alias("e")).select("file_id", *[F.col("e")[c].alias(c) for c in ("line_no", "start_s", "end_s", "text")])
-    return events, rejects
+    return script_events(judged), judged.filter(F.col("reason").isNotNull()).select("file_id", "line", "reason")
+
+
+def script_events(judged: DataFrame) -> DataFrame:
+    """Events of ``judged_scripts``, one row each."""
+    return judged.select("file_id", F.explode("events").alias("e")).select("file_id", *[F.col("e")[c].alias(c) for c in ("line_no", "start_s", "end_s", "text")])
 
 
 def caption_text(files: DataFrame) -> DataFrame:

@@ -85,3 +85,20 @@ def test_conflicts_walk_items_field_by_field(spark):
     order = spark.createDataFrame([(c, p, i) for c in (1, 2) for i, p in enumerate(("x", "tiktok"))], "contract_id long, platform string, position int")
     got = resolve.conflicts(frame, order).orderBy("contract_id", "walk").collect()
     assert [(r.contract_id, r.field, r.walk) for r in got] == [(c, f, i) for c in (1, 2) for i, f in enumerate(want)]
+
+
+def test_folding_looks_at_each_character_once(monkeypatch):
+    """A character's bare form is made when it is first met; every character folds as it does alone."""
+    import sys
+    import unicodedata
+
+    met = []
+    bare = tx._bare
+    monkeypatch.setattr(tx, "_bare", lambda c: met.append(c) or bare(c))
+    monkeypatch.setattr(tx, "_BARE", type(tx._BARE)())
+    for _ in range(3):
+        assert tx.fold("Ñandú  ÉTÉ ﬁn ÑÑ été n\u0303") == "ñandu ete fin ññ ete ñ"
+    assert len(met) == len(set(met))
+    for point in range(sys.maxunicode + 1):
+        c = chr(point)
+        assert tx.fold(f"a{c}b") == " ".join("".join(map(bare, unicodedata.normalize("NFC", f"a{c}b").casefold())).split())
