@@ -117,3 +117,12 @@ def test_lyrics_and_captions_read_their_files_once(spark):
     assert {r.file_id: r.text for r in texts.collect()} == {"a": "one two", "b": None, "c": None}
     for frame in (lines, rejects, texts):
         assert len(re.findall("LogicalRDD|LocalRelation|Scan", plan_of(frame))) == 1
+
+
+def test_scripts_of_lyric_pieces_are_parsed_once(spark):
+    """Neither side of the ground truth parses scripts again or gathers what pieces show."""
+    from tessitura.queries import lyrics
+
+    pieces, found = lyrics.truth(spark, "/root/testdata/sf0.001")
+    assert "Dialogue:" not in plan_of(found) and "collect_list" not in plan_of(pieces)
+    assert found.count() == pieces.count() > 0
