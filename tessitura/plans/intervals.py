@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.plans.scan import with_carry
+
 CELL_S = 60.0
 KEY_SPANS = 16
 LONG_CELLS = 1024
@@ -21,7 +23,8 @@ def overlap_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], scale
 
     With ``key_spans`` a job over ``spans`` looks at them first. Where no key has more, both sides meet by key alone: points
     that lie together by key are not shuffled, and a span costs the same however long it is. Else, if a span is very long,
-    spans go no further than the last point of their key.
+    spans go no further than the last point of their key; and where no key has spans in more than ``LONG_CELLS`` cells, a key's
+    cells travel together and points find their own cell among them, which moves no point that lies by key either.
     """
     width = F.lit(cell / scale)
     meets = (F.col("p_end") > F.col("s_start")) & (F.col("p_start") < F.col("s_end"))
@@ -39,10 +42,18 @@ def overlap_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], scale
     def cells(frame: DataFrame, start: Column, end: Column) -> DataFrame:
         return frame.withColumn("_cell", F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor(end / width).cast("long"))))
 
+    pointed = cells(points, F.col("p_start"), F.greatest("p_end", "p_start"))
+    offered = cells(held, F.col("s_start"), reach).select(*spans.columns, "_cell")
+    if key_spans:
+        own = [c for c in spans.columns if c not in keys]
+        by_cell = offered.groupBy(*keys, F.col("_cell").alias("_block")).agg(F.collect_list(F.struct(*own)).alias("_spans"))
+        met = with_carry(pointed.withColumnRenamed("_cell", "_block"), by_cell, by_cell, keys, most=LONG_CELLS)
+        names = [*keys, *[c for c in points.columns if c not in keys]]
+        found = met.select(*names, F.col("_block").alias("_cell"), F.explode("_spans").alias("_s")).select(*names, "_cell", "_s.*")
+    else:
+        found = pointed.join(offered, [*keys, "_cell"])
     return (
-        cells(points, F.col("p_start"), F.greatest("p_end", "p_start"))
-        .join(cells(held, F.col("s_start"), reach).select(*spans.columns, "_cell"), [*keys, "_cell"])
-        .filter(meets)
+        found.filter(meets)
         .filter(F.col("_cell") == F.floor(F.greatest("p_start", "s_start") / width).cast("long"))
         .drop("_cell")
     )

@@ -126,3 +126,56 @@ def test_scripts_of_lyric_pieces_are_parsed_once(spark):
     pieces, found = lyrics.truth(spark, "/root/testdata/sf0.001")
     assert "Dialogue:" not in plan_of(found) and "collect_list" not in plan_of(pieces)
     assert found.count() == pieces.count() > 0
+
+
+def exchanges(frame):
+    """What the plan shuffles, with joins that nobody broadcasts."""
+    spark = frame.sparkSession
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # Another frame, for a plan is kept with its frame.
+        plan = frame.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    return [line.split("ENSURE")[0] for line in plan.splitlines() if "Exchange" in line]
+
+
+def text_streams(spark, n=4, times=40):
+    schema = "doc_id long, lang string, text string"
+    return words_from_documents(spark.createDataFrame([(d, "en", "One two. Three, four! Five six seven? " * (times + d)) for d in range(n)], schema))
+
+
+def test_documents_are_shuffled_once_for_all_passes(spark):
+    stream = text_streams(spark)
+    assert not exchanges(stream) and spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    first, second = (sorted(map(tuple, stream.collect())) for _ in range(2))
+    assert first == second and len(first) == 7 * (40 + 41 + 42 + 43)
+    for s in range(4):
+        mine = [r for r in first if r[0] == s]
+        assert [r[1] for r in mine] == list(range(len(mine))) and all(a[3] < b[2] for a, b in zip(mine, mine[1:]))
+
+
+def test_words_of_spans_stay_with_their_stream(spark):
+    stream = text_streams(spark)
+    rows = stream.collect()
+    # A few spans to a stream, then more than meet by key alone, with one that is empty and one behind the end.
+    for n in (3, 40):
+        bounds = [(s, k, 7.5 * k, 7.5 * k + 20.0) for s in range(4) for k in range(n)] + [(0, 98, 5.0, 5.0), (1, 99, 1e6, 2e6)]
+        frame = spark.createDataFrame(bounds, "stream_id long, rank long, start_s double, end_s double")
+        got = spans.span_text(stream, frame, ["rank"])
+        want = {(s, k): " ".join(r.text for r in rows if r.stream_id == s and r.end_s > a and r.start_s < b) or None for s, k, a, b in bounds}
+        assert {(r.stream_id, r.rank): r.text for r in got.collect()} == want
+        cut = spans.render_words(stream.drop("language"), frame, ["rank"])
+        held = sorted((r.stream_id, r.rank, r.token_id, r.text) for r in cut.collect())
+        assert held == sorted((s, k, i, t) for (s, k), text in want.items() if text for i, t in enumerate(text.split()))
+        for moved in exchanges(got) + exchanges(cut):
+            assert "_cell" not in moved and "token_id" not in moved, moved
+
+
+def test_numbers_cross_blocks_and_leave_null_keys_unnumbered(spark):
+    rows = [(s, k) for s in (1, None) for k in range(0, 12_000, 500)] + [(2, 3)]
+    frame = spark.createDataFrame(rows, "s long, k long")
+    got = spans.numbered(frame, ["s"], ["k"], spans.row_block(F.col("k")), "n").collect()
+    assert sorted((r.k, r.n) for r in got if r.s == 1) == [(500 * i, i) for i in range(24)]
+    assert {r.n for r in got if r.s is None} == {None} and [r.n for r in got if r.s == 2] == [0]
