@@ -4,6 +4,7 @@ import random
 import re
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessitura.operators import audit, segments, spans
@@ -179,3 +180,28 @@ def test_numbers_cross_blocks_and_leave_null_keys_unnumbered(spark):
     got = spans.numbered(frame, ["s"], ["k"], spans.row_block(F.col("k")), "n").collect()
     assert sorted((r.k, r.n) for r in got if r.s == 1) == [(500 * i, i) for i in range(24)]
     assert {r.n for r in got if r.s is None} == {None} and [r.n for r in got if r.s == 2] == [0]
+
+
+def test_cuts_of_many_words_at_once_equal_one_by_one():
+    for seed in range(60):
+        rng = random.Random(seed)
+        t, rows = rng.uniform(0, 700), []
+        for _ in range(rng.randint(1, 60)):
+            length = rng.choice([0.0, round(rng.uniform(0.08, 0.9), 3), 3.0 if seed % 4 == 0 else 0.5])
+            rows.append((round(t, 3), round(t + length, 3), rng.random() < 0.2))
+            t += rng.choice([0.1, length, length + rng.choice([0.02, 0.61, 5.0])])
+        starts, ends, closing = (np.array(c) for c in zip(*rows))
+        cap = rng.choice([0.05, 2.0, 20.0])
+        for stop in (len(rows) - 1, len(rows)):
+            want = [segments._cut_after(starts, ends, closing, at, stop, cap, float(starts[at])) for at in range(len(rows))]
+            assert segments.next_cuts(starts, ends, closing, np.arange(len(rows)), stop, cap).tolist() == want
+
+
+def test_walks_take_many_groups_to_a_call(spark):
+    from tessitura.plans.chain import reached
+
+    # Each key jumps three on, past its end; blocks of four.
+    edges = spark.createDataFrame([(k, n, n + 3 if n + 3 < 30 else None, n // 4, n == k % 3) for k in range(7) for n in range(30)], "k long, node long, nxt long, block long, head boolean")
+    found = reached(edges, ["k"], fan=2)
+    assert sorted(map(tuple, found.collect())) == [(k, n) for k in range(7) for n in range(k % 3, 30, 3)]
+    assert "FlatMapGroups" not in plan_of(found)
