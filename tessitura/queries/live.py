@@ -28,14 +28,17 @@ def live_chat_density(spark: SparkSession, folder: str) -> DataFrame:
 def live_gap_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Spans of the word streams that had closed when the watermark stopped, five seconds behind the newest word.
 
-    The word fixture is written to the shared folder first, for its clock needs whole documents.
+    The word fixture is written to the shared folder first, for its clock needs whole documents; its times as whole milliseconds,
+    each as its distance from the one before, which takes a few bytes a word.
     """
     place = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    timed = words(spark, folder).select("stream_id", "token_id", "start_s", "end_s", F.timestamp_millis(F.rint(F.col("start_s") * 1000).cast("long")).alias("ts"))
-    timed.write.parquet(place)
-    found = live.run_to_table(live.live_spans(spark.readStream.schema(timed.schema).parquet(place)), spark)
+    timed = words(spark, folder).select("stream_id", "token_id", ms("start_s"), ms("end_s"))
+    timed.write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").parquet(place)
+    seconds = [(F.col(f"{c}_ms") / F.lit(1000.0)).alias(f"{c}_s") for c in ("start", "end")]
+    stream = spark.readStream.schema(timed.schema).parquet(place).select("stream_id", "token_id", *seconds, F.timestamp_millis("start_ms").alias("ts"))
+    found = live.run_to_table(live.live_spans(stream), spark)
     return found.select("stream_id", "kind", ms("start_s"), ms("end_s"), "n_words")
 
 

@@ -79,7 +79,7 @@ def live_spans(words: DataFrame, lateness_s: float = 5.0, max_gap_s: float = MAX
     holds the open spans of a bucket's streams; its timer is the earliest of theirs. The number holds for a query's whole life.
 
     The engine drops rows behind the watermark before an operator sees them. So each word comes twice: a tick whose
-    event time moves the watermark, and the word itself without one, which is never dropped.
+    event time moves the watermark, and the word itself without one, which is never dropped. Ticks go no further than that.
     """
 
     def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -106,6 +106,7 @@ def live_spans(words: DataFrame, lateness_s: float = 5.0, max_gap_s: float = MAX
         typed.select("stream_id", F.explode(F.array(word, tick)).alias("r"))
         .select("stream_id", "r.*", F.pmod(F.xxhash64("stream_id"), F.lit(buckets)).alias("bucket"))
         .withWatermark("clock", f"{lateness_s:g} seconds")
+        .filter(F.col("clock").isNull())
         .groupBy("bucket")
         .applyInPandasWithState(step, SPAN_SCHEMA, SPAN_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -205,3 +205,16 @@ def test_walks_take_many_groups_to_a_call(spark):
     found = reached(edges, ["k"], fan=2)
     assert sorted(map(tuple, found.collect())) == [(k, n) for k in range(7) for n in range(k % 3, 30, 3)]
     assert "FlatMapGroups" not in plan_of(found)
+
+
+def test_ticks_move_the_watermark_and_go_no_further(spark, tmp_path):
+    schema = "stream_id string, token_id long, start_s double, end_s double, ts timestamp"
+    for n, rows in enumerate(([("a", 0, 0.0, 1.0), ("a", 1, 1.5, 2.0)], [("b", 0, 900.0, 901.0)])):
+        timed = [(*r, EPOCH + timedelta(seconds=r[2])) for r in rows]
+        spark.createDataFrame(timed, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/p{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    found = live.live_spans(stream, buckets=2)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "Filter isnull(clock" in plan and plan.index("Filter isnull(clock") < plan.index("EventTimeWatermark")
+    got = live.run_to_table(found, spark).collect()
+    assert [(r.stream_id, r.kind, r.start_s, r.end_s, r.n_words) for r in got] == [("a", "span", 0.0, 2.0, 2)]
