@@ -218,3 +218,11 @@ def test_ticks_move_the_watermark_and_go_no_further(spark, tmp_path):
     assert "Filter isnull(clock" in plan and plan.index("Filter isnull(clock") < plan.index("EventTimeWatermark")
     got = live.run_to_table(found, spark).collect()
     assert [(r.stream_id, r.kind, r.start_s, r.end_s, r.n_words) for r in got] == [("a", "span", 0.0, 2.0, 2)]
+
+
+def test_words_of_one_id_are_numbered_by_time(spark):
+    # Copies on both sides of a cell's edge, the later one first.
+    rows = [(1, k, t, t + 0.5, f"{k}{c}", 0.9) for k in range(100) for c, t in (("b", 10.0 + k + 0.4), ("a", 10.0 + k))]
+    clips = spark.createDataFrame([(1, 0, 0.0, 1000.0)], "stream_id long, rank long, start_s double, end_s double")
+    got = spans.render_words(spark.createDataFrame(rows, WORDS).repartition(5), clips, ["rank"]).orderBy("token_id").collect()
+    assert [r.text for r in got] == [f"{k}{c}" for k in range(100) for c in "ab"]
